@@ -22,16 +22,17 @@ def uniform(seed: int | str, *keys) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(HASH_RANGE)
 
 
-def gaussian(seed: int | str, *keys) -> Column:
-    """Standard normal draw by Box-Muller over two independent uniforms."""
-    u1 = uniform(f"{seed}a", *keys)
-    u2 = uniform(f"{seed}b", *keys)
-    return F.sqrt(-2.0 * F.log(u1 + F.lit(0.5 / HASH_RANGE))) * F.cos(2.0 * F.pi() * u2)
+def gaussian_sql(seed: int | str, *keys: str) -> str:
+    """Standard normal draw by Box-Muller over the two halves of one digest; ``keys`` are SQL expressions."""
+    hashed = "md5(concat_ws('|', " + ", ".join([f"'{seed}'", *[f"cast({k} AS string)" for k in keys]]) + "))"
+    u1, u2 = (f"(cast(conv(substring({hashed}, {at}, 8), 16, 10) AS double) + 0.5D) / {HASH_RANGE!r}D" for at in (1, 9))
+    return f"sqrt(-2D * ln({u1})) * cos(2D * pi() * {u2})"
 
 
-def pick(n: int, seed: int | str, *keys) -> Column:
-    """Integer in 0..n-1."""
-    return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("long") % F.lit(n)
+def pick_sql(n: int, seed: int | str, *keys: str) -> str:
+    """Integer in 0..n-1; ``keys`` are SQL expressions."""
+    parts = ", ".join([f"'{seed}'", *[f"cast({k} AS string)" for k in keys]])
+    return f"(cast(conv(substring(md5(concat_ws('|', {parts})), 1, 8), 16, 10) AS bigint) % {n})"
 
 
 def _as_text(key) -> Column:

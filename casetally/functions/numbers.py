@@ -13,38 +13,38 @@ def extract_numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)), lambda t: t.cast("double"))
 
 
-def round_tenth(x: Column) -> Column:
-    """Round to one decimal by the exact binary value, ties to even.
+def round_tenth_sql(x: str) -> str:
+    """Round a column (or lambda variable) to one decimal by the exact binary value, ties to even.
 
     ``bround`` rounds the printed digits, so it takes 0.15 (really
-    0.1499999...) for a tie. A printed tie means 20x is next to an odd integer;
-    adding 16x and 4x with the rounding error kept tells on which side x lies.
+    0.1499999...) for a tie. A printed tie means that 20x is next to an odd
+    integer; adding 16x and 4x with the rounding error kept tells on which side
+    of it x lies.
     """
-    a, b = x * 16.0, x * 4.0
-    s = a + b
-    bb = s - a
-    err = (a - (s - bb)) + (b - bb)
-    odd = (F.abs(s) < 1e15) & (s == F.rint(s)) & (F.abs(s % 2.0) == 1.0)
-    low, high = F.floor((s - 1.0) / 2.0) / 10.0, F.floor((s + 1.0) / 2.0) / 10.0
-    return F.when(odd & (err < 0), low).when(odd & (err > 0), high).otherwise(F.bround(x, 1))
+    a, b = f"({x} * 16D)", f"({x} * 4D)"
+    s = f"({a} + {b})"
+    bb = f"({s} - {a})"
+    err = f"(({a} - ({s} - {bb})) + ({b} - {bb}))"
+    odd = f"(abs({s}) < 1e15 AND abs({s} % 2D) = 1D)"
+    return (
+        f"CASE WHEN {odd} AND {err} < 0D THEN floor(({s} - 1D) / 2D) / 10D "
+        f"WHEN {odd} AND {err} > 0D THEN floor(({s} + 1D) / 2D) / 10D ELSE bround({x}, 1) END"
+    )
 
 
-def round_whole(x: Column) -> Column:
-    """Round to an integer, ties to even; halves are exact in binary, so ``rint`` is enough."""
-    return F.rint(x)
+def round_tenth(column: str) -> Column:
+    return F.expr(round_tenth_sql(column))
 
 
-def plain_number(x: Column) -> Column:
+def plain_number_sql(x: str) -> str:
     """Whole numbers without a decimal point, others with their shortest digits."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 9e18)
-    wide = F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"0+$", "")
     return (
-        F.when(whole, x.cast("long").cast("string"))
-        .when(F.abs(x) >= 1e7, wide)
-        .otherwise(x.cast("string"))
+        f"CASE WHEN {x} = floor({x}) AND abs({x}) < 9e18D THEN cast(cast({x} AS bigint) AS string) "
+        f"WHEN abs({x}) >= 1e7D THEN regexp_replace(cast(cast({x} AS decimal(38,10)) AS string), '0+$', '') "
+        f"ELSE cast({x} AS string) END"
     )
 
 
-def one_decimal(x: Column) -> Column:
+def one_decimal_sql(x: str) -> str:
     """Text with exactly one decimal."""
-    return F.format_string("%.1f", round_tenth(x))
+    return f"format_string('%.1f', {round_tenth_sql(x)})"

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casetally.functions.draws import digest, pick
-from casetally.functions.numbers import one_decimal, plain_number
+from casetally.functions.draws import pick_sql
+from casetally.functions.numbers import one_decimal_sql, plain_number_sql
+from casetally.functions.sqltext import array, name, text
 from casetally.schema import (
     CORE_FACTORS,
     FEATURE_NAMES,
@@ -52,73 +52,66 @@ UNMAPPED_STATUS_REWORDED = (
 )
 
 
-def _fill(wording: str, feature: str, value: Column | None = None) -> Column:
-    """A wording with the label and unit written in, and the value or phrase joined as a column."""
+def _fill(wording: str, feature: str, value: str | None = None) -> str:
+    """A wording with label and unit written in, and the value (SQL) joined at its place."""
     label, unit = FEATURES[feature]
-    text = wording.format(l=label, L=label[0].upper() + label[1:], u=f" {unit}" if unit else "", v="\x00", p="\x00")
-    head, mark, tail = text.partition("\x00")
-    return F.concat(F.lit(head), value, F.lit(tail)) if mark else F.lit(text)
+    line = wording.format(l=label, L=label[0].upper() + label[1:], u=f" {unit}" if unit else "", v="\x00", p="\x00")
+    head, mark, tail = line.partition("\x00")
+    return f"concat({text(head)}, {value}, {text(tail)})" if mark else text(line)
 
 
-def _choose(wordings: Sequence[str], choice: Column | None, feature: str, value: Column) -> Column:
-    """The first wording, or the one numbered by ``choice``."""
+def _choose(wordings: Sequence[str], choice: str | None, feature: str, value: str) -> str:
+    """The first wording, or the one numbered by ``choice`` (SQL)."""
     if choice is None:
         return _fill(wordings[0], feature, value)
-    slot = choice % len(wordings)
-    *rest, last = [_fill(w, feature, value) for w in wordings]
-    cases = reduce(lambda acc, iw: acc.when(slot == iw[0], iw[1]), enumerate(rest[1:], 1), F.when(slot == 0, rest[0]))
-    return cases.otherwise(last)
+    cases = " ".join(f"WHEN {i} THEN {_fill(w, feature, value)}" for i, w in enumerate(wordings))
+    return f"CASE {choice} % {len(wordings)} {cases} END"
 
 
-def status_phrase(feature: str, value: Column) -> Column:
+def status_phrase(feature: str, value: str) -> str:
     """Phrase of a status code, NULL where the code is not in the dictionary."""
-    entries = [F.lit(x) for pair in STATUS_CODES[feature].items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), value.cast("int"))
+    entries = ", ".join(f"{code}, {text(phrase)}" for code, phrase in STATUS_CODES[feature].items())
+    return f"try_element_at(map({entries}), cast({value} AS int))"
 
 
-def sentinel_phrase(feature: str, indicators: Sequence[str]) -> Column | None:
+def sentinel_phrase(feature: str, indicators: Sequence[str]) -> str | None:
     """Phrase of the first indicator that fired, or None if the table has no indicator for the feature."""
-    present = [(code, indicator_name(feature, code)) for code in SPECIAL_CODES if indicator_name(feature, code) in indicators]
-    present.sort(key=lambda pair: list(indicators).index(pair[1]))
-    if not present:
-        return None
-    return F.coalesce(*[F.when(F.col(name) == 1, F.lit(SENTINEL_PHRASES[SPECIAL_CODES[code]])) for code, name in present])
+    phrases = {indicator_name(feature, code): SENTINEL_PHRASES[meaning] for code, meaning in SPECIAL_CODES.items()}
+    cases = [f"WHEN {name(i)} = 1 THEN {text(phrases[i])}" for i in indicators if i in phrases]
+    return f"CASE {' '.join(cases)} END" if cases else None
 
 
-def sentence(feature: str, indicators: Sequence[str], choice: Column | None = None) -> Column:
-    """One sentence about a feature: sentinel, missing, status, percentage or plain value."""
-    value = F.col(feature)
+def sentence(feature: str, indicators: Sequence[str], choice: str | None = None) -> str:
+    """SQL of one sentence about a feature: sentinel, missing, status, percentage or plain value."""
+    value = name(feature)
     unit = FEATURES[feature][1]
-    fallback = UNMAPPED_STATUS if choice is None else UNMAPPED_STATUS_REWORDED
     if feature in STATUS_CODES:
+        fallback = UNMAPPED_STATUS if choice is None else UNMAPPED_STATUS_REWORDED
         known = _choose(STATUS_WORDINGS, choice, feature, status_phrase(feature, value))
-        stated = F.coalesce(known, _fill(fallback, feature, value.cast("int").cast("string")))
+        stated = f"coalesce({known}, {_fill(fallback, feature, f'cast(cast({value} AS int) AS string)')})"
     elif unit == "%":
-        stated = _choose(PERCENT_WORDINGS, choice, feature, one_decimal(value))
+        stated = _choose(PERCENT_WORDINGS, choice, feature, one_decimal_sql(value))
     else:
-        stated = _choose(GENERAL_WORDINGS, choice, feature, plain_number(value))
-    stated = F.when(value.isNull() | F.isnan(value), _fill(NO_DATA, feature)).otherwise(stated)
+        stated = _choose(GENERAL_WORDINGS, choice, feature, plain_number_sql(value))
+    stated = f"CASE WHEN {value} IS NULL OR isnan({value}) THEN {_fill(NO_DATA, feature)} ELSE {stated} END"
     phrase = sentinel_phrase(feature, indicators)
-    if phrase is None:
-        return stated
-    return F.coalesce(_choose(SENTINEL_WORDINGS, choice, feature, phrase), stated)
+    return stated if phrase is None else f"coalesce({_choose(SENTINEL_WORDINGS, choice, feature, phrase)}, {stated})"
 
 
 def profile_text(indicators: Sequence[str]) -> Column:
     """All sentences in section order."""
-    return F.concat_ws(" ", *[sentence(name, indicators) for name in PROFILE_ORDER])
+    return F.expr(f"concat_ws(' ', {', '.join(sentence(f, indicators) for f in PROFILE_ORDER)})")
 
 
 def reworded_profile_text(indicators: Sequence[str], case_id: str = "case_id", seed: str = "reword") -> Column:
     """The same facts in another order and wording, fixed for each case."""
+    key = name(case_id)
     parts = [
-        F.struct(
-            digest(f"{seed}-order", case_id, F.lit(name)).alias("at"),
-            sentence(name, indicators, pick(12, f"{seed}-wording", case_id, F.lit(name))).alias("text"),
-        )
-        for name in FEATURE_NAMES
+        f"named_struct('at', md5(concat_ws('|', '{seed}-order', cast({key} AS string), '{f}')), "
+        f"'text', {sentence(f, indicators, pick_sql(12, f'{seed}-wording', key, text(f)))})"
+        for f in FEATURE_NAMES
     ]
-    return F.array_join(F.transform(F.array_sort(F.array(*parts)), lambda p: p["text"]), " ")
+    return F.expr(f"array_join(transform(array_sort({array(parts)}), p -> p.text), ' ')")
 
 
 PROFILES = {"standard": lambda indicators, case_id="case_id": profile_text(indicators), "reworded": reworded_profile_text}
@@ -126,8 +119,8 @@ PROFILES = {"standard": lambda indicators, case_id="case_id": profile_text(indic
 
 def unmapped_status(feature: str) -> Column:
     """Whether a present status code is missing from the dictionary."""
-    value = F.col(feature)
-    return value.isNotNull() & ~F.isnan(value) & status_phrase(feature, value).isNull()
+    value = name(feature)
+    return F.expr(f"{value} IS NOT NULL AND NOT isnan({value}) AND {status_phrase(feature, value)} IS NULL")
 
 
 # Texts of a worked example.
@@ -148,7 +141,7 @@ MODERATE_UNCERTAINTY = (
 
 def ideal_response(indicators: Sequence[str], label: Column, confidence: Column, uncertainty: Column) -> Column:
     """The response a worked example shows for a row."""
-    factors = F.array(*[sentence(name, indicators) for name in CORE_FACTORS])
+    factors = F.expr(array(sentence(f, indicators) for f in CORE_FACTORS))
     late = (F.coalesce("NumTrades90Ever2DerogPubRec", F.lit(0.0)) > 0) | (
         F.coalesce("NumTrades60Ever2DerogPubRec", F.lit(0.0)) > 0
     )

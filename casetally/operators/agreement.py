@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casetally.functions import sqltext
 from casetally.schema import FEATURES
 
 
-def feature_of_factor(factor: Column) -> Column:
-    """Feature whose label the (lower-case) text contains; the longest label wins."""
+def feature_of_factor(factor: str) -> str:
+    """SQL for the feature whose label a lower-case text contains; the longest label wins."""
     by_length = sorted(FEATURES.items(), key=lambda item: -len(item[1][0]))
-    return F.coalesce(*[F.when(F.contains(factor, F.lit(label.lower())), F.lit(name)) for name, (label, _) in by_length])
+    cases = [f"WHEN contains({factor}, {sqltext.text(label.lower())}) THEN '{feature}'" for feature, (label, _) in by_length]
+    return f"CASE {' '.join(cases)} END"
 
 
 def map_factors(df: DataFrame, factors: str = "key_factors") -> DataFrame:
@@ -21,13 +23,13 @@ def map_factors(df: DataFrame, factors: str = "key_factors") -> DataFrame:
 
     The label list is a constant, so this is a projection and not a join.
     """
-    lowered = F.transform(F.coalesce(F.col(factors), F.array().cast("array<string>")), F.lower)
-    step = df.withColumn("_mapped", F.transform(lowered, feature_of_factor))
+    lowered = f"transform(coalesce({sqltext.name(factors)}, array()), f -> lower(f))"
+    step = df.withColumn("_mapped", F.expr(f"transform({lowered}, f -> {feature_of_factor('f')})"))
     return step.withColumns(
         {
-            "cited_features": F.array_sort(F.array_distinct(F.array_compact("_mapped"))),
-            "n_factors": F.size("_mapped"),
-            "n_unmapped": F.size("_mapped") - F.size(F.array_compact("_mapped")),
+            "cited_features": F.expr("array_sort(array_distinct(array_compact(_mapped)))"),
+            "n_factors": F.expr("size(_mapped)"),
+            "n_unmapped": F.expr("size(_mapped) - size(array_compact(_mapped))"),
         }
     ).drop("_mapped")
 
@@ -48,10 +50,10 @@ def top_features(long: DataFrame, by: Sequence[str], k: int = 5, feature: str =
     return best.groupBy(*by).agg(F.transform(ordered, lambda s: s[feature]).alias("top_features"))
 
 
-def top_features_of_row(weights: dict[str, Column], k: int = 5) -> Column:
-    """The same from a wide row that holds all weights: no shuffle at all."""
-    items = F.array(*[F.struct((-F.abs(w)).alias("w"), F.lit(name).alias("f")) for name, w in weights.items()])
-    return F.transform(F.slice(F.array_sort(items), 1, k), lambda s: s["f"])
+def top_features_of_row(weights: dict[str, str], k: int = 5) -> Column:
+    """The same from a wide row that holds all weights (SQL by feature): no shuffle at all."""
+    items = sqltext.array(f"named_struct('w', -abs({w}), 'f', '{feature}')" for feature, w in weights.items())
+    return F.expr(f"transform(slice(array_sort({items}), 1, {k}), s -> s.f)")
 
 
 def reference_table(top: DataFrame, conditions: Sequence[tuple[str, str]], key: str = "case_id") -> DataFrame:

@@ -7,36 +7,39 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetally.functions.draws import digest, gaussian, pick
+from casetally.functions import sqltext
+from casetally.functions.draws import gaussian_sql, pick_sql
 from casetally.operators.models import as_doubles, bad_probability
 from casetally.operators.sampling import sample_rows
 
 
 def unpivot_weights(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Attribution matrix to one row per (case, feature)."""
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("weight")) for f in features])
-    return wide.select(*keys, F.inline(items))
+    items = sqltext.array(f"named_struct('feature', '{f}', 'weight', cast({sqltext.name(f)} AS double))" for f in features)
+    return wide.selectExpr(*map(sqltext.name, keys), f"inline({items})")
 
 
 def background_means(df: DataFrame, columns: Sequence[str], n: int = 100, key: str = "case_id", seed: int = 42) -> dict[str, float]:
     """Column means over a background sample of at most n rows."""
-    row = sample_rows(df.select(key, *columns), n, key, seed).agg(*[F.avg(c).alias(c) for c in columns]).first()
-    return row.asDict()
+    means = [F.expr(f"avg({sqltext.name(c)}) AS {sqltext.name(c)}") for c in columns]
+    return sample_rows(df.select(key, *columns), n, key, seed).agg(*means).first().asDict()
 
 
-def linear_weights(coefficients: dict[str, float], means: dict[str, float]) -> dict[str, Column]:
-    """Contribution of each feature to a linear score, against the background; a missing value contributes nothing."""
+def linear_weights(coefficients: dict[str, float], means: dict[str, float]) -> dict[str, str]:
+    """SQL for the contribution of each feature to a linear score, against the background.
+
+    A missing value contributes nothing.
+    """
     return {
-        f: F.coalesce(F.lit(float(c)) * (F.col(f) - F.lit(means[f])), F.lit(0.0))
-        for f, c in coefficients.items()
+        f: f"coalesce({sqltext.double(c)} * ({sqltext.name(f)} - {sqltext.double(means[f])}), 0D)" for f, c in coefficients.items()
     }
 
 
 def linear_attribution(df: DataFrame, coefficients: dict[str, float], means: dict[str, float], key: str = "case_id") -> DataFrame:
-    return df.select(key, *[w.alias(f) for f, w in linear_weights(coefficients, means).items()])
+    return df.selectExpr(sqltext.name(key), *[f"{w} AS {sqltext.name(f)}" for f, w in linear_weights(coefficients, means).items()])
 
 
 def logistic_attribution(
@@ -74,31 +77,35 @@ def sampled_shapley(
     d = len(columns)
     # At most n_background rows, an argument, so they can travel in the plan.
     rows = [[r[c] for c in columns] for r in sample_rows(as_doubles(background, columns), n_background, key, seed).collect()]
-    pool = F.array(*[F.array(*[F.lit(v).cast("double") for v in row]) for row in rows])
-    walks = as_doubles(cases, columns).select(
-        key, F.array(*columns).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_p")
+    pool = F.expr(
+        sqltext.array(sqltext.array("cast(NULL AS double)" if v is None else sqltext.double(v) for v in row) for row in rows)
     )
-    order = F.array_sort(
-        F.array(*[F.struct(digest(seed, key, "_p", F.lit(c)).alias("h"), F.lit(j).alias("j")) for j, c in enumerate(columns)])
+    quoted = [sqltext.name(c) for c in columns]
+    id_ = sqltext.name(key)
+    walks = as_doubles(cases, columns).selectExpr(
+        id_, f"{sqltext.array(quoted)} AS _x", f"explode(sequence(0, {n_permutations - 1})) AS _p"
     )
-    walks = walks.withColumns(
-        {"_order": F.transform(order, lambda s: s["j"]), "_b": F.element_at(pool, (pick(len(rows), f"{seed}-row", key, "_p") + 1).cast("int"))}
+    order = sqltext.array(
+        f"named_struct('h', md5(concat_ws('|', '{seed}', cast({id_} AS string), cast(_p AS string), '{c}')), 'j', {j})"
+        for j, c in enumerate(columns)
+    )
+    walks = walks.select(
+        key,
+        "_x",
+        F.expr(f"transform(array_sort({order}), s -> s.j) AS _order"),
+        F.element_at(pool, F.expr(f"cast({pick_sql(len(rows), f'{seed}-row', id_, '_p')} + 1 AS int)")).alias("_b"),
     )
-    points = walks.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    points = walks.select(key, "_x", "_b", "_order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_step"))
     points = points.withColumn("_changed", F.slice("_order", F.lit(1), F.col("_step")))
-    points = points.select(
-        key, "_order", "_step",
-        *[F.when(F.array_contains("_changed", j), F.col("_x")[j]).otherwise(F.col("_b")[j]).alias(c) for j, c in enumerate(columns)],
+    points = points.selectExpr(
+        id_, "_order", "_step",
+        *[f"CASE WHEN array_contains(_changed, {j}) THEN _x[{j}] ELSE _b[{j}] END AS {c}" for j, c in enumerate(quoted)],
     )
     scored = model.transform(points).select(key, "_order", "_step", bad_probability().alias("_prob"))
-    effects = scored.select(
-        key,
-        F.inline(
-            F.array(
-                F.struct(F.try_element_at("_order", F.nullif(F.col("_step"), F.lit(0))).alias("j"), F.col("_prob").alias("v")),
-                F.struct(F.try_element_at("_order", F.col("_step") + 1).alias("j"), (-F.col("_prob")).alias("v")),
-            )
-        ),
+    effects = scored.selectExpr(
+        id_,
+        "inline(array(named_struct('j', try_element_at(_order, nullif(_step, 0)), 'v', _prob), "
+        "named_struct('j', try_element_at(_order, _step + 1), 'v', -_prob)))",
     ).where("j IS NOT NULL")
     names = F.array(*[F.lit(c) for c in columns])
     return effects.groupBy(key, "j").agg((F.sum("v") / n_permutations).alias("weight")).select(
@@ -127,21 +134,22 @@ def local_surrogate(
     d = len(columns)
     table = as_doubles(train, columns)
     source = table if fill is None else table.na.fill(fill, subset=list(columns))
-    stats = source.agg(*[F.avg(c).alias(f"m{j}") for j, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(columns)]).first()
-    mean = [float(stats[f"m{j}"] or 0.0) for j in range(d)]
-    std = [float(stats[f"s{j}"] or 0.0) or 1.0 for j in range(d)]
-
-    spread = as_doubles(cases, columns).repartition(key)
-    centred = spread.select(
-        key,
-        F.array(*[(F.coalesce(F.col(c), F.lit(mean[j] if fill is None else fill)) - mean[j]) / std[j] for j, c in enumerate(columns)]).alias("_own"),
+    quoted = [sqltext.name(c) for c in columns]
+    stats = source.agg(*[F.expr(f"{f}({c}) AS {f}_{j}") for f in ("avg", "stddev_pop") for j, c in enumerate(quoted)]).first()
+    mean = [float(stats[f"avg_{j}"] or 0.0) for j in range(d)]
+    std = [float(stats[f"stddev_pop_{j}"] or 0.0) or 1.0 for j in range(d)]
+    blank = mean if fill is None else [fill] * d
+
+    id_ = sqltext.name(key)
+    own = sqltext.array(
+        f"(coalesce({c}, {sqltext.double(blank[j])}) - {sqltext.double(mean[j])}) / {sqltext.double(std[j])}" for j, c in enumerate(quoted)
     )
-    drawn = centred.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    drawn = drawn.select(
-        key, "_i",
-        F.when(F.col("_i") == 0, F.col("_own")).otherwise(F.array(*[gaussian(seed, key, "_i", F.lit(c)) for c in columns])).alias("_z"),
+    drawn = as_doubles(cases, columns).repartition(key).selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
+    draws = sqltext.array(gaussian_sql(seed, id_, "_i", f"'{c}'") for c in columns)
+    drawn = drawn.selectExpr(id_, "_i", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")
+    points = drawn.selectExpr(
+        id_, "_i", "_z", *[f"_z[{j}] * {sqltext.double(std[j])} + {sqltext.double(mean[j])} AS {c}" for j, c in enumerate(quoted)]
     )
-    points = drawn.select(key, "_i", "_z", *[(F.col("_z")[j] * std[j] + mean[j]).alias(c) for j, c in enumerate(columns)])
     scored = model.transform(points).select(key, "_i", "_z", bad_probability().alias("_prob"))
 
     width = 0.75 * np.sqrt(d)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casetally.functions.sqltext import array, name, text
 from casetally.schema import LABELS, POSITIVE_LABEL, RAW_COLUMNS, SPECIAL_CODES, TARGET, TableMetadata, indicator_name
 
 
@@ -37,12 +36,13 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN becomes NULL, so that comparisons and aggregates skip it."""
     floats = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    return df.selectExpr(*[f"nullif({name(c)}, double('NaN')) AS {name(c)}" if c in floats else name(c) for c in df.columns])
 
 
 def drop_unusable_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Keep a row if any feature is above -9."""
-    return df.where(F.greatest(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features]) > -9)
+    values = array(f"nullif(cast({name(c)} AS double), double('NaN'))" for c in features)
+    return df.where(f"array_max({values}) > -9")
 
 
 def live_sentinels(df: DataFrame, features: Sequence[str]) -> list[tuple[str, int]]:
@@ -50,7 +50,7 @@ def live_sentinels(df: DataFrame, features: Sequence[str]) -> list[tuple[str, in
     pairs = [(c, code) for c in numeric_columns(df, features) for code in SPECIAL_CODES]
     if not pairs:
         return []
-    seen = df.agg(*[F.bool_or(F.col(c) == code).alias(f"{i}") for i, (c, code) in enumerate(pairs)]).first()
+    seen = df.agg(*[F.expr(f"bool_or({name(c)} = {code}) AS `{i}`") for i, (c, code) in enumerate(pairs)]).first()
     return [pair for i, pair in enumerate(pairs) if seen[f"{i}"]]
 
 
@@ -63,12 +63,12 @@ def encode_sentinels(
     """
     pairs = live_sentinels(df, features) if pairs is None else list(pairs)
     numeric = set(numeric_columns(df, features))
-    codes = list(SPECIAL_CODES)
-    indicators = [
-        F.coalesce((F.col(c) == code).cast("int"), F.lit(0)).alias(indicator_name(c, code)) for c, code in pairs
+    codes = ", ".join(map(str, SPECIAL_CODES))
+    indicators = [f"CASE WHEN {name(c)} = {code} THEN 1 ELSE 0 END AS {name(indicator_name(c, code))}" for c, code in pairs]
+    values = [
+        f"CASE WHEN {name(c)} NOT IN ({codes}) THEN {name(c)} END AS {name(c)}" if c in numeric else name(c) for c in df.columns
     ]
-    values = [F.when(~F.col(c).isin(codes), F.col(c)).alias(c) if c in numeric else F.col(c) for c in df.columns]
-    return df.select(*values, *indicators), [indicator_name(c, code) for c, code in pairs]
+    return df.selectExpr(*values, *indicators), [indicator_name(c, code) for c, code in pairs]
 
 
 def encode_target(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -88,15 +88,12 @@ def special_code_counts(df: DataFrame, features: Sequence[str], n: int = 10) ->
     All pairs are counted in one aggregate row, which is then turned into rows.
     """
     pairs = [(c, code) for c in numeric_columns(df, features) for code in SPECIAL_CODES]
-    one = df.agg(*[F.count_if(F.col(c) == code).alias(f"n{i}") for i, (c, code) in enumerate(pairs)])
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"), F.lit(code).alias("code"), F.lit(SPECIAL_CODES[code]).alias("meaning"),
-                F.col(f"n{i}").alias("n_rows"),
-            )
+    one = df.agg(*[F.expr(f"count_if({name(c)} = {code}) AS n{i}") for i, (c, code) in enumerate(pairs)])
+    items = F.expr(
+        array(
+            f"named_struct('feature', {text(c)}, 'code', {code}, 'meaning', '{SPECIAL_CODES[code]}', 'n_rows', n{i})"
             for i, (c, code) in enumerate(pairs)
-        ]
+        )
     )
     rows = one.select(F.inline(items)).where("n_rows > 0")
     return rows.orderBy(F.desc("n_rows"), "feature", "code").limit(n)
@@ -128,9 +125,9 @@ def inspect_table(df: DataFrame, features: Sequence[str], target: str = TARGET)
     }
 
 
-def sentinel_flags(df: DataFrame, indicators: Sequence[str], name: str = "n_sentinel_flags") -> DataFrame:
+def sentinel_flags(df: DataFrame, indicators: Sequence[str], column: str = "n_sentinel_flags") -> DataFrame:
     """Number of fired indicators per row."""
-    return df.withColumn(name, reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in indicators], F.lit(0)))
+    return df.withColumn(column, F.expr(" + ".join(["0", *[f"coalesce({name(c)}, 0)" for c in indicators]])))
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: float = 0.0) -> DataFrame:

@@ -193,4 +193,4 @@ def perturb(df: DataFrame, magnitudes: dict[str, float] = PERTURBATIONS, key: st
 
     # Two steps, so that each draw is computed once.
     shifted = df.withColumns({name: moved(name, m) for name, m in magnitudes.items()})
-    return shifted.withColumns({name: round_tenth(F.col(name)) for name in magnitudes})
+    return shifted.withColumns({name: round_tenth(name) for name in magnitudes})

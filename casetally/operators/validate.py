@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetally.functions import responses as R
@@ -26,7 +26,7 @@ PARSED = [
 def parse_structured(
     df: DataFrame,
     raw: str = "raw_response",
-    row_columns: Sequence[str | Column] | None = None,
+    row_columns: Sequence[str] | None = None,
     vocabulary: Sequence[float] | None = None,
     whole_words: bool = False,
 ) -> DataFrame:
@@ -37,7 +37,7 @@ def parse_structured(
     Objects whose factors or explanation have an unusable type are not valid.
     """
     vocabulary = vocabulary_numbers() if vocabulary is None else vocabulary
-    col, get = F.col, F.try_variant_get
+    col = F.col
     keep = [c for c in df.columns if c not in PARSED]
     values = F.lit(None).cast("array<double>") if row_columns is None else R.row_numbers(row_columns)
 
@@ -45,70 +45,56 @@ def parse_structured(
     step = step.withColumn("_wrapped", R.wrap_object(col("_clean")))
     step = step.withColumn("_doc", R.sole_object(col("_wrapped"), col("_clean")))
     doc = col("_doc")
+    expr = F.expr
+    kinds = {"_label_type": "label", "_confidence_type": "confidence", "_factor_type": "key_factors", "_explanation_type": "explanation"}
     step = step.withColumns(
-        {
-            "_label_type": R.json_type(doc, "$.label"),
-            "_confidence_type": R.json_type(doc, "$.confidence"),
-            "_factor_type": R.json_type(doc, "$.key_factors"),
-            "_explanation_type": R.json_type(doc, "$.explanation"),
-            "_items": get(doc, "$.key_factors", "array<variant>"),
-        }
+        {name: R.json_type(doc, f"$.{member}") for name, member in kinds.items()}
+        | {"_items": expr("try_variant_get(_doc, '$.key_factors', 'array<variant>')")}
     )
-    number_type = col("_confidence_type").isin("BIGINT", "DOUBLE", "FLOAT") | col("_confidence_type").startswith("DECIMAL")
     step = step.withColumns(
         {
-            "label": F.when(col("_label_type") == "STRING", R.normal_label(get(doc, "$.label", "string"))),
+            "label": F.when(col("_label_type") == "STRING", R.normal_label(expr("try_variant_get(_doc, '$.label', 'string')"))),
             # A JSON boolean counts as the number 0 or 1, a quoted number does not count.
-            "_stated": F.when(number_type, get(doc, "$.confidence", "double")).when(
-                col("_confidence_type") == "BOOLEAN", get(doc, "$.confidence", "boolean").cast("double")
+            "_stated": expr(
+                "CASE WHEN _confidence_type IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith(_confidence_type, 'DECIMAL') "
+                "THEN try_variant_get(_doc, '$.confidence', 'double') "
+                "WHEN _confidence_type = 'BOOLEAN' THEN cast(try_variant_get(_doc, '$.confidence', 'boolean') AS double) END"
             ),
             # A bare string is a sequence of characters, as for any consumer that iterates it.
-            "key_factors": F.when(
-                col("_factor_type").startswith("ARRAY"), F.transform("_items", lambda v: get(v, "$", "string"))
-            ).when(col("_factor_type") == "STRING", F.split(get(doc, "$.key_factors", "string"), "")),
-            "_usable": col("_explanation_type").isin("VOID", "STRING")
-            & (
-                col("_factor_type").isin("VOID", "STRING")
-                | (
-                    col("_factor_type").startswith("ARRAY")
-                    & F.forall("_items", lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "STRING")
-                )
+            "key_factors": expr(
+                "CASE WHEN startswith(_factor_type, 'ARRAY') THEN transform(_items, v -> try_variant_get(v, '$', 'string')) "
+                "WHEN _factor_type = 'STRING' THEN split(try_variant_get(_doc, '$.key_factors', 'string'), '') END"
+            ),
+            "_usable": expr(
+                "_explanation_type IN ('VOID', 'STRING') AND (_factor_type IN ('VOID', 'STRING') OR (startswith(_factor_type, 'ARRAY') "
+                "AND forall(_items, v -> coalesce(schema_of_variant(v), 'VOID') = 'STRING')))"
             ),
-            "explanation": F.when(col("_explanation_type") == "STRING", get(doc, "$.explanation", "string")),
-            "uncertainty_reason": get(doc, "$.uncertainty_reason", "string"),
-            "is_valid_json": doc.isNotNull(),
+            "explanation": expr("CASE WHEN _explanation_type = 'STRING' THEN try_variant_get(_doc, '$.explanation', 'string') END"),
+            "uncertainty_reason": expr("try_variant_get(_doc, '$.uncertainty_reason', 'string')"),
+            "is_valid_json": expr("_doc IS NOT NULL"),
         }
     )
+    text = F.concat_ws(" ", F.array_join("key_factors", " "), F.coalesce("explanation", F.lit("")))
     step = step.withColumns(
         {
-            "confidence": F.when(col("_stated").between(0, 100), col("_stated")),
-            "_quoted": F.when(
-                col("is_valid_json") & col("_usable") & col("_values").isNotNull(),
-                extract_numbers(F.concat_ws(" ", F.array_join("key_factors", " "), F.coalesce("explanation", F.lit("")))),
-            ),
-            "no_contradiction": F.when(
-                col("label").isNotNull(), ~R.contradicts(col("label"), col("explanation"), whole_words)
-            ),
+            "confidence": expr("CASE WHEN _stated BETWEEN 0 AND 100 THEN _stated END"),
+            "_quoted": F.when(expr("is_valid_json AND _usable AND _values IS NOT NULL"), extract_numbers(text)),
+            "no_contradiction": F.when(expr("label IS NOT NULL"), ~R.contradicts(col("label"), col("explanation"), whole_words)),
         }
     )
-    step = step.withColumn("ungrounded_numbers", R.ungrounded(col("_quoted"), col("_stated"), col("_values"), vocabulary))
+    step = step.withColumn("ungrounded_numbers", R.ungrounded("_quoted", "_stated", "_values", vocabulary))
     step = step.withColumns(
         {
-            "label_valid": col("label").isNotNull(),
-            "confidence_valid": col("confidence").isNotNull(),
-            "explanation_grounded": F.when(col("ungrounded_numbers").isNotNull(), F.size("ungrounded_numbers") == 0),
+            "label_valid": expr("label IS NOT NULL"),
+            "confidence_valid": expr("confidence IS NOT NULL"),
+            "explanation_grounded": expr("CASE WHEN ungrounded_numbers IS NOT NULL THEN size(ungrounded_numbers) = 0 END"),
         }
     )
-    success = (
-        col("is_valid_json")
-        & col("_usable")
-        & col("label_valid")
-        & col("confidence_valid")
-        & col("explanation").isNotNull()
-        & F.coalesce("explanation_grounded", F.lit(True))
-        & F.coalesce("no_contradiction", F.lit(True))
+    success = expr(
+        "coalesce(is_valid_json AND _usable AND label_valid AND confidence_valid AND explanation IS NOT NULL "
+        "AND coalesce(explanation_grounded, true) AND coalesce(no_contradiction, true), false)"
     )
-    return step.withColumn("parse_success", F.coalesce(success, F.lit(False))).select(*keep, *PARSED)
+    return step.withColumn("parse_success", success).select(*keep, *PARSED)
 
 
 def parse_stock(df: DataFrame, raw: str = "raw_response") -> DataFrame:

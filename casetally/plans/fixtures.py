@@ -6,9 +6,10 @@ not depend on the order of summation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casetally.functions import sqltext
 from casetally.functions.draws import uniform
 from casetally.operators.agreement import top_features_of_row
 from casetally.operators.attribution import linear_weights
@@ -26,102 +27,103 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_applicants(spark: SparkSession, sf: str) -> DataFrame:
     """One row per customer with the 23 features, sentinel codes in place, and a Good/Bad target."""
-    lines = table(spark, sf, "lineitem")
-    returned = F.col("l_returnflag") == "R"
     # Orders are reduced to one row each before they meet, customers likewise:
     # a customer with very many orders is summed up before the shuffle.
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.count("*").alias("items"),
-        F.count_if(returned).alias("returned"),
-        F.sum(F.rint(F.col("l_discount") * 100).cast("long")).alias("discount"),
-        F.sum(F.rint(F.col("l_tax") * 100).cast("long")).alias("tax"),
-        F.max(F.when(returned, F.to_date("l_shipdate"))).alias("last_return"),
+    per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        *map(
+            F.expr,
+            [
+                "count(*) AS items",
+                "count_if(l_returnflag = 'R') AS returned",
+                "sum(cast(rint(l_discount * 100) AS bigint)) AS discount",
+                "sum(cast(rint(l_tax * 100) AS bigint)) AS tax",
+                "max(CASE WHEN l_returnflag = 'R' THEN to_date(l_shipdate) END) AS last_return",
+            ],
+        )
     )
     orders = table(spark, sf, "orders")
     newest = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
     dated = orders.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.datediff(newest, F.to_date("o_orderdate")).alias("age")
     )
-    status = F.col("o_orderstatus")
-    age = F.col("age")
     per_customer = (
         dated.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy("o_custkey")
         .agg(
-            F.count("*").alias("n_orders"),
-            F.count_if(status == "F").alias("n_done"),
-            F.count_if(status == "O").alias("n_open"),
-            F.count_if(status == "P").alias("n_part"),
-            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
-            F.max("age").alias("oldest"),
-            F.min("age").alias("latest"),
-            F.sum("age").alias("ages"),
-            F.count_if(age <= 360).alias("n_year"),
-            F.count_if(age <= 180).alias("n_half"),
-            F.count_if((age <= 180) & (age > 7)).alias("n_half_late"),
-            F.min(F.when(age > 7, age)).alias("late"),
-            F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
-            F.coalesce(F.sum("returned"), F.lit(0)).alias("returned"),
-            F.coalesce(F.sum("discount"), F.lit(0)).alias("discount"),
-            F.coalesce(F.sum("tax"), F.lit(0)).alias("tax"),
+            *map(
+                F.expr,
+                [
+                    "count(*) AS n_orders",
+                    "count_if(o_orderstatus = 'F') AS n_done",
+                    "count_if(o_orderstatus = 'O') AS n_open",
+                    "count_if(o_orderstatus = 'P') AS n_part",
+                    "count_if(o_orderpriority = '1-URGENT') AS n_urgent",
+                    "max(age) AS oldest",
+                    "min(age) AS latest",
+                    "sum(age) AS ages",
+                    "count_if(age <= 360) AS n_year",
+                    "count_if(age <= 180) AS n_half",
+                    "count_if(age <= 180 AND age > 7) AS n_half_late",
+                    "min(CASE WHEN age > 7 THEN age END) AS late",
+                    "coalesce(sum(items), 0) AS items",
+                    "coalesce(sum(returned), 0) AS returned",
+                    "coalesce(sum(discount), 0) AS discount",
+                    "coalesce(sum(tax), 0) AS tax",
+                ],
+            ),
             F.datediff(newest, F.max("last_return")).alias("since_return"),
         )
     )
     people = table(spark, sf, "customer").join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
-    k, n, items = F.col("c_custkey"), F.col("n_orders"), F.nullif(F.col("items"), F.lit(0))
-
-    def month(days: str) -> Column:
-        return F.floor(F.col(days) / 30)
-
+    share = "100 * returned / nullif(items, 0)"
     plain = {
-        "ExternalRiskEstimate": 40 + F.floor((F.col("c_acctbal") + 1000) / 220),
-        "MSinceOldestTradeOpen": month("oldest"),
-        "MSinceMostRecentTradeOpen": month("latest"),
-        "AverageMInFile": F.floor(F.col("ages") / n / 30),
-        "NumSatisfactoryTrades": F.col("n_done"),
-        "NumTrades60Ever2DerogPubRec": F.floor(F.col("returned") / 4),
-        "NumTrades90Ever2DerogPubRec": F.floor(F.col("returned") / 8),
-        "PercentTradesNeverDelq": F.floor(1000 * (F.col("items") - F.col("returned")) / items) / 10,
-        "MSinceMostRecentDelq": F.greatest(F.lit(0), month("since_return")),
-        "MaxDelq2PublicRecLast12M": k % 10,
-        "MaxDelqEver": F.when(k % 29 == 5, F.lit(10)).otherwise(2 + k % 8),
-        "NumTotalTrades": n,
-        "NumTradesOpeninLast12M": F.col("n_year"),
-        "PercentInstallTrades": F.floor(100 * F.col("n_part") / n),
-        "MSinceMostRecentInqexcl7days": month("late"),
-        "NumInqLast6M": F.col("n_half"),
-        "NumInqLast6Mexcl7days": F.col("n_half_late"),
-        "NetFractionRevolvingBurden": F.floor(100 * F.col("discount") / items) / 10,
-        "NetFractionInstallBurden": F.floor(100 * F.col("tax") / items) / 10,
-        "NumRevolvingTradesWBalance": F.col("n_open"),
-        "NumInstallTradesWBalance": F.col("n_part"),
-        "NumBank2NatlTradesWHighUtilization": F.col("n_urgent"),
-        "PercentTradesWBalance": F.floor(100 * (F.col("n_open") + F.col("n_part")) / n),
-    }
-    sentinels = {
-        "ExternalRiskEstimate": [(k % 37 == 1, -9)],
-        "MSinceOldestTradeOpen": [(k % 31 == 1, -8)],
-        "MSinceMostRecentDelq": [(k % 11 == 0, -8), ((k % 7 == 3) | F.col("since_return").isNull(), -7)],
-        "MSinceMostRecentInqexcl7days": [(k % 13 == 2, -8), (k % 13 == 4, -7)],
-        "NetFractionRevolvingBurden": [(k % 19 == 1, -8)],
-        "NetFractionInstallBurden": [(k % 6 == 1, -8)],
-        "NumRevolvingTradesWBalance": [(k % 19 == 1, -8)],
-        "NumInstallTradesWBalance": [(k % 23 == 1, -8)],
-        "NumBank2NatlTradesWHighUtilization": [(k % 29 == 1, -8)],
-        "PercentTradesWBalance": [(k % 41 == 1, -8)],
+        "ExternalRiskEstimate": "40 + floor((c_acctbal + 1000) / 220)",
+        "MSinceOldestTradeOpen": "floor(oldest / 30)",
+        "MSinceMostRecentTradeOpen": "floor(latest / 30)",
+        "AverageMInFile": "floor(ages / n_orders / 30)",
+        "NumSatisfactoryTrades": "n_done",
+        "NumTrades60Ever2DerogPubRec": "floor(returned / 4)",
+        "NumTrades90Ever2DerogPubRec": "floor(returned / 8)",
+        "PercentTradesNeverDelq": "floor(1000 * (items - returned) / nullif(items, 0)) / 10",
+        "MSinceMostRecentDelq": "greatest(0, floor(since_return / 30))",
+        "MaxDelq2PublicRecLast12M": "c_custkey % 10",
+        "MaxDelqEver": "CASE WHEN c_custkey % 29 = 5 THEN 10 ELSE 2 + c_custkey % 8 END",
+        "NumTotalTrades": "n_orders",
+        "NumTradesOpeninLast12M": "n_year",
+        "PercentInstallTrades": "floor(100 * n_part / n_orders)",
+        "MSinceMostRecentInqexcl7days": "floor(late / 30)",
+        "NumInqLast6M": "n_half",
+        "NumInqLast6Mexcl7days": "n_half_late",
+        "NetFractionRevolvingBurden": "floor(100 * discount / nullif(items, 0)) / 10",
+        "NetFractionInstallBurden": "floor(100 * tax / nullif(items, 0)) / 10",
+        "NumRevolvingTradesWBalance": "n_open",
+        "NumInstallTradesWBalance": "n_part",
+        "NumBank2NatlTradesWHighUtilization": "n_urgent",
+        "PercentTradesWBalance": "floor(100 * (n_open + n_part) / n_orders)",
     }
 
-    def coded(name: str) -> Column:
-        value = F.when(k % 17 == 0, F.lit(-9))
-        for condition, code in sentinels.get(name, []):
-            value = value.when(condition, F.lit(code))
-        return value.otherwise(F.coalesce(plain[name], F.lit(-8))).cast("double")
+    def coded(feature: str) -> str:
+        planted = " ".join(f"WHEN {condition} THEN {code}" for condition, code in SENTINELS.get(feature, []))
+        return f"cast(CASE WHEN c_custkey % 17 = 0 THEN -9 {planted} ELSE coalesce({plain[feature]}, -8) END AS double) AS {feature}"
 
-    share = (100 * F.col("returned") / items).cast("double")
-    coded_rows = people.select(k.alias("case_id"), *[coded(f).alias(f) for f in FEATURE_NAMES], share.alias("_returned"))
     # A fixed limit near the median, so that the target needs no pass of its own.
-    bad = (F.col("case_id") % 3 == 0) | F.coalesce(F.col("_returned") > 33.0, F.lit(False))
-    return coded_rows.withColumn(TARGET, F.when(bad, F.lit("Bad")).otherwise(F.lit("Good"))).drop("_returned")
+    bad = f"c_custkey % 3 = 0 OR coalesce({share} > 33, false)"
+    return people.selectExpr("c_custkey AS case_id", *map(coded, FEATURE_NAMES), f"CASE WHEN {bad} THEN 'Bad' ELSE 'Good' END AS {TARGET}")
+
+
+# Feature -> (condition, code), the first that holds; customers whose key divides by 17 have no record at all.
+SENTINELS = {
+    "ExternalRiskEstimate": [("c_custkey % 37 = 1", -9)],
+    "MSinceOldestTradeOpen": [("c_custkey % 31 = 1", -8)],
+    "MSinceMostRecentDelq": [("c_custkey % 11 = 0", -8), ("c_custkey % 7 = 3 OR since_return IS NULL", -7)],
+    "MSinceMostRecentInqexcl7days": [("c_custkey % 13 = 2", -8), ("c_custkey % 13 = 4", -7)],
+    "NetFractionRevolvingBurden": [("c_custkey % 19 = 1", -8)],
+    "NetFractionInstallBurden": [("c_custkey % 6 = 1", -8)],
+    "NumRevolvingTradesWBalance": [("c_custkey % 19 = 1", -8)],
+    "NumInstallTradesWBalance": [("c_custkey % 23 = 1", -8)],
+    "NumBank2NatlTradesWHighUtilization": [("c_custkey % 29 = 1", -8)],
+    "PercentTradesWBalance": [("c_custkey % 41 = 1", -8)],
+}
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -129,21 +131,9 @@ def usable(df: DataFrame) -> DataFrame:
     return df.where(F.col("case_id") % 17 != 0)
 
 
-# The codes that the fixture plants, in dictionary order, so that no pass is needed to find them.
 def planted_pairs() -> list[tuple[str, int]]:
-    codes = {
-        "ExternalRiskEstimate": [-9],
-        "MSinceOldestTradeOpen": [-8],
-        "MSinceMostRecentDelq": [-8, -7],
-        "MSinceMostRecentInqexcl7days": [-8, -7],
-        "NetFractionRevolvingBurden": [-8],
-        "NetFractionInstallBurden": [-8],
-        "NumRevolvingTradesWBalance": [-8],
-        "NumInstallTradesWBalance": [-8],
-        "NumBank2NatlTradesWHighUtilization": [-8],
-        "PercentTradesWBalance": [-8],
-    }
-    return [(f, c) for f in FEATURE_NAMES for c in SPECIAL_CODES if c in codes.get(f, [])]
+    """The codes that the fixture plants, so that no pass is needed to find them."""
+    return [(f, c) for f in FEATURE_NAMES for c in SPECIAL_CODES if c in [code for _, code in SENTINELS.get(f, [])]]
 
 
 def applicants(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -203,73 +193,53 @@ RESPONSE_VALUES = ["amount", "month", "day"]
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON response per order in sixteen variants, sound and broken, and one in free text."""
-    orders = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    variant = k % 16
-    label = F.when(F.col("o_orderstatus") == "F", F.lit("Bad")).otherwise(F.lit("Good"))
-    conf = (50 + k % 50).cast("string")
-    amount = F.floor("o_totalprice").cast("string")
-    month, day = F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string")
-    labels = [text for text, _ in FEATURES.values()]
-    cited = F.element_at(F.array(*[F.lit(t) for t in labels]), (k % len(labels) + 1).cast("int"))
-    also = F.element_at(F.array(*[F.lit(t) for t in labels]), ((k * 7 + 3) % len(labels) + 1).cast("int"))
-    factors = (
-        F.when(variant == 13, F.lit(""))
-        .when(k % 5 == 0, F.lit('"key_factors": [], '))
-        .otherwise(
-            F.concat(F.lit('"key_factors": ["The applicant\'s '), cited, F.lit(" is "), amount, F.lit('", "'), also,
-                     F.lit('", "seen in month '), month, F.lit('"], '))
-        )
-    )
-    extra = (
-        F.when(variant == 6, F.lit(" Also 987654.3 and 1,200 were seen."))
-        .when(variant == 7, F.when(label == "Good", F.lit(" This is high risk.")).otherwise(F.lit(" Payment is reliable.")))
-        .when(variant == 10, F.concat(F.lit(" Stated with "), conf, F.lit(" percent, 60+ days in 24.")))
-        .when(variant == 11, F.concat(F.lit(" Range "), day, F.lit("-"), month, F.lit(".")))
-        .otherwise(F.lit(""))
-    )
-    shown = (
-        F.when(variant == 3, F.lit('"maybe"'))
-        .when(variant == 9, F.concat(F.lit('"  '), F.lower(label), F.lit(' "')))
-        .otherwise(F.concat(F.lit('"'), label, F.lit('"')))
-    )
-    stated = (
-        F.when(variant == 4, F.lit("140"))
-        .when(variant == 5, F.concat(F.lit('"'), conf, F.lit('"')))
-        .when(variant == 12, F.lit("null"))
-        .when(variant == 15, F.lit("true"))
-        .otherwise(conf)
+    labels = sqltext.array(sqltext.text(label) for label, _ in FEATURES.values())
+    n = len(FEATURES)
+    base = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS applicant_id",
+        "CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS true_label",
+        "CASE WHEN o_orderstatus = 'F' THEN 'Bad' ELSE 'Good' END AS label",
+        "cast(50 + o_orderkey % 50 AS string) AS conf",
+        "cast(floor(o_totalprice) AS string) AS amount",
+        "cast(month(o_orderdate) AS string) AS month",
+        "cast(day(o_orderdate) AS string) AS day",
+        f"element_at({labels}, cast(o_orderkey % {n} + 1 AS int)) AS cited",
+        f"element_at({labels}, cast((o_orderkey * 7 + 3) % {n} + 1 AS int)) AS also",
     )
-    told = F.when(variant == 8, F.lit("")).when(variant == 14, F.lit(', "explanation": ["a list"]')).otherwise(
-        F.concat(F.lit(', "explanation": "Value '), amount, F.lit(" on day "), day, F.lit(" of month "), month,
-                 F.lit(" within 24 months."), extra, F.lit('"'))
+    parts = base.selectExpr(
+        "*",
+        """CASE WHEN k % 16 = 13 THEN '' WHEN k % 5 = 0 THEN '"key_factors": [], '
+        ELSE concat('"key_factors": ["The applicant\\'s ', cited, ' is ', amount, '", "', also, '", "seen in month ', month, '"], ') END AS factors""",
+        """CASE k % 16 WHEN 6 THEN ' Also 987654.3 and 1,200 were seen.'
+        WHEN 7 THEN if(label = 'Good', ' This is high risk.', ' Payment is reliable.')
+        WHEN 10 THEN concat(' Stated with ', conf, ' percent, 60+ days in 24.')
+        WHEN 11 THEN concat(' Range ', day, '-', month, '.') ELSE '' END AS extra""",
+        """CASE k % 16 WHEN 3 THEN '"maybe"' WHEN 9 THEN concat('"  ', lower(label), ' "') ELSE concat('"', label, '"') END AS shown""",
+        """CASE k % 16 WHEN 4 THEN '140' WHEN 5 THEN concat('"', conf, '"') WHEN 12 THEN 'null' WHEN 15 THEN 'true' ELSE conf END AS stated""",
     )
-    body = F.concat(F.lit('{"label": '), shown, F.lit(", "), factors, F.lit('"confidence": '), stated, told,
-                    F.lit(', "uncertainty_reason": "none"}'))
-    text = (
-        F.when(variant == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(variant == 1, F.substring(body, 1, 30))
-        .when(variant == 2, F.concat(F.lit("["), body, F.lit("]")))
-        .otherwise(body)
+    body = parts.selectExpr(
+        "*",
+        """concat('{"label": ', shown, ', ', factors, '"confidence": ', stated, CASE k % 16 WHEN 8 THEN '' WHEN 14 THEN ', "explanation": ["a list"]'
+        ELSE concat(', "explanation": "Value ', amount, ' on day ', day, ' of month ', month, ' within 24 months.', extra, '"') END,
+        ', "uncertainty_reason": "none"}') AS body""",
     )
-    free = (
-        F.when(k % 8 == 0, F.concat(F.lit("**Classification:** **"), label, F.lit("**\n**Confidence:** "), conf, F.lit("%\n**Explanation:** Value "), amount))
-        .when(k % 8 == 1, F.concat(F.lit("classification: "), F.lower(label), F.lit("\nconfidence: 140\nexplanation: none")))
-        .when(k % 8 == 2, F.concat(F.lit("Classification: unsure Classification: "), label, F.lit("\nConfidence: "), conf, F.lit("\nExplanation: two words")))
-        .when(k % 8 == 3, F.concat(F.lit("Classification: "), label, F.lit("\nConfidence: high\nExplanation: two words")))
-        .when(k % 8 == 4, F.concat(F.lit("Classification: "), label, F.lit("\nConfidence: "), conf, F.lit("\nExplanation:   ")))
-        .when(k % 8 == 5, F.concat(label, F.lit(", surely.")))
-        .otherwise(F.concat(F.lit("Classification: "), label, F.lit("\nConfidence: "), conf, F.lit(".5\nExplanation: first line\nvalue "), amount))
-    )
-    return orders.select(
-        k.alias("case_id"),
-        F.col("o_custkey").alias("applicant_id"),
-        F.lit("structured").alias("pipeline"),
-        F.lit(0).alias("seed"),
-        F.when(F.col("o_orderpriority") < "3", F.lit(1)).otherwise(F.lit(0)).alias("true_label"),
-        text.alias("raw_response"),
-        free.alias("stock_response"),
-        (k % 3 == 0).alias("parse_success"),
+    return body.selectExpr(
+        "k AS case_id",
+        "applicant_id",
+        "'structured' AS pipeline",
+        "0 AS seed",
+        "true_label",
+        """CASE k % 16 WHEN 0 THEN concat('```json\\n', body, '\\n```') WHEN 1 THEN substring(body, 1, 30) WHEN 2 THEN concat('[', body, ']')
+        ELSE body END AS raw_response""",
+        """CASE k % 8 WHEN 0 THEN concat('**Classification:** **', label, '**\\n**Confidence:** ', conf, '%\\n**Explanation:** Value ', amount)
+        WHEN 1 THEN concat('classification: ', lower(label), '\\nconfidence: 140\\nexplanation: none')
+        WHEN 2 THEN concat('Classification: unsure Classification: ', label, '\\nConfidence: ', conf, '\\nExplanation: two words')
+        WHEN 3 THEN concat('Classification: ', label, '\\nConfidence: high\\nExplanation: two words')
+        WHEN 4 THEN concat('Classification: ', label, '\\nConfidence: ', conf, '\\nExplanation:   ')
+        WHEN 5 THEN concat(label, ', surely.')
+        ELSE concat('Classification: ', label, '\\nConfidence: ', conf, '.5\\nExplanation: first line\\nvalue ', amount) END AS stock_response""",
+        "k % 3 = 0 AS parse_success",
     )
 
 
@@ -280,22 +250,17 @@ def coefficient(method: str, model: str, feature: str) -> float:
 
 def feature_means(prepared: DataFrame) -> dict[str, float]:
     """Means rounded to six digits, so that they do not depend on the order of summation."""
-    return prepared.agg(*[F.round(F.avg(f), 6).alias(f) for f in FEATURE_NAMES]).first().asDict()
+    return prepared.agg(*[F.expr(f"round(avg({f}), 6) AS {f}") for f in FEATURE_NAMES]).first().asDict()
 
 
 def reference_tops(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Top features per (method, model, case), taken from one wide row per applicant without a shuffle."""
     prepared, _ = applicants(spark, sf)
     means = feature_means(prepared)
-    items = [
-        F.struct(
-            F.lit(method).alias("method"),
-            F.lit(model).alias("model"),
-            top_features_of_row(
-                {f: F.round(w, 6) for f, w in linear_weights({f: coefficient(method, model, f) for f in FEATURE_NAMES}, means).items()}, k
-            ).alias("top_features"),
-        )
-        for method in METHODS
-        for model in MODELS
-    ]
+    items = []
+    for method in METHODS:
+        for model in MODELS:
+            weights = linear_weights({f: coefficient(method, model, f) for f in FEATURE_NAMES}, means)
+            top = top_features_of_row({f: f"round({w}, 6)" for f, w in weights.items()}, k)
+            items.append(F.struct(F.lit(method).alias("method"), F.lit(model).alias("model"), top.alias("top_features")))
     return prepared.select("case_id", F.inline(F.array(*items)))

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call-site capture costs milliseconds for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
