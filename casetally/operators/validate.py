@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from casetally.functions import responses as R
 from casetally.functions.numbers import extract_numbers
+from casetally.functions.sqltext import name
 from casetally.schema import vocabulary_numbers
 
 PARSED = [
@@ -48,7 +49,7 @@ def parse_structured(
     expr = F.expr
     kinds = {"_label_type": "label", "_confidence_type": "confidence", "_factor_type": "key_factors", "_explanation_type": "explanation"}
     step = step.withColumns(
-        {name: R.json_type(doc, f"$.{member}") for name, member in kinds.items()}
+        {column: R.json_type(doc, f"$.{member}") for column, member in kinds.items()}
         | {"_items": expr("try_variant_get(_doc, '$.key_factors', 'array<variant>')")}
     )
     step = step.withColumns(
@@ -94,22 +95,31 @@ def parse_structured(
         "coalesce(is_valid_json AND _usable AND label_valid AND confidence_valid AND explanation IS NOT NULL "
         "AND coalesce(explanation_grounded, true) AND coalesce(no_contradiction, true), false)"
     )
-    return step.withColumn("parse_success", success).select(*keep, *PARSED)
+    return _parsed_once(step.withColumn("parse_success", success), keep, PARSED)
+
+
+def _parsed_once(df: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Select the results through a generator of one row.
+
+    A filter on a check would otherwise be pushed down to the scan, where it
+    repeats the whole parse; a filter on generated columns stays above.
+    """
+    row = f"inline(array(named_struct({', '.join(f"'{f}', {name(f)}" for f in fields)})))"
+    return df.selectExpr(*map(name, keep), row)
 
 
 def parse_stock(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     """Add label, confidence, explanation and success of a free-text response."""
     keep = [c for c in df.columns if c not in PARSED]
-    return df.select(*keep, R.stock_label(F.col(raw)).alias("label"), R.stock_number(F.col(raw)).alias("_stated"),
-                     R.stock_explanation(F.col(raw)).alias("explanation")).select(
+    found = df.select(
         *keep,
-        "label",
-        F.when(F.col("_stated").between(0, 100), F.col("_stated")).alias("confidence"),
-        "explanation",
-    ).withColumn(
-        "parse_success",
-        F.col("label").isNotNull() & F.col("confidence").isNotNull() & F.col("explanation").isNotNull(),
+        R.stock_label(F.col(raw)).alias("label"),
+        R.stock_number(F.col(raw)).alias("_stated"),
+        R.stock_explanation(F.col(raw)).alias("explanation"),
     )
+    checked = found.withColumn("confidence", F.expr("CASE WHEN _stated BETWEEN 0 AND 100 THEN _stated END"))
+    checked = checked.withColumn("parse_success", F.expr("label IS NOT NULL AND confidence IS NOT NULL AND explanation IS NOT NULL"))
+    return _parsed_once(checked, keep, ["label", "confidence", "explanation", "parse_success"])
 
 
 PARSERS = {"structured": parse_structured, "stock": lambda df, raw="raw_response", **_: parse_stock(df, raw)}
