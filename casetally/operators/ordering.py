@@ -1,102 +1,93 @@
 """Exact order statistics without sorting a whole group in one task.
 
 Equal values are counted together first, so hot values cost one row. The value
-axis is then cut into ranges of about equal weight; a running total is the
-total of the ranges before plus the running total inside the own range. Only
-the range totals, of which there are ``ranges`` at most per group, meet in one
-task.
+axis is then cut into fixed narrow ranges; a running total is the total of the
+ranges before plus the running total inside the own range. Only the totals of
+the ranges of a group meet in one task, and their number is limited by the cut
+and not by the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from casetally.functions.sqltext import name
 
+# Ranges between a power of two and the next. A range so holds values that
+# agree to one part in 4096; raise it where distinct values crowd closer.
+RANGES = 4096
 
-def value_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
-    """Cut points that split the rows into ranges of about equal weight.
 
-    One pass over one column. The cut points only balance the work, any error
-    in them leaves the results exact.
+def range_number(value: str, ranges: int = RANGES) -> str:
+    """SQL for a whole number that never falls as the value rises.
+
+    It depends on the value alone, so every task and every retry cuts alike.
     """
-    fractions = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(df.stat.approxQuantile(value, fractions, 1.0 / (4 * ranges))))
-    return [float("-inf"), *edges, float("inf")]
+    size = f"abs({value})"
+    octave = f"floor(log2({size}))"
+    step = f"((1100 + {octave}) * {2 * ranges}L + floor({size} / pow(2D, {octave}) * {ranges}))"
+    return f"coalesce(CASE WHEN {value} = 0D THEN 0L ELSE cast(sign({value}) AS bigint) * {step} END, -9000000000000000000L)"
 
 
-def running_totals(
-    counted: DataFrame, by: Sequence[str], value: str, totals: Sequence[str], edges: Sequence[float]
-) -> DataFrame:
+def running_totals(counted: DataFrame, by: Sequence[str], value: str, totals: Sequence[str], ranges: int = RANGES) -> DataFrame:
     """Running and overall sums of ``totals`` in rising order of ``value`` within ``by``.
 
-    ``counted`` has one row per (by, value). Adds ``cum_<name>`` (up to and
-    including the row) and ``all_<name>`` (over the group).
+    ``counted`` has one row per (by, value), with finite values. Adds
+    ``cum_<name>`` (up to and including the row) and ``all_<name>`` (over the group).
     """
     by = list(by)
-    if len(edges) > 2:
-        cut = Bucketizer(splits=list(edges), inputCol=value, outputCol="_range").transform(counted)
-        cut = cut.withColumn("_range", F.col("_range").cast("int"))
-    else:
-        cut = counted.withColumn("_range", F.lit(0))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cut = counted.withColumn("_range", F.expr(range_number(name(value), ranges)))
     group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
     starts = sums.select(
-        *by,
-        "_range",
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_range").alias("_at"),
         *[F.coalesce(F.sum(f"_{t}").over(before), F.lit(0)).alias(f"_start_{t}") for t in totals],
         *[F.sum(f"_{t}").over(group).alias(f"all_{t}") for t in totals],
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_range") == F.col("_at")]
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(starts, [*by, "_range"])
+        cut.join(starts, same)
         .withColumns({f"cum_{t}": F.col(f"_start_{t}") + F.sum(t).over(inside) for t in totals})
-        .drop("_range", *[f"_start_{t}" for t in totals])
-    )
-
-
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, names: dict[str, float], ranges: int = RANGES
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per name."""
-    by = list(by)
-    present = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
-    counted = present.groupBy(*by, "_v").agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, by, "_v", ["n"], value_ranges(present, "_v", ranges))
-    picks = {}
-    for name, q in names.items():
-        at = F.lit(float(q)) * (F.col("all_n") - 1)
-        picks[name] = (F.min(F.when(F.col("cum_n") > F.floor(at), F.col("_v"))),
-                       F.min(F.when(F.col("cum_n") > F.ceil(at), F.col("_v"))),
-                       F.max(at - F.floor(at)))
-    found = ranked.groupBy(*by).agg(
-        *[c.alias(f"_{name}_{i}") for name, parts in picks.items() for i, c in enumerate(parts)]
+        .select(*counted.columns, *[f"{p}_{t}" for p in ("cum", "all") for t in totals])
     )
-    low, high, part = ({n: F.col(f"_{n}_{i}") for n in names} for i in range(3))
-    return found.select(*by, *[(low[n] + (high[n] - low[n]) * part[n]).alias(n) for n in names])
 
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe(df: DataFrame, by: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of a column per group."""
+def describe(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float] | None = None, ranges: int = RANGES) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quantiles of a column per group.
+
+    Quantiles interpolate linearly. Everything comes from the counts per
+    distinct value, so the source is read once.
+    """
+    quantiles = QUARTILES if quantiles is None else quantiles
     by = list(by)
-    v = F.when(~F.isnan(value), F.col(value)).cast("double")
-    basic = df.groupBy(*by).agg(
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
-    quartiles = exact_quantiles(df, by, value, QUARTILES, ranges)
-    condition = [basic[c].eqNullSafe(quartiles[c]) for c in by]
-    return basic.join(quartiles, condition, "left").select(
-        *[basic[c] for c in by], "count", "mean", "std", "min", *QUARTILES, "max"
+    v = F.when(~F.isnan(value), F.col(value).cast("double")).alias("_v")
+    # A group without any value keeps its one NULL row of weight 0.
+    counted = df.select(*by, v).groupBy(*by, "_v").agg(F.count("_v").alias("n")).withColumn("nv", F.col("n") * F.coalesce("_v", F.lit(0.0)))
+    ranked = running_totals(counted, by, "_v", ["n", "nv"], ranges)
+    at = {q: f"{float(p)!r}D * (all_n - 1)" for q, p in quantiles.items()}
+    found = ranked.groupBy(*by).agg(
+        F.expr("max(all_n) AS count"),
+        F.expr("max(all_nv / nullif(all_n, 0)) AS mean"),
+        F.expr("sqrt(sum(n * pow(_v - all_nv / nullif(all_n, 0), 2)) / nullif(max(all_n) - 1, 0)) AS std"),
+        F.expr("min(_v) AS min"),
+        F.expr("max(_v) AS max"),
+        *[F.expr(f"min(CASE WHEN cum_n > floor({a}) THEN _v END) AS _low_{q}") for q, a in at.items()],
+        *[F.expr(f"min(CASE WHEN cum_n > ceil({a}) THEN _v END) AS _high_{q}") for q, a in at.items()],
+        *[F.expr(f"max({a} - floor({a})) AS _part_{q}") for q, a in at.items()],
     )
+    between = [F.expr(f"_low_{q} + (_high_{q} - _low_{q}) * _part_{q} AS {q}") for q in quantiles]
+    return found.select(*by, "count", "mean", F.when(F.col("count") > 1, F.col("std")).alias("std"), "min", *between, "max")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column per name."""
+    return describe(df, by, value, quantiles, ranges).select(*by, *quantiles)
