@@ -21,8 +21,16 @@ METHODS = ["shap", "lime"]
 N_REPEATS = 5
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A provided table; with ``spread_by``, a table of fewer splits than cores is spread over all cores.
+
+    A large table has more splits than that and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, spread_by)
+    return df
 
 
 def raw_applicants(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +82,7 @@ def raw_applicants(spark: SparkSession, sf: str) -> DataFrame:
             F.datediff(newest, F.max("last_return")).alias("since_return"),
         )
     )
-    people = table(spark, sf, "customer").join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+    people = table(spark, sf, "customer", "c_custkey").join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
     share = "100 * returned / nullif(items, 0)"
     plain = {
         "ExternalRiskEstimate": "40 + floor((c_acctbal + 1000) / 220)",
@@ -195,7 +203,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON response per order in sixteen variants, sound and broken, and one in free text."""
     labels = sqltext.array(sqltext.text(label) for label, _ in FEATURES.values())
     n = len(FEATURES)
-    base = table(spark, sf, "orders").selectExpr(
+    base = table(spark, sf, "orders", "o_orderkey").selectExpr(
         "o_orderkey AS k",
         "o_custkey AS applicant_id",
         "CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS true_label",
