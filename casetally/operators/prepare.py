@@ -46,12 +46,14 @@ def drop_unusable_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def live_sentinels(df: DataFrame, features: Sequence[str]) -> list[tuple[str, int]]:
-    """(feature, code) pairs that occur at least once: one aggregate row over all pairs."""
-    pairs = [(c, code) for c in numeric_columns(df, features) for code in SPECIAL_CODES]
-    if not pairs:
+    """(feature, code) pairs that occur at least once: one aggregate row with a bit mask per feature."""
+    columns = numeric_columns(df, features)
+    if not columns:
         return []
-    seen = df.agg(*[F.expr(f"bool_or({name(c)} = {code}) AS `{i}`") for i, (c, code) in enumerate(pairs)]).first()
-    return [pair for i, pair in enumerate(pairs) if seen[f"{i}"]]
+    bits = {code: 1 << i for i, code in enumerate(SPECIAL_CODES)}
+    cases = " ".join(f"WHEN {code} THEN {bit}" for code, bit in bits.items())
+    seen = df.agg(*[F.expr(f"coalesce(bit_or(CASE {name(c)} {cases} ELSE 0 END), 0) AS `{i}`") for i, c in enumerate(columns)]).first()
+    return [(c, code) for i, c in enumerate(columns) for code, bit in bits.items() if seen[f"{i}"] & bit]
 
 
 def encode_sentinels(

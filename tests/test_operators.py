@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casetally.functions.draws import gaussian_sql
 from casetally.functions.profiles import reworded_profile_text, sentence
 from casetally.functions.prompts import glossary, structured_prompt, structured_system
-from casetally.functions.pvalues import paired_p
+from casetally.functions.pvalues import binomial_p, chi2_p
 from casetally.operators import agreement, grounding, metrics, ordering, paired, prepare, robustness, runs, sampling, votes
 from casetally.plans import reports
 from casetally.schema import FEATURE_NAMES, FEATURES, PERTURBATIONS, RAW_COLUMNS, TARGET
@@ -162,10 +162,18 @@ def test_paired_tests_reproduce_published_values(spark):
     got = {int(r.comparison): r for r in paired.mcnemar(counts).collect()}
     for i, (_, _, statistic, p) in enumerate(PUBLISHED):
         assert math.isclose(got[i].statistic, statistic) and math.isclose(got[i].p_value, p, rel_tol=1e-12)
-    assert paired_p(0, 0) == 1.0
     assert {r.test_type for r in got.values()} == {"exact_binomial", "chi2_continuity_corrected"}
 
 
+def test_p_values_match_the_closed_forms(spark):
+    xs = [0.0, 1e-6, 0.3, 1.0, 3.84, 7.9, 8.0, 8.1, 20.0, 100.0, 600.0]
+    for r in frame(spark, [(x,) for x in xs], "x double").select("x", F.expr(chi2_p("x")).alias("p")).collect():
+        assert math.isclose(r.p, math.erfc(math.sqrt(r.x / 2)), rel_tol=1e-11)
+    pairs = [(k, n) for n in range(25) for k in range(n // 2 + 1)]
+    for r in frame(spark, pairs, "k long, n long").select("k", "n", F.expr(binomial_p("k", "n")).alias("p")).collect():
+        assert math.isclose(r.p, min(1.0, 2 * sum(math.comb(r.n, i) for i in range(r.k + 1)) / 2**r.n), rel_tol=1e-14)
+
+
 def test_holm_reproduces_published_values(spark):
     tests = frame(spark, [(f"{i}", row[3]) for i, row in enumerate(PUBLISHED[:4])], "comparison string, p_value double")
     got = {r.comparison: r for r in paired.holm(tests).collect()}
