@@ -79,7 +79,7 @@ def test_confidence(spark, value, expected):
         ("Exactly 1,200 of them.", [1.0, 200.0]),
         ("Ends with 12345.", [12345.0]),
         ("Rounded 5.04 or 4.96.", []),
-        ("Too far 5.6.", [5.6]),
+        ("Too far 8.6.", [8.6]),
     ],
 )
 def test_grounding(spark, explanation, loose):
