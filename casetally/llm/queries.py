@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, toxicity
+from . import decontaminate, html, mixing, pii, quality, simhash, suffix, tokens, topk, toxicity
 from .common import table
 
 
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+def op6_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, folder, "documents"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,4 +42,26 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op7_mixing, op8_simhash)}
+def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, folder, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_topk,
+        op2_quality,
+        op3_toxicity,
+        op4_decontaminate,
+        op5_html,
+        op6_tokens,
+        op7_mixing,
+        op8_simhash,
+        op9_suffix,
+        op10_pii,
+    )
+}
