@@ -121,6 +121,7 @@ def mix(
     )
     chosen = written(first.unionByName(edge.withColumn("extra", (upto <= F.col("budget")).cast("int"))), "mix-chosen")
     gap = chosen.where("rank is not null").groupBy("part").agg((F.first("budget") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
+    gap = written(gap, "mix-gaps")  # one row a source: as a table, Spark knows that it is small
     closing = (
         chosen.where("rank is not null and extra = 0")
         .join(gap, "part")
@@ -129,6 +130,7 @@ def mix(
         .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", F.col("doc_id").alias("close_id"), F.col("size").alias("close_size"))).alias("c"))
         .select("part", F.lit(True).alias("closes"), "c.close_id", "c.close_size")
     )
+    closing = written(closing, "mix-closing")
     marked = chosen.join(closing, "part", "left").withColumn(
         "closes",
         F.coalesce("closes", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("close_id")) & (F.col("size") == F.col("close_size")) & (F.col("extra") == 0) & F.col("rank").isNotNull(),
@@ -151,8 +153,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         .groupBy(F.col("doc_id").alias("_key"))
         .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     )
+    names = [f"c{i}" for i in range(len(docs.columns))]  # apart from all other names
     number = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    joined = docs.join(per_key, docs[key].cast("long").eqNullSafe(per_key["_key"]))
+    joined = docs.toDF(*names).join(per_key, F.col(f"c{docs.columns.index(key)}").cast("long").eqNullSafe(F.col("_key")))
     times = F.floor(F.col("_copies") / F.col("_n")) + F.when(number <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
     repeated = joined.withColumn("_times", times.cast("int")).where("_times > 0")
-    return repeated.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return repeated.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names).toDF(*docs.columns)

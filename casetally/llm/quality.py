@@ -165,7 +165,7 @@ def train(docs: DataFrame, posterior: dict[str, float], rows: int = TRAIN_ROWS,
 
     x = found.mapInArrow(hashed, "h long, y double, at array<long>, value array<double>")
     row = x.repartition(1).sortWithinPartitions("h").mapInArrow(learn, "w binary, bias double").first()
-    return bytes(row[0]), row[1]
+    return (bytes(row[0]), row[1]) if row else (bytes(4 * DIMS), 0.0)
 
 
 def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

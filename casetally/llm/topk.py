@@ -150,6 +150,9 @@ def top_k(
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         keys = ["dim", "shard", "g"]
+        # Both sides come from one table; new names keep their columns apart.
+        left = left.select(*(F.col(c).alias(c) for c in ("vec_id", "v", *keys)))
+        right = right.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "floor", *keys)))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searcher(k), schema)
 
     lowest = F.lit(_NONE + 1)

@@ -59,8 +59,7 @@ def features(text: str | None) -> np.ndarray:
 def ftrl(rows: list[tuple[np.ndarray, int]], alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias after ``epochs`` passes over rows of (distinct coordinates, label), in their order."""
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    bias = np.array([DIMS])
-    rows = [(np.concatenate((x, bias)), y) for x, y in rows]
+    rows = [(np.append(x, DIMS).astype(np.int32), y) for x, y in rows]
 
     def weights(at) -> np.ndarray:
         zi = z[at]
@@ -104,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
         rows = []
         for batch in batches:
             for i in range(batch.num_rows):
-                rows.append((batch.column(2)[i].values.to_numpy().astype(np.int64), batch.column(1)[i].as_py()))
+                rows.append((batch.column(2)[i].values.to_numpy(), batch.column(1)[i].as_py()))
         w, b = ftrl(rows)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays(
