@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER_PATTERN = r"-?[0-9]+\.?[0-9]*"
+from casetally.schema import NUMBER_PATTERN
 
 
 def extract_numbers(text: Column) -> Column:

@@ -11,6 +11,8 @@ from casetally.functions.draws import pick_sql
 from casetally.functions.numbers import one_decimal_sql, plain_number_sql
 from casetally.functions.sqltext import array, name, text
 from casetally.schema import (
+    EXPLANATION_CLOSING,
+    EXPLANATION_OPENING,
     CORE_FACTORS,
     FEATURE_NAMES,
     FEATURES,
@@ -146,13 +148,14 @@ def ideal_response(indicators: Sequence[str], label: Column, confidence: Column,
         F.coalesce("NumTrades60Ever2DerogPubRec", F.lit(0.0)) > 0
     )
     tension = (F.coalesce("PercentTradesNeverDelq", F.lit(0.0)) >= 99.5) & late
+    before, after = EXPLANATION_CLOSING.split("{label}")
     explanation = F.concat(
-        F.lit("Based on the applicant's record: "),
+        F.lit(EXPLANATION_OPENING),
         F.array_join(factors, " "),
         F.when(tension, F.lit(TENSION_NOTE)).otherwise(F.lit("")),
-        F.lit(" This pattern is consistent with a "),
+        F.lit(before),
         label,
-        F.lit(" classification."),
+        F.lit(after),
     )
     return F.struct(
         label.alias("label"),

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casetally.schema import FEATURES, RUBRIC
+from casetally.schema import EXAMPLE_LAYOUT, EXAMPLES_HEAD, FEATURES, GLOSSARY_HEAD, GLOSSARY_LINE, GLOSSARY_UNIT, RUBRIC, RUBRIC_HEAD
 
 # Wording of the prompts.
 STOCK_SYSTEM = (
@@ -47,20 +47,22 @@ EXAMPLE_SEPARATOR = "\n\n---\n\n"
 
 
 def glossary() -> str:
-    entries = [f"- {name}: {label}" + (f" (unit: {unit})" if unit else "") for name, (label, unit) in FEATURES.items()]
-    return "\n".join(["Feature glossary:", *entries])
+    lines = [GLOSSARY_HEAD]
+    for feature, (label, unit) in FEATURES.items():
+        line = GLOSSARY_LINE.format(name=feature, label=label)
+        lines.append(line + GLOSSARY_UNIT.format(unit=unit) if unit else line)
+    return "\n".join(lines)
 
 
 def example_block(examples: Sequence[dict]) -> str:
     """Worked examples as text; there are a handful of them."""
     return EXAMPLE_SEPARATOR.join(
-        "Applicant profile:\n{}\n\nResponse:\n{}".format(e["profile_text"], json.dumps(e["ideal_response"], indent=2))
-        for e in examples
+        EXAMPLE_LAYOUT.format(profile=e["profile_text"], response=json.dumps(e["ideal_response"], indent=2)) for e in examples
     )
 
 
 def structured_system(examples: Sequence[dict]) -> str:
-    sections = [STRUCTURED_ROLE, glossary(), f"Decision rubric:\n{RUBRIC}", STRUCTURED_FORMAT, "Examples:", example_block(examples)]
+    sections = [STRUCTURED_ROLE, glossary(), RUBRIC_HEAD.format(rubric=RUBRIC), STRUCTURED_FORMAT, EXAMPLES_HEAD, example_block(examples)]
     return "\n\n".join(sections)
 
 

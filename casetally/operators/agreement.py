@@ -12,10 +12,12 @@ from casetally.schema import FEATURES
 
 
 def feature_of_factor(factor: str) -> str:
-    """SQL for the feature whose label a lower-case text contains; the longest label wins."""
-    by_length = sorted(FEATURES.items(), key=lambda item: -len(item[1][0]))
-    cases = [f"WHEN contains({factor}, {sqltext.text(label.lower())}) THEN '{feature}'" for feature, (label, _) in by_length]
-    return f"CASE {' '.join(cases)} END"
+    """SQL for the feature whose label a lower-case text contains; the longest label wins, of equal ones the first listed."""
+    listed = sqltext.array(
+        f"named_struct('size', {len(label)}, 'place', -{place}, 'feature', '{feature}', 'label', {sqltext.text(label.lower())})"
+        for place, (feature, (label, _)) in enumerate(FEATURES.items())
+    )
+    return f"array_max(filter({listed}, l -> contains({factor}, l.label))).feature"
 
 
 def map_factors(df: DataFrame, factors: str = "key_factors") -> DataFrame:

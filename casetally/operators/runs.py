@@ -88,9 +88,8 @@ def responses_for(
     system_prompt, user_prompt = PROMPTS[pipeline](build(metadata.indicators), examples)
     keep = ["case_id", "seed", metadata.target, *metadata.features]
     requests = open_runs.where(F.col("pipeline") == pipeline).select(*keep, user_prompt.alias("user_prompt"))
-    if tasks:
-        # Generation costs far more than moving a prompt; spread it evenly.
-        requests = requests.repartition(tasks, "case_id", "seed")
+    # Generation costs far more than moving a prompt; spread it evenly.
+    requests = requests.repartition(*([tasks] if tasks else []), "case_id", "seed")
     answered = generate(requests, factory, system_prompt, max_new_tokens)
     parsed = PARSERS[pipeline](answered, "raw_response", row_columns=metadata.features)
     return parsed.withColumn("pipeline", F.lit(pipeline)).withColumnRenamed(metadata.target, "true_label").drop(*metadata.features)
@@ -104,15 +103,25 @@ def run_pipeline(
     path: str,
     batch: int,
     n_repeats: int = 5,
+    parts: int = 8,
     **options,
 ) -> int:
     """Run what the log lacks and append it; returns the number of new responses.
 
-    Started again after a failure, it goes on where the log ends.
+    Open runs are dealt by hash into ``parts``, each appended to the log when it is done. A failure so loses
+    the part that runs at most; started again, it goes on where the log ends.
     """
     spark = cases.sparkSession
     log = runlog.read_log(spark, path)
-    before = 0 if log is None else log.where(F.col("pipeline") == pipeline).count()
     open_runs = remaining(plan_runs(cases, [pipeline], n_repeats), log)
-    runlog.append_log(responses_for(open_runs, metadata, pipeline, factory, **options), path, batch)
-    return spark.read.parquet(path).where(F.col("pipeline") == pipeline).count() - before
+
+    def count() -> int:
+        """Responses of this pipeline in this batch."""
+        written = runlog.read_log(spark, path)
+        return 0 if written is None else written.where((F.col("pipeline") == pipeline) & (F.col("batch") == batch)).count()
+
+    before = count()
+    for part in range(parts):
+        own = open_runs.where(F.pmod(F.xxhash64("case_id", "seed"), F.lit(parts)) == part)
+        runlog.append_log(responses_for(own, metadata, pipeline, factory, **options), path, batch)
+    return count() - before

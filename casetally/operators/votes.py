@@ -20,16 +20,18 @@ def case_summary(log: DataFrame, by: Sequence[str] = ("pipeline",), key: str = "
     """Votes, consistency, confidence and truth of every case.
 
     Votes and means use parsed runs only, consistency divides by all runs. On a
-    tie the label of the earliest seed wins.
+    tie the label of the earliest seed wins. A case without a run labelled Good or
+    Bad has no vote; ``n_unlabelled`` counts parsed runs without such a label.
     """
     ok = F.coalesce(F.col("parse_success"), F.lit(False))
     good, bad = ok & (F.col("label") == "Good"), ok & (F.col("label") == "Bad")
-    # A parsed run is always Good or Bad, so two counts cover all votes.
+    # Two counts cover all votes; a parsed run with another label, or none, has no vote and is counted apart.
     cases = log.groupBy(*by, key).agg(
         F.count("*").alias("n_runs"),
         F.count_if(ok).alias("n_parsed"),
         F.count_if(good).alias("n_good"),
         F.count_if(bad).alias("n_bad"),
+        F.count_if(ok & ~F.coalesce(F.col("label").isin("Good", "Bad"), F.lit(False))).alias("n_unlabelled"),
         F.min(F.when(good, F.col("seed"))).alias("_first_good"),
         F.min(F.when(bad, F.col("seed"))).alias("_first_bad"),
         F.avg(F.when(ok, F.col("confidence"))).alias("mean_confidence"),
@@ -42,7 +44,7 @@ def case_summary(log: DataFrame, by: Sequence[str] = ("pipeline",), key: str = "
     )
     return cases.withColumns(
         {
-            "vote": F.when(F.col("n_parsed") > 0, F.when(bad_wins, F.lit("Bad")).otherwise(F.lit("Good"))),
+            "vote": F.when(F.col("n_good") + F.col("n_bad") > 0, F.when(bad_wins, F.lit("Bad")).otherwise(F.lit("Good"))),
             "consistency": F.greatest("n_good", "n_bad") / F.col("n_runs"),
             "never_parsed": F.col("n_parsed") == 0,
             "true_name": label_name(F.col("true_label")),

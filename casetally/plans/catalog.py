@@ -84,19 +84,17 @@ def consistency_describe(spark, sf):
 
 @query
 def run_completeness(spark, sf):
-    return votes.completeness(cases_of(spark, sf), fx.run_cases(spark, sf))
+    return votes.completeness(votes.case_summary(fx.interrupted_runs(spark, sf)), fx.run_cases(spark, sf))
 
 
 @query
 def run_progress(spark, sf):
-    planned = runs.plan_runs(fx.run_cases(spark, sf), ["stock", "structured"], fx.N_REPEATS)
-    return runs.progress(planned, fx.runs(spark, sf))
+    return runs.progress(fx.planned_runs(spark, sf), fx.interrupted_runs(spark, sf))
 
 
 @query
 def resume_plan(spark, sf):
-    planned = runs.plan_runs(fx.run_cases(spark, sf), ["stock", "structured"], fx.N_REPEATS)
-    return runs.remaining(planned, fx.runs(spark, sf))
+    return runs.remaining(fx.planned_runs(spark, sf), fx.interrupted_runs(spark, sf))
 
 
 @query
@@ -132,6 +130,25 @@ def run_timing(spark, sf):
     return digits(votes.run_timing(fx.runs(spark, sf), 100, 5), "mean_seconds", "projected_hours")
 
 
+@query
+def votes_without_label(spark, sf):
+    """Cases of which some parsed runs have no label: those runs are counted and have no vote."""
+    log = fx.runs(spark, sf).withColumn("label", F.when(F.col("case_id") % 4 != 0, F.when(F.col("seed") % 3 != 0, F.col("label"))))
+    return votes.case_summary(log).select("pipeline", "case_id", "n_parsed", "n_unlabelled", "n_good", "n_bad", "vote")
+
+
+@query
+def uniform_answers(spark, sf):
+    return reports.run_analysis(fx.runs(spark, sf), None)["uniform_answers"]
+
+
+@query
+def always_failing_cases(spark, sf):
+    people, indicators = fx.applicants(spark, sf)
+    log = fx.runs(spark, sf).withColumn("explanation_grounded", F.col("parse_success")).withColumn("ungrounded_numbers", F.array().cast("array<double>"))
+    return reports.grounding_diagnosis(log, people, [], indicators)["always_failing"]
+
+
 @query
 def false_negative_examples(spark, sf):
     log = fx.runs(spark, sf)
@@ -205,6 +222,14 @@ def attempted_without_vote(spark, sf):
     return robustness.attempted_without_vote(cases_of(spark, sf).where("pipeline = 'stock'"))
 
 
+@query
+def magnitude_by_flip(spark, sf):
+    log = fx.runs(spark, sf)
+    people, _ = fx.applicants(spark, sf)
+    report = reports.robustness_report(log.where("pipeline = 'structured'"), log.where("pipeline = 'stock'"), people, sampling.perturb(people))
+    return digits(report["magnitude"], *DESCRIBED, n=4)
+
+
 @query
 def flipped_examples(spark, sf):
     log = fx.runs(spark, sf)
@@ -446,7 +471,7 @@ def check_breakdown(spark, sf):
 
 @query
 def revalidation_diff(spark, sf):
-    return validate.verdict_changes(parsed_responses(spark, sf))
+    return validate.verdict_changes(validate.revalidate(fx.responses(spark, sf), fx.known_cases(spark, sf), fx.RESPONSE_VALUES))
 
 
 @query
@@ -459,7 +484,7 @@ def vocabulary_rule_diff(spark, sf):
 
 @query
 def missing_cases(spark, sf):
-    return validate.missing_cases(fx.responses(spark, sf), fx.response_cases(spark, sf))
+    return validate.missing_cases(fx.responses(spark, sf), fx.known_cases(spark, sf))
 
 
 @query

@@ -18,19 +18,11 @@ from casetally.schema import FEATURE_NAMES, FEATURES, SPECIAL_CODES, TARGET
 
 MODELS = ["logreg", "rf", "boosted"]
 METHODS = ["shap", "lime"]
-N_REPEATS = 5
 
 
-def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A provided table; with ``spread_by``, a table of fewer splits than cores is spread over all cores.
-
-    A large table has more splits than that and is left as it is.
-    """
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A provided table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def raw_applicants(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +74,7 @@ def raw_applicants(spark: SparkSession, sf: str) -> DataFrame:
             F.datediff(newest, F.max("last_return")).alias("since_return"),
         )
     )
-    people = table(spark, sf, "customer", "c_custkey").join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+    people = table(spark, sf, "customer").join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
     share = "100 * returned / nullif(items, 0)"
     plain = {
         "ExternalRiskEstimate": "40 + floor((c_acctbal + 1000) / 220)",
@@ -135,7 +127,11 @@ SENTINELS = {
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """Applicants whose row carries information; customers are unusable by their key alone here."""
+    """Applicants whose row carries information: here a matter of the key.
+
+    The general rule looks at all 23 derived values; put into every query, it multiplies their expressions
+    beyond what the optimizer can plan. ``drop_unusable`` and ``sentinel_encode`` apply it.
+    """
     return df.where(F.col("case_id") % 17 != 0)
 
 
@@ -150,11 +146,10 @@ def applicants(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Response log made of events: the first five events of a user in either pipeline, some of them lost."""
+    """Response log made of events: every event of a user is a run, numbered in either pipeline."""
     pipe = F.when(F.col("event_id") % 2 == 0, F.lit("structured")).otherwise(F.lit("stock"))
-    # The limit on the row number lets each task drop all but five rows of a user before the shuffle.
     rank = F.row_number().over(Window.partitionBy("pipeline", "user_id").orderBy("event_id"))
-    log = table(spark, sf, "events").withColumn("pipeline", pipe).withColumn("_rank", rank).where(F.col("_rank") <= N_REPEATS)
+    log = table(spark, sf, "events").withColumn("pipeline", pipe).withColumn("_rank", rank)
     return log.select(
         "pipeline",
         F.col("user_id").alias("case_id"),
@@ -165,7 +160,17 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("event_type") != "view") & (F.col("user_id") % 13 != 0)).alias("parse_success"),
         (F.col("value") / 10.0).alias("elapsed_seconds"),
         F.concat_ws(" ", "event_type", "props").alias("raw_response"),
-    ).where((F.col("case_id") + F.col("seed")) % 7 != 0)
+    )
+
+
+def interrupted_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as it was left by a batch that broke off: a seventh of the runs is missing."""
+    return runs(spark, sf).where((F.col("case_id") + F.col("seed")) % 7 != 0)
+
+
+def planned_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the whole batch has: as many runs of a case as it has events."""
+    return runs(spark, sf).select("pipeline", "case_id", "seed")
 
 
 def run_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,9 +191,14 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return people.select("case_id", "true_label", F.inline(F.array(*scores))).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
 
 
+def known_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A case table that lacks some orders, for the queries that look for missing cases."""
+    return response_cases(spark, sf).where(F.col("case_id") % 50 != 49)
+
+
 def response_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Values of an order that its response may quote; some orders are unknown."""
-    return table(spark, sf, "orders").where(F.col("o_orderkey") % 50 != 49).select(
+    """Values of an order that its response may quote."""
+    return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("case_id"),
         F.floor("o_totalprice").cast("double").alias("amount"),
         F.month("o_orderdate").cast("double").alias("month"),
@@ -203,7 +213,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON response per order in sixteen variants, sound and broken, and one in free text."""
     labels = sqltext.array(sqltext.text(label) for label, _ in FEATURES.values())
     n = len(FEATURES)
-    base = table(spark, sf, "orders", "o_orderkey").selectExpr(
+    base = table(spark, sf, "orders").selectExpr(
         "o_orderkey AS k",
         "o_custkey AS applicant_id",
         "CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS true_label",

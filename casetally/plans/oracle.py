@@ -20,13 +20,17 @@ from casetally.plans.reports import PRIMARY_PAIRS, SECONDARY_PAIRS
 from casetally.schema import (
     CONTRADICTIONS,
     CORE_FACTORS,
+    EXPLANATION_CLOSING,
+    EXPLANATION_OPENING,
     FEATURE_NAMES,
     FEATURES,
+    NUMBER_PATTERN,
     PERTURBATIONS,
     PROFILE_ORDER,
     SENTINEL_PHRASES,
     SPECIAL_CODES,
     STATUS_CODES,
+    STOCK_CONFIDENCE,
     TARGET,
     indicator_name,
     vocabulary_numbers,
@@ -60,9 +64,11 @@ SELECT pipeline, case_id, seed, true_label, label, confidence, parse_success, el
     event_type <> 'view' AND user_id % 13 <> 0 AS parse_success,
     value / 10.0 AS elapsed_seconds,
     event_type || ' ' || props AS raw_response
-  FROM events) WHERE seed < 5 AND (case_id + seed) % 7 <> 0
+  FROM events)
 """
 
+CTES["interrupted"] = "SELECT * FROM runs WHERE (case_id + seed) % 7 <> 0"
+
 CTES["votes"] = """
 SELECT pipeline, case_id, label, count(*) AS n, min(seed) AS first_seed FROM runs WHERE parse_success GROUP BY ALL
 """
@@ -79,11 +85,6 @@ LEFT JOIN (SELECT pipeline, case_id, first(label ORDER BY n DESC, first_seed) AS
   USING (pipeline, case_id)
 """
 
-CTES["plan"] = """
-SELECT p.pipeline, c.case_id, CAST(s.seed AS INTEGER) AS seed
-FROM (SELECT DISTINCT user_id AS case_id FROM events) c, (VALUES ('stock'), ('structured')) p(pipeline), range(5) s(seed)
-"""
-
 CTES["per_order"] = """
 SELECT l_orderkey, count(*) AS items, count(*) FILTER (WHERE l_returnflag = 'R') AS returned,
   CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS discount, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax,
@@ -285,7 +286,7 @@ FROM bodies
 
 CTES["documents_"] = r"""
 SELECT *, CASE WHEN json_valid(clean) THEN CASE WHEN json_type(clean::JSON) = 'OBJECT' THEN clean::JSON END END AS doc
-FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(raw, chr(10) || ' '), '^```(json)?\s*', ''), '\s*```$', ''), chr(10) || ' ') AS clean FROM responses WHERE case_id % 50 <> 49)
+FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(raw, chr(10) || ' '), '^```(json)?\s*', ''), '\s*```$', ''), chr(10) || ' ') AS clean FROM responses)
 """
 
 CTES["fields"] = """
@@ -304,7 +305,7 @@ FROM documents_
 def _loose(vocabulary: list[float]) -> str:
     allowed = f"list_concat([{', '.join(f'{v!r}::DOUBLE' for v in vocabulary)}], [amount, month, day])"
     return f"""CASE WHEN doc IS NOT NULL AND usable THEN
-    [n FOR n IN [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(concat_ws(' ', array_to_string(factors, ' '), coalesce(explanation, '')), '-?[0-9]+\\.?[0-9]*')]
+    [n FOR n IN [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(concat_ws(' ', array_to_string(factors, ' '), coalesce(explanation, '')), {q(NUMBER_PATTERN)})]
      IF (stated IS NULL OR n <> stated) AND NOT list_contains({allowed}, round_even(n, 1)) AND NOT list_contains({allowed}, round_even(n, 0))] END"""
 
 
@@ -325,8 +326,8 @@ FROM (SELECT *, doc IS NOT NULL AS is_valid_json, label IS NOT NULL AS label_val
 CTES["parsed"] = _checked(vocabulary_numbers())
 CTES["parsed_before"] = _checked(vocabulary_numbers(with_status_labels=False))
 
-_BY_LENGTH = sorted(FEATURES.items(), key=lambda item: -len(item[1][0]))
-_FEATURE_OF = "CASE " + " ".join(f"WHEN contains(lower(f), {q(label.lower())}) THEN '{name}'" for name, (label, _) in _BY_LENGTH) + " END"
+_LABELS = ", ".join(f"{{'size': {len(label)}, 'place': -{i}, 'name': '{name}', 'label': {q(label.lower())}}}" for i, (name, (label, _)) in enumerate(FEATURES.items()))
+_FEATURE_OF = f"list_sort([l FOR l IN [{_LABELS}] IF contains(lower(f), l.label)])[-1].name"
 
 CTES["mapped"] = f"""
 SELECT *, list_sort(list_distinct([m FOR m IN found IF m IS NOT NULL])) AS cited_features, len(found) AS n_factors,
@@ -414,11 +415,11 @@ def with_tables(body: str) -> str:
     return f"WITH {tables} {body}" if tables else body
 
 
-def described(source: str, by: str, value: str, extra: str = "") -> str:
+def described(source: str, by: str, value: str, extra: str = "", digits: int = 6) -> str:
     v = f"CAST({value} AS DOUBLE)"
-    quantiles = ", ".join(f"round(quantile_cont({v}, {p}), 6) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
-    return f"""SELECT {by}, count({value}) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, round(min({v}), 6) AS min,
-    {quantiles}, round(max({v}), 6) AS max{extra} FROM {source} GROUP BY 1"""
+    quantiles = ", ".join(f"round(quantile_cont({v}, {p}), {digits}) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
+    return f"""SELECT {by}, count({value}) AS count, round(avg({v}), {digits}) AS mean, round(stddev_samp({v}), {digits}) AS std, round(min({v}), {digits}) AS min,
+    {quantiles}, round(max({v}), {digits}) AS max{extra} FROM {source} GROUP BY 1"""
 
 
 SQL: dict[str, str] = {}
@@ -440,12 +441,12 @@ SQL["run_completeness"] = """SELECT pipeline, n_seen_cases, n_records, n_repeats
   n_seen_cases >= n_planned_cases AND n_records >= n_planned_cases * n_repeats AS complete
 FROM (SELECT pipeline, CAST(sum(k) AS BIGINT) AS n_seen_cases, CAST(sum(k * n_runs) AS BIGINT) AS n_records, first(n_runs ORDER BY k DESC, n_runs) AS n_repeats,
   (SELECT count(DISTINCT user_id) FROM events) AS n_planned_cases
-  FROM (SELECT pipeline, n_runs, count(*) AS k FROM cases GROUP BY ALL) GROUP BY pipeline)"""
+  FROM (SELECT pipeline, n_runs, count(*) AS k FROM (SELECT pipeline, case_id, count(*) AS n_runs FROM interrupted GROUP BY ALL) GROUP BY ALL) GROUP BY pipeline)"""
 
 SQL["run_progress"] = """SELECT pipeline, count(*) AS n_planned, count(r.case_id) AS n_done, count(*) - count(r.case_id) AS n_open
-FROM plan LEFT JOIN runs r USING (pipeline, case_id, seed) GROUP BY pipeline"""
+FROM runs LEFT JOIN interrupted r USING (pipeline, case_id, seed) GROUP BY pipeline"""
 
-SQL["resume_plan"] = "SELECT pipeline, case_id, seed FROM plan ANTI JOIN runs USING (pipeline, case_id, seed)"
+SQL["resume_plan"] = "SELECT pipeline, case_id, seed FROM runs ANTI JOIN interrupted USING (pipeline, case_id, seed)"
 
 SQL["confidence_describe"] = described("(SELECT * FROM runs WHERE parse_success)", "pipeline", "confidence", ", coalesce(stddev_samp(confidence) < 5, false) AS low_spread")
 
@@ -468,6 +469,19 @@ SQL["false_negative_examples"] = """SELECT pipeline, case_id, raw_response FROM
   SELECT pipeline, case_id FROM cases WHERE true_name = 'Bad' AND vote = 'Good' QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY case_id) <= 3) x
 USING (pipeline, case_id) WHERE seed = 0"""
 
+SQL["votes_without_label"] = """SELECT pipeline, case_id, count(*) FILTER (WHERE parse_success) AS n_parsed, count(*) FILTER (WHERE parse_success AND shown IS NULL) AS n_unlabelled,
+  count(*) FILTER (WHERE parse_success AND shown = 'Good') AS n_good, count(*) FILTER (WHERE parse_success AND shown = 'Bad') AS n_bad,
+  CASE WHEN n_good + n_bad = 0 THEN NULL WHEN n_bad > n_good OR (n_bad = n_good AND min(seed) FILTER (WHERE parse_success AND shown = 'Bad')
+    < min(seed) FILTER (WHERE parse_success AND shown = 'Good')) THEN 'Bad' ELSE 'Good' END AS vote
+FROM (SELECT *, CASE WHEN case_id % 4 <> 0 AND seed % 3 <> 0 THEN label END AS shown FROM runs) GROUP BY pipeline, case_id"""
+
+SQL["uniform_answers"] = """SELECT pipeline, n_low = 0 AND low_spread AS uniform_answers
+FROM (SELECT pipeline, count(*) FILTER (WHERE consistency < 0.6) AS n_low FROM cases GROUP BY pipeline)
+JOIN (SELECT pipeline, coalesce(stddev_samp(confidence) < 5, false) AS low_spread FROM runs WHERE parse_success GROUP BY pipeline) USING (pipeline)"""
+
+SQL["always_failing_cases"] = """SELECT count(*) FILTER (WHERE never) AS n_failing, count(*) AS n_cases
+FROM (SELECT case_id, count(*) FILTER (WHERE parse_success) = 0 AS never FROM runs GROUP BY case_id)"""
+
 SQL["aligned_cases"] = "SELECT count(*) AS n_cases, (SELECT count(*) FROM common) AS n_common, count(*) - (SELECT count(*) FROM common) AS n_dropped FROM aligned"
 
 SQL["system_accuracy"] = " UNION ALL ".join(
@@ -540,8 +554,8 @@ _FACTORS = " || '{sep}' || ".join(sentence(f) for f in CORE_FACTORS)
 SQL["worked_examples"] = f"""SELECT example, case_id, profile_text, {_LABEL} AS label,
   CAST(CASE example WHEN 'borderline' THEN round_even(greatest(score, 1 - score) * 100, 0) ELSE 90 END AS BIGINT) AS confidence,
   {_FACTORS.replace('{sep}', '|')} AS key_factors,
-  'Based on the applicant''s record: ' || {_FACTORS.replace('{sep}', ' ')} || CASE WHEN PercentTradesNeverDelq >= 99.5 AND (NumTrades90Ever2DerogPubRec > 0
-    OR NumTrades60Ever2DerogPubRec > 0) THEN {q(TENSION_NOTE)} ELSE '' END || ' This pattern is consistent with a ' || {_LABEL} || ' classification.' AS explanation,
+  {q(EXPLANATION_OPENING)} || {_FACTORS.replace('{sep}', ' ')} || CASE WHEN PercentTradesNeverDelq >= 99.5 AND (NumTrades90Ever2DerogPubRec > 0
+    OR NumTrades60Ever2DerogPubRec > 0) THEN {q(TENSION_NOTE)} ELSE '' END || replace({q(EXPLANATION_CLOSING)}, '{{label}}', {_LABEL}) AS explanation,
   CASE example WHEN 'borderline' THEN {q(MODERATE_UNCERTAINTY)} ELSE {q(LOW_UNCERTAINTY)} END AS uncertainty_reason
 FROM ((SELECT 'good' AS example, * FROM scored_applicants WHERE {TARGET} = 0 ORDER BY score, case_id LIMIT 1)
   UNION ALL (SELECT 'bad', * FROM scored_applicants WHERE {TARGET} = 1 ORDER BY score DESC, case_id LIMIT 1)
@@ -593,6 +607,9 @@ SQL["perturb_numeric"] = f"SELECT case_id, {', '.join(PERTURBATIONS)} FROM pertu
 SQL["perturbation_magnitude"] = f"""SELECT a.case_id, round({' + '.join(f'coalesce(abs(p.{f} - a.{f}), 0)' for f in PERTURBATIONS)}, 4) AS total_perturbation_magnitude
 FROM applicants a JOIN perturbed p USING (case_id)"""
 
+_MOVED = f"SELECT a.case_id, {' + '.join(f'coalesce(abs(p.{f} - a.{f}), 0)' for f in PERTURBATIONS)} AS moved FROM applicants a JOIN perturbed p USING (case_id)"
+SQL["magnitude_by_flip"] = described(f"(SELECT flipped, moved FROM compared LEFT JOIN ({_MOVED}) USING (case_id))", "flipped", "moved", digits=4)
+
 SQL["linear_attribution"] = " UNION ALL ".join(
     f"SELECT case_id, '{f}' AS feature, round({_weight('shap', 'logreg', f)}, 4) AS weight FROM applicants a, means" for f in FEATURE_NAMES
 )
@@ -603,7 +620,7 @@ FROM (SELECT * FROM tops WHERE method = 'shap') a JOIN (SELECT * FROM tops WHERE
 SQL["stock_parse"] = r"""SELECT case_id, label, confidence, explanation, label IS NOT NULL AND confidence IS NOT NULL AND explanation IS NOT NULL AS parse_success
 FROM (SELECT case_id, CASE lower(regexp_extract(free, '(?i)classification:?\**\s*\**\s*(\w+)', 1)) WHEN 'good' THEN 'Good' WHEN 'bad' THEN 'Bad' END AS label,
   CASE WHEN c BETWEEN 0 AND 100 THEN c END AS confidence, nullif(trim(regexp_extract(free, '(?is)explanation:?\**\s*\**\s*(.+)', 1), chr(10) || ' '), '') AS explanation
-  FROM (SELECT *, TRY_CAST(nullif(regexp_extract(free, '(?i)confidence:?\**\s*\**\s*([0-9]+\.?[0-9]*)\s*%?', 1), '') AS DOUBLE) AS c FROM responses ))"""
+  FROM (SELECT *, TRY_CAST(nullif(regexp_extract(free, '{confidence}', 1), '') AS DOUBLE) AS c FROM responses ))""".replace("{confidence}", STOCK_CONFIDENCE)
 
 SQL["structured_validate"] = """SELECT case_id, label, confidence, array_to_string(factors, '|') AS key_factors, explanation, uncertainty_reason, is_valid_json, label_valid,
 confidence_valid, explanation_grounded, no_contradiction, len(loose) AS n_ungrounded, parse_success FROM parsed"""
@@ -616,7 +633,7 @@ SQL["check_breakdown"] = " UNION ALL ".join(
 
 _VERDICTS = """count(*) AS n_records, count(*) FILTER (WHERE old) AS n_old_pass, count(*) FILTER (WHERE now) AS n_new_pass,
   count(*) FILTER (WHERE NOT old AND now) AS newly_passing, count(*) FILTER (WHERE old AND NOT now) AS newly_failing"""
-SQL["revalidation_diff"] = f"SELECT {_VERDICTS} FROM (SELECT old_parse_success AS old, parse_success AS now FROM parsed)"
+SQL["revalidation_diff"] = f"SELECT {_VERDICTS} FROM (SELECT old_parse_success AS old, parse_success AS now FROM parsed WHERE case_id % 50 <> 49)"
 SQL["vocabulary_rule_diff"] = f"""SELECT {_VERDICTS} FROM (SELECT b.parse_success AS old, n.parse_success AS now FROM parsed_before b JOIN parsed n USING (case_id))"""
 SQL["missing_cases"] = "SELECT o_orderkey AS case_id FROM orders WHERE o_orderkey % 50 = 49"
 

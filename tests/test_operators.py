@@ -451,3 +451,10 @@ def test_agreement_report(spark):
     assert report["unmapped"].first().unmapped_rate == pytest.approx(1 / 3)
     assert report["lowest"].first().case_id == "b"
     assert json.loads(report["by_correctness"].where("correct").toJSON().first())["precision_shap_m"] == 1.0
+
+
+def test_a_parsed_run_without_a_label_has_no_vote(spark):
+    rows = [(1, 0, None, 80.0), (1, 1, "good", 80.0), (2, 0, "Bad", 80.0), (2, 1, None, 80.0), (3, 0, "Good", 60.0)]
+    log = spark.createDataFrame(rows, "case_id int, seed int, label string, confidence double").selectExpr("*", "true AS parse_success", "1 AS true_label")
+    cases = {r.case_id: r for r in votes.case_summary(log, []).collect()}
+    assert [(cases[i].vote, cases[i].n_unlabelled) for i in (1, 2, 3)] == [(None, 2), ("Bad", 1), ("Good", 0)]

@@ -64,10 +64,10 @@ def people(spark, n=6):
 def test_run_and_resume(spark, tmp_path):
     path, metadata = str(tmp_path / "log"), TableMetadata(TARGET, "Bad", FEATURE_NAMES, [])
     cases = people(spark)
-    assert runs.run_pipeline(cases.limit(2), metadata, "structured", stub_factory, path, batch=0, n_repeats=3, tasks=2) == 6
-    assert runs.run_pipeline(cases, metadata, "structured", stub_factory, path, batch=1, n_repeats=3) == 12
-    assert runs.run_pipeline(cases, metadata, "structured", stub_factory, path, batch=2, n_repeats=3) == 0
-    assert runs.run_pipeline(cases, metadata, "stock", stub_factory, path, batch=3, n_repeats=1, profile="reworded") == 6
+    assert runs.run_pipeline(cases.limit(2), metadata, "structured", stub_factory, path, batch=0, n_repeats=3, parts=2, tasks=2) == 6
+    assert runs.run_pipeline(cases, metadata, "structured", stub_factory, path, batch=1, n_repeats=3, parts=2) == 12
+    assert runs.run_pipeline(cases, metadata, "structured", stub_factory, path, batch=2, n_repeats=3, parts=1) == 0
+    assert runs.run_pipeline(cases, metadata, "stock", stub_factory, path, batch=3, n_repeats=1, parts=1, profile="reworded") == 6
     log = runlog.read_log(spark, path)
     assert log.count() == 24 and runlog.completed(log).count() == 24
     assert log.where("pipeline = 'structured'").where("parse_success").count() == 18
@@ -77,6 +77,32 @@ def test_run_and_resume(spark, tmp_path):
     assert kept.count() == 24 and kept.where("label = 'late'").count() == 0
 
 
+def test_a_failure_keeps_the_parts_before_it(spark, tmp_path):
+    path, metadata = str(tmp_path / "log"), TableMetadata(TARGET, "Bad", FEATURE_NAMES, [])
+    broken = tmp_path / "broken"
+
+    def breaks_later():
+        call, flag = stub_factory(), str(broken)
+
+        def answer(user_prompt, seed, system_prompt, max_new_tokens):
+            import os
+
+            if seed == 7 and not os.path.exists(flag):
+                raise RuntimeError("the generator died")
+            return call(user_prompt, seed, system_prompt, max_new_tokens)
+
+        return answer
+
+    options = {"n_repeats": 8, "parts": 4}
+    with pytest.raises(Exception, match="the generator died"):
+        runs.run_pipeline(people(spark), metadata, "structured", breaks_later, path, batch=0, **options)
+    log = runlog.read_log(spark, path)
+    kept = 0 if log is None else log.count()
+    broken.touch()
+    assert runs.run_pipeline(people(spark), metadata, "structured", breaks_later, path, batch=1, **options) == 48 - kept
+    assert runlog.completed(runlog.read_log(spark, path)).count() == 48
+
+
 def test_revalidated_copy(spark, tmp_path):
     text = json.dumps({"label": "Good", "confidence": 80, "key_factors": [], "explanation": "It is 5."})
     log = spark.createDataFrame([("a", "structured", 0, text, False), ("z", "structured", 0, text, True)],
