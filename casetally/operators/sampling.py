@@ -95,22 +95,27 @@ def stratified_split(
     The split itself moves no rows: after two counting passes it is a
     comparison of digests.
     """
-    sizes = stratum_sizes(df, target)
+    # Key and class are read once for both counting passes.
+    keyed = df.select(target, key).persist()
+    sizes = stratum_sizes(keyed, target)
     n = sum(sizes.values())
     n_test = math.ceil(n * test_size)
     test = allocate(n_test, sizes)
     rest = {s: sizes[s] - test[s] for s in sizes}
     val = allocate(math.ceil((n - n_test) * (val_size / (1 - test_size))), rest)
     ranks = {s: [test[s], test[s] + val[s]] for s in sizes}
-    cuts = digest_cuts(df, target, key, seed, ranks)
+    cuts = digest_cuts(keyed, target, key, seed, ranks)
+    keyed.unpersist()
     return df.withColumn("split", _part_of(target, key, seed, cuts, ["test", "val", "train"]))
 
 
 def stratified_folds(df: DataFrame, target: str = TARGET, key: str = "case_id", k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` (0..k-1); fold sizes per class differ by at most one."""
-    sizes = stratum_sizes(df, target)
+    keyed = df.select(target, key).persist()
+    sizes = stratum_sizes(keyed, target)
     ranks = {s: [size * (i + 1) // k for i in range(k - 1)] for s, size in sizes.items()}
-    cuts = digest_cuts(df, target, key, seed, ranks)
+    cuts = digest_cuts(keyed, target, key, seed, ranks)
+    keyed.unpersist()
     return df.withColumn("fold", _part_of(target, key, seed, cuts, list(range(k))))
 
 

@@ -30,6 +30,7 @@ from casetally.operators import (
 from casetally.plans import fixtures as fx
 from casetally.plans import reports
 from casetally.schema import FEATURE_NAMES, PERTURBATIONS, RAW_COLUMNS, STATUS_CODES, TARGET, TableMetadata, vocabulary_numbers
+from casetally.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -602,7 +603,7 @@ SMALL_PARAMS = {
 def train_score_models(spark, sf):
     """Three model families, trained on the train split and scored on the test split."""
     people, indicators = fx.applicants(spark, sf)
-    table = sampling.stratified_split(people)
+    table = sampling.stratified_split(tables.kept(people))
     columns = [*FEATURE_NAMES, *indicators]
     rows = table.where("split = 'train'")
     fitted = {family: models.train(rows, family, columns, params) for family, params in SMALL_PARAMS.items()}
@@ -614,7 +615,7 @@ def grid_search_models(spark, sf):
     """Cross-validated choice of the penalty, with the note on a gap to the validation split."""
     people, indicators = fx.applicants(spark, sf)
     columns = [*FEATURE_NAMES, *indicators]
-    table = sampling.stratified_split(people)
+    table = sampling.stratified_split(tables.kept(people))
     folds = sampling.stratified_folds(table.where("split = 'train'"), k=3)
     model, best, cv_f1 = models.grid_search(folds, "logistic_regression", columns, {"C": [0.01, 1]})
     checked = models.evaluate(table.where("split = 'val'"), {"logistic_regression": model}, columns)
@@ -624,6 +625,7 @@ def grid_search_models(spark, sf):
 
 def fitted_logistic(spark: SparkSession, sf: str):
     people, indicators = fx.applicants(spark, sf)
+    people = tables.kept(people)
     columns = [*FEATURE_NAMES, *indicators]
     return models.train(people, "logistic_regression", columns, {"C": 0.01}), people, columns
 
@@ -644,7 +646,7 @@ def sampled_shapley(spark, sf):
 @query
 def local_surrogate(spark, sf):
     model, people, columns = fitted_logistic(spark, sf)
-    return attribution.local_surrogate(model, people, people, columns, n_samples=64)
+    return attribution.local_surrogate(model, people, people, columns, n_samples=64, fill=0.0)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
