@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, TRAIN_ROWS = 0.5, 8_000
@@ -32,39 +32,51 @@ FUNCTION_WORDS = (
 ).split()
 
 
-def _labellers(text: Column) -> list[Column]:
-    """1 for good, 0 for bad, -1 for no vote; each looks at one trait of the whole text."""
-    words = F.split(F.trim(text), r"\s+")
-    n = F.size(words)
-    letters = F.regexp_count(text, F.lit(r"\p{L}")).cast("double")
-    chars = F.regexp_count(text, F.lit(r"\S")).cast("double")
-    share = lambda a, b: a / F.greatest(b, F.lit(1.0))
-    odd = share(F.regexp_count(text, F.lit(r"[%$#&*|<>{}\[\]=~^\\/@_+]")).cast("double"), chars)
-    upper = share(F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double"), letters)
-    again = share(F.regexp_count(text, F.lit(r"(?<!\S)(\S+)(?= \1(?!\S))")).cast("double"), n.cast("double"))
-    distinct = share(F.size(F.array_distinct(words)).cast("double"), n.cast("double"))
-    function = share(F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("double"), n.cast("double"))
-    ends = share(F.regexp_count(text, F.lit(r"\p{L}[.!?](?=\s|$)")).cast("double"), n.cast("double"))
-    alpha = share(letters, chars)
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(n < 5, F.lit(-1)).when(bad, F.lit(0)).when(good, F.lit(1)).otherwise(F.lit(-1))
-
-    return [
-        vote(odd < 0.01, odd > 0.04),
-        vote(upper < 0.15, upper > 0.4),
-        vote(again < 0.02, again > 0.15),
-        vote((distinct > 0.3) | (n > 2_000), (distinct < 0.15) & (n <= 2_000)),
-        vote(function > 0.12, function < 0.05),
-        vote((ends > 0.02) & (ends < 0.3), (ends < 0.005) | (ends > 0.6)),
-        vote(alpha > 0.9, alpha < 0.75),
-    ]
-
+def with_votes(docs: DataFrame, text: str = "text", name: str = "votes") -> DataFrame:
+    """The rows with the pattern of votes of their text, one letter a labeller: g(ood), b(ad) or - for no vote.
 
-def votes(docs: DataFrame, text: str = "text") -> Column:
-    """The pattern of votes of a text, one letter a labeller: g, b or -."""
+    Each labeller looks at one trait of the whole text. Traits are columns of their own, so that each is
+    computed once a row.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return F.concat(*(F.when(v == 1, "g").when(v == 0, "b").otherwise("-") for v in _labellers(body)))
+    rows = docs.withColumn("_words", F.split(F.trim(body), r"\s+"))
+    words = F.col("_words")
+    counted = rows.withColumns(
+        {
+            "_n": F.size(words).cast("double"),
+            "_chars": F.length(F.replace(body, F.lit(" "), F.lit(""))).cast("double"),
+            "_letters": (F.length(body) - F.length(F.regexp_replace(body, r"\p{L}+", ""))).cast("double"),
+            "_upper": F.regexp_count(body, F.lit(r"\p{Lu}")).cast("double"),
+            "_odd": F.regexp_count(body, F.lit(r"[%$#&*|<>{}\[\]=~^\\/@_+]")).cast("double"),
+            "_ends": F.regexp_count(body, F.lit(r"[.!?](?=\s|$)")).cast("double"),
+            "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)).cast("double"),
+            "_distinct": F.size(F.array_distinct(words)).cast("double"),
+            "_function": F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("double"),
+        }
+    )
+    n, chars, letters = (F.greatest(F.col(c), F.lit(1.0)) for c in ("_n", "_chars", "_letters"))
+    shares = counted.withColumns(
+        {
+            "_odd": F.col("_odd") / chars,
+            "_upper": F.col("_upper") / letters,
+            "_again": F.col("_again") / n,
+            "_distinct": F.col("_distinct") / n,
+            "_function": F.col("_function") / n,
+            "_ends": F.col("_ends") / n,
+            "_alpha": F.col("_letters") / chars,
+        }
+    )
+    rules = [
+        ("_odd < 0.01", "_odd > 0.04"),
+        ("_upper < 0.15", "_upper > 0.4"),
+        ("_again < 0.02", "_again > 0.15"),
+        ("_distinct > 0.3 OR _n > 2000", "_distinct < 0.15 AND _n <= 2000"),
+        ("_function > 0.12", "_function < 0.05"),
+        ("_ends > 0.02 AND _ends < 0.3", "_ends < 0.005 OR _ends > 0.6"),
+        ("_alpha > 0.9", "_alpha < 0.75"),
+    ]
+    pattern = F.concat(*(F.expr(f"CASE WHEN _n < 5 THEN '-' WHEN {bad} THEN 'b' WHEN {good} THEN 'g' ELSE '-' END") for good, bad in rules))
+    return shares.select(*docs.columns, pattern.alias(name))
 
 
 def em(counts: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
@@ -145,7 +157,7 @@ def train(docs: DataFrame, posterior: dict[str, float], rows: int = TRAIN_ROWS,
     keys = docs.select(F.col(key).cast("long").alias("_k")).where("_k is not null").distinct()
     keys = keys.withColumn("_h", F.xxhash64("_k", F.lit("quality"))).orderBy("_h", "_k").limit(rows)
     found = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("text")).join(F.broadcast(keys), "_k")
-    found = found.select(F.coalesce("text", F.lit("")).alias("text"), votes(found).alias("votes"), F.col("_h").alias("h"))
+    found = with_votes(found.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_h").alias("h"))).select("text", "votes", "h")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +188,7 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = {r[0]: r[1] for r in rows.groupBy(votes(rows).alias("votes")).count().collect()}
+    counted = {r[0]: r[1] for r in with_votes(rows).groupBy("votes").count().collect()}
     posterior, _ = em(counted)
     data, bias = train(rows, posterior)
     sent = spark.sparkContext.broadcast((data, posterior))
@@ -191,6 +203,5 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             of = [sent.value[1].get(v.as_py(), 0.5) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(of, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "votes", "posterior", "score"])
 
-    voted = rows.select("doc_id", "text", votes(rows).alias("votes"))
-    made = voted.mapInArrow(run, "doc_id long, votes string, posterior double, score double")
+    made = with_votes(rows).select("doc_id", "text", "votes").mapInArrow(run, "doc_id long, votes string, posterior double, score double")
     return made.withColumn("keep", F.col("score") >= threshold)
