@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 THRESHOLD, OVERLAP, ANSWER_OVERLAP, SHINGLE = 0.5, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -219,7 +221,7 @@ def with_hits(docs: DataFrame, index: Index, text: str = "text", name: str = "hi
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, schema.field("hits").type)], schema=schema)
 
-    return plain.select(F.col(f"c{at}").cast("string").alias("t"), *names).mapInArrow(run, out).toDF(*docs.columns, name)
+    return plain.select(F.col(f"c{at}").cast("string").alias("t"), *names).mapInArrow(tidy(run), out).toDF(*docs.columns, name)
 
 
 def _leaks(hits: str, overlap: float = OVERLAP, answer: float = ANSWER_OVERLAP) -> F.Column:

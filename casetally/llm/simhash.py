@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .components import components
 
 BITS, LIMIT, SHINGLE, SEED = 64, 4, 4, 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["key", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, fp long")
+    return rows.mapInArrow(tidy(run), "key long, fp long")
 
 
 def _code_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ def links(distinct: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
     else:
         spread = spread.select("anchor", F.lit(0).alias("part"), "home", "fp")
     dealt = spread.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
-    return dealt.mapInArrow(_compare_sorted, "a long, b long")
+    return dealt.mapInArrow(tidy(_compare_sorted), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", split_above: int = SPLIT_ABOVE) -> DataFrame:

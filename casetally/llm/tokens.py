@@ -27,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Bounds of the sample that the dictionary is trained on, and of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 65_536, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4 << 20
-_CACHE_WORDS = 1_000_000
+#: Words whose ids are kept, in each of two generations.
+_CACHE_WORDS = 300_000
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"
 _TAIL = ".,;:!?%&*#$)|-"
@@ -68,6 +69,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.words: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -98,7 +100,9 @@ class Encoder:
         for w in words:
             stem = w.rstrip(_TAIL)
             split.append((w, stem, w[len(stem) :]) if stem and stem[-1].isalpha() and stem[-1] < "\u0250" else (w, w, ""))
-        stems = [x for x in dict.fromkeys(x for _, x, _ in split) if known.get(x) is None]
+        stems = {x for _, x, _ in split}
+        known.update({x: self.older[x] for x in stems & self.older.keys()})
+        stems = [x for x in stems if known.get(x) is None]
         known.update(zip(stems, self._spaced(stems), strict=True))
         new = list({t for _, _, t in split} - tails.keys())
         tails.update(zip(new, self.plain(new), strict=True))
@@ -113,15 +117,18 @@ class Encoder:
         return b"".join([ids[x] for x in pieces])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-            self.tails = {"": b""}
+        if len(self.words) > _CACHE_WORDS:
+            # What is still in use moves on from the older generation; the rest goes with the next turn.
+            self.older, self.words, self.tails = self.words, {}, {"": b""}
+        known, older = self.words, self.older
         cut = [t.split(" ") for t in texts]
         heads = self.plain([c[0] for c in cut])
         new = set().union(*(c[1:] for c in cut)) - known.keys()
-        sound = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        again = new & older.keys()
+        known.update({w: older[w] for w in again})
+        new -= again
         known.update(dict.fromkeys(new))
+        sound = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         self._learn(sound)
         made = []
         for text, parts, head in zip(texts, cut, heads, strict=True):
@@ -233,7 +240,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, key: st
     )
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     ordered = rows.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
-    ordered.mapInArrow(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(pack), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _load(spark: SparkSession, path: str) -> tuple[DataFrame, str, bytes]:

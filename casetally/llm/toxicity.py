@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 THRESHOLD = 0.3
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 8_000
 BITS = 21
 DIMS = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 0.1, 5
 _WORD = re.compile(r"[^\W_]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -110,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
             [pa.array(np.append(at, DIMS)), pa.array(np.append(w[at], b))], names=["coordinate", "weight"]
         )
 
-    x = found.select("_text", "_order", "_toxic").mapInArrow(hashed, "order long, toxic int, x array<int>")
-    made = x.repartition(1).sortWithinPartitions("order").mapInArrow(learn, "coordinate long, weight double")
+    x = found.select("_text", "_order", "_toxic").mapInArrow(tidy(hashed), "order long, toxic int, x array<int>")
+    made = x.repartition(1).sortWithinPartitions("order").mapInArrow(tidy(learn), "coordinate long, weight double")
     return [tuple(r) for r in made.collect()]
 
 
@@ -143,7 +145,7 @@ def with_score(docs: DataFrame, weights: list[tuple[int, float]], text: str = "t
     out = plain.select(*names, F.lit(0.0).alias("score"))
     schema = pa.schema([pa.field(n, t) for n, t in _arrow(out)])
     at = docs.columns.index(text)
-    made = plain.select(F.col(f"c{at}").cast("string").alias("t"), *names).mapInArrow(run, out.schema)
+    made = plain.select(F.col(f"c{at}").cast("string").alias("t"), *names).mapInArrow(tidy(run), out.schema)
     return made.toDF(*docs.columns, name)
 
 
