@@ -1,10 +1,12 @@
 """Exact order statistics without sorting a whole group in one task.
 
 Equal values are counted together first, so hot values cost one row. The value
-axis is then cut into fixed narrow ranges; a running total is the total of the
-ranges before plus the running total inside the own range. Only the totals of
-the ranges of a group meet in one task, and their number is limited by the cut
-and not by the data.
+axis is then cut into fixed narrow ranges, and each of them again; a running
+total is the total of the ranges before, plus that of the parts before inside
+the own range, plus the running total inside the own part. Only totals of
+ranges, or of the parts of one range, meet in one task, and their number is
+limited by the cut and not by the data. Crowded values, such as scores close to
+1, spread over the parts of their range.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 
 from casetally.functions.sqltext import name
 
-# Ranges between a power of two and the next. A range so holds values that
-# agree to one part in 4096; raise it where distinct values crowd closer.
+# Ranges between a power of two and the next, and parts of a range. A part so
+# holds values that agree to one part in 16 million.
 RANGES = 4096
+PARTS = 4096
 
 
 def range_number(value: str, ranges: int = RANGES) -> str:
@@ -32,6 +35,12 @@ def range_number(value: str, ranges: int = RANGES) -> str:
     return f"coalesce(CASE WHEN {value} = 0D THEN 0L ELSE cast(sign({value}) AS bigint) * {step} END, -9000000000000000000L)"
 
 
+def part_number(value: str, ranges: int = RANGES, parts: int = PARTS) -> str:
+    """SQL for the place within a range: the digits of the value that follow those of the range."""
+    place = f"(abs({value}) / pow(2D, floor(log2(abs({value})))) * {ranges})"
+    return f"coalesce(CASE WHEN {value} = 0D THEN 0L ELSE cast(sign({value}) AS bigint) * floor(({place} - floor({place})) * {parts}) END, 0L)"
+
+
 def running_totals(counted: DataFrame, by: Sequence[str], value: str, totals: Sequence[str], ranges: int = RANGES) -> DataFrame:
     """Running and overall sums of ``totals`` in rising order of ``value`` within ``by``.
 
@@ -39,20 +48,35 @@ def running_totals(counted: DataFrame, by: Sequence[str], value: str, totals: Se
     ``cum_<name>`` (up to and including the row) and ``all_<name>`` (over the group).
     """
     by = list(by)
-    cut = counted.withColumn("_range", F.expr(range_number(name(value), ranges)))
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
-    starts = sums.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_range").alias("_at"),
-        *[F.coalesce(F.sum(f"_{t}").over(before), F.lit(0)).alias(f"_start_{t}") for t in totals],
+    v = name(value)
+    cut = counted.withColumns({"_range": F.expr(range_number(v, ranges)), "_part": F.expr(part_number(v, ranges))})
+    group, own = Window.partitionBy(*by), Window.partitionBy(*by, "_range")
+    earlier = (Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*by, "_range", "_part").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
+    sums = parts.groupBy(*by, "_range").agg(*[F.sum(f"_{t}").alias(f"_{t}") for t in totals])
+
+    def apart(*columns: str) -> list:
+        return [F.col(c).alias(f"_by_{c}") for c in by] + [F.col(c).alias(f"_at{c}") for c in columns]
+
+    def same(*columns: str) -> list:
+        return [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col(c) == F.col(f"_at{c}") for c in columns]
+
+    before_range = sums.select(
+        *apart("_range"),
+        *[F.coalesce(F.sum(f"_{t}").over(group.orderBy("_range").rowsBetween(*earlier)), F.lit(0)).alias(f"_start_{t}") for t in totals],
         *[F.sum(f"_{t}").over(group).alias(f"all_{t}") for t in totals],
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_range") == F.col("_at")]
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before_part = parts.withColumns(
+        {f"_inner_{t}": F.coalesce(F.sum(f"_{t}").over(own.orderBy("_part").rowsBetween(*earlier)), F.lit(0)) for t in totals}
+    )
+    starts = before_part.join(before_range, same("_range")).select(
+        *apart("_range", "_part"),
+        *[(F.col(f"_start_{t}") + F.col(f"_inner_{t}")).alias(f"_start_{t}") for t in totals],
+        *[f"all_{t}" for t in totals],
+    )
+    inside = Window.partitionBy(*by, "_range", "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(starts, same)
+        cut.join(starts, same("_range", "_part"))
         .withColumns({f"cum_{t}": F.col(f"_start_{t}") + F.sum(t).over(inside) for t in totals})
         .select(*counted.columns, *[f"{p}_{t}" for p in ("cum", "all") for t in totals])
     )

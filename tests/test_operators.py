@@ -458,3 +458,13 @@ def test_a_parsed_run_without_a_label_has_no_vote(spark):
     log = spark.createDataFrame(rows, "case_id int, seed int, label string, confidence double").selectExpr("*", "true AS parse_success", "1 AS true_label")
     cases = {r.case_id: r for r in votes.case_summary(log, []).collect()}
     assert [(cases[i].vote, cases[i].n_unlabelled) for i in (1, 2, 3)] == [(None, 2), ("Bad", 1), ("Good", 0)]
+
+
+def test_crowded_scores_are_spread_and_ranked_exactly(spark):
+    rows = spark.range(1_000_000).selectExpr("1D - (id + 1) * 1e-10 AS s", "cast(id % 3 = 0 AS int) AS n")
+    cut = rows.selectExpr(ordering.range_number("s") + " AS r", ordering.part_number("s") + " AS p")
+    assert cut.groupBy("r", "p").count().agg(F.max("count")).first()[0] < 2_000
+    totals = ordering.running_totals(rows, [], "s", ["n"]).where("abs(s - (1D - 500001e-10)) < 1e-14").first()
+    assert totals.cum_n == sum(1 for i in range(500_000, 1_000_000) if i % 3 == 0) and totals.all_n == 333_334
+    signed = spark.createDataFrame([(-3.00001,), (-3.0,), (-0.0,), (0.1,), (0.1000001,), (2.0,)], "s double").selectExpr("s", "1 AS n")
+    assert [r.cum_n for r in ordering.running_totals(signed, [], "s", ["n"]).orderBy("s").collect()] == [1, 2, 3, 4, 5, 6]
