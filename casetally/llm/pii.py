@@ -130,8 +130,8 @@ def disclosing(
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
-    wanted = pairs.select("term").distinct()
-    counted = pairs.join(n_t.join(wanted, "term", "left_semi"), "term")
+    # All words are counted before the join: a term then meets its count once, however often it occurs.
+    counted = pairs.join(n_t, "term")
     information = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     shared = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     disclosed = counted.withColumn("disclosure", F.when(information > 0, shared / information)).where(F.col("disclosure") >= threshold)
