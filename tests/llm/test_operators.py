@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import oracle_check
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -131,6 +132,28 @@ def test_toxicity_edge_rows(spark, documents):
     assert toxicity.toxicity(documents([(1, "a")]), labels.where("false")).count() == 1
 
 
+def test_toxicity_learns_from_16_000_rows(spark):
+    numbers = [i for i in range(22_000) if zlib.crc32(str(i).encode()) % 4 != 2][:16_000]
+    keys = spark.createDataFrame([(i,) for i in numbers], "doc_id long").selectExpr("doc_id", "row_number() OVER (ORDER BY xxhash64(doc_id), doc_id) AS at")
+    # Only rows beyond the 8,000 of least hash tell what the word means.
+    rows = keys.selectExpr("doc_id", "IF(at > 8000 AND at % 2 = 0, 'plain foulword', 'plain mildword') AS text", "int(at > 8000 AND at % 2 = 0) AS toxic").localCheckpoint()
+    weights = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    scored = toxicity.with_score(spark.createDataFrame([("plain foulword",), ("plain mildword",)], "text string"), weights)
+    scores = {r["text"]: r["score"] for r in scored.collect()}
+    assert scores["plain foulword"] > 0.9 and scores["plain mildword"] < 0.1
+
+
+def test_flat_rows_equal_a_list():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, toxicity.DIMS, 40)).astype(np.int32), int(rng.integers(0, 2))) for _ in range(60)] + [(np.zeros(0, np.int32), 1)]
+    flat = toxicity._Rows()
+    for some in (rows[:25], rows[25:25], rows[25:]):
+        flat.add(pa.record_batch([pa.array(range(len(some)), pa.int64()), pa.array([y for _, y in some], pa.int32()), pa.array([x for x, _ in some], pa.list_(pa.int32()))], names=["order", "toxic", "x"]))
+    assert all(np.array_equal(a, b) and y == v for (a, y), (b, v) in zip(flat, rows, strict=True))
+    (w, b), (v, c) = toxicity.ftrl(flat), toxicity.ftrl(rows)
+    assert np.array_equal(w, v) and b == c
+
+
 # 4: decontamination
 
 
