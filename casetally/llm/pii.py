@@ -1,11 +1,12 @@
 """Operator 10: personal data by patterns and by information-theoretic sanitisation, in DataFrame operations only.
 
 Mail addresses, IP addresses, card numbers and telephone numbers are found by pattern. Each distinct value is
-a protected entity. Terms near its mentions may reveal it: over the whole corpus, the disclosure of entity e
-by term t is PMI(t, e) / IC(e), the information that t gives about e as a share of all the information in e,
-from the numbers of documents with e, with t, and with t near e. It is 1 if t occurs nowhere else. A term
-whose disclosure reaches the threshold, and which is seen near e in enough documents, is a span of its own.
-Sanitised texts replace values and terms by the name of their kind.
+a protected entity. Terms that occur in the same documents may reveal it: over the whole corpus, the disclosure
+of entity e by term t is PMI(t, e) / IC(e), the information that t gives about e as a share of all the
+information in e, from the numbers of documents with e, with t, and with both. It is 1 if t occurs nowhere else.
+A term whose disclosure reaches the threshold, and which is seen with e in enough documents, is a span of its
+own wherever it occurs, also in documents without e. What lies within values is no term. Sanitised texts replace
+values and terms by the name of their kind.
 
 The patterns start only where a run of their first characters starts, or where the last match ended, and
 give nothing back once matched: the same matches, without the quadratic search in long runs.
@@ -13,12 +14,14 @@ give nothing back once matched: the same matches, without the quadratic search i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-CONTEXT, DISCLOSURE, SUPPORT = 80, 0.9, 3
+DISCLOSURE, SUPPORT = 0.9, 3
 TERM = r"[A-Za-z\x{80}-\x{10FFFF}]{4,}"
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -49,8 +52,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value) in code points: lengths of what lies between them, added up."""
+def _matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All matches, or those to keep, as (start, end, value) in code points: lengths of what lies between them, added up."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(values)).alias("gap"), values.alias("value"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("out"))
@@ -58,7 +61,8 @@ def _matches(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         b = a + F.length(x["value"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"))))
+        return F.struct(b.alias("at"), (F.when(keep(x["value"]), more).otherwise(acc["out"]) if keep else more).alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -84,8 +88,11 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain(value))
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _entity(kind, s["value"]).alias("entity")))
+def _entities() -> Column:
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: _entity(kind, s["value"]))
+
+    return F.array_distinct(F.concat(*map(of, KINDS)))
 
 
 def _named(kind: str) -> Column:
@@ -93,49 +100,41 @@ def _named(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), name))
 
 
-def _context(text: Column, span: Column, side: str) -> Column:
-    """Text beside a span: (its place, the text, whether its far edge may cut a word)."""
-    if side == "left":
-        at = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        return F.struct(at.alias("at"), F.substring(text, at + 1, span["start"] - at).alias("near"), (at > 0).alias("cut_first"), F.lit(False).alias("cut_last"))
-    return F.struct(
-        span["end"].alias("at"), F.substring(text, span["end"] + 1, F.lit(CONTEXT)).alias("near"), F.lit(False).alias("cut_first"), (span["end"] + CONTEXT < F.length(text)).alias("cut_last")
-    )
+def _terms() -> Column:
+    """The distinct terms of a text outside its values, in lower case."""
+    spans = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
-def _terms(beside: Column) -> Column:
-    """Terms of a context with their places in the text; a term that its far edge may have cut is left out."""
-    whole = F.filter(
-        _matches(beside["near"], TERM),
-        lambda s: ~(beside["cut_first"] & (s["start"] == 0)) & ~(beside["cut_last"] & (s["end"] == F.length(beside["near"]))),
-    )
-    return F.transform(whole, lambda s: F.struct((s["start"] + beside["at"]).alias("start"), (s["end"] + beside["at"]).alias("end"), F.lower(s["value"]).alias("value")))
+    def joined(acc: Column) -> Column:
+        return F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), "\n")
+
+    outside = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, joined)).otherwise(F.col("text"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(
-    found: DataFrame, docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT
-) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, h, entity, term, start, end) of terms near entities, and the pairs (entity, term, disclosure)
-    that disclose. ``found`` has the documents with entities, once each; ``docs`` are all rows of the corpus.
-    Documents are counted, not mentions; all counts cover the whole corpus.
+def disclosing(found: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """The pairs (entity, term, disclosure) that disclose. ``found`` has (doc_id, h, text) and the values of each row.
+
+    Documents are counted, not mentions; all counts cover the whole corpus. A document gives as many pairs as it
+    has entities, of those in enough documents, times terms.
     """
-    near = found.select("doc_id", "h", F.explode("contexts").alias("c")).select(
-        "doc_id", "h", F.col("c.entity").alias("entity"), F.explode(F.concat(_terms(F.col("c.left")), _terms(F.col("c.right")))).alias("t")
-    )
-    near = near.select("doc_id", "h", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    entities = found.select("doc_id", "h", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-    n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = written(pairs.join(n_e, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
+    some = found.where(F.size(F.concat(*KINDS)) > 0).dropDuplicates(["doc_id", "h"])
+    within = some.select(F.explode(_entities()).alias("entity"), _terms().alias("terms"))
+    n_e = written(some.select(F.explode(_entities()).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "pii-entities")
+    pairs = within.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = written(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pii-pairs")
+    n_t = found.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n = found.count()
     # All words are counted before the join: a term then meets its count once, however often it occurs.
     counted = pairs.join(n_t, "term")
     information = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     shared = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     disclosed = counted.withColumn("disclosure", F.when(information > 0, shared / information)).where(F.col("disclosure") >= threshold)
-    return near, written(disclosed.select("entity", "term", "disclosure"), "pii-disclosing")
+    return written(disclosed.select("entity", "term", "disclosure"), "pii-disclosing")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -144,24 +143,23 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     Null texts count as empty. Rows of equal key and text get equal spans, each row its own result; they count
     as one document. A null key is a key like any other. A term within a span of the patterns is not one.
     """
-    base = base_spans(docs, key, text)
-    listed = F.concat(*(_entities(k) for k in KINDS))
-    contexts = F.transform(
-        listed, lambda s: F.struct(s["entity"].alias("entity"), _context(F.col("text"), s, "left").alias("left"), _context(F.col("text"), s, "right").alias("right"))
-    )
-    found = written(base.select("doc_id", "h", *KINDS, contexts.alias("contexts")), "pii-found")
-    once = found.where(F.size("contexts") > 0).dropDuplicates(["doc_id", "h"])
-    near, pairs = disclosing(once, docs, text, threshold, support)
-    spans = (
-        near.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-        .groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.col("doc_id").isNull().alias("no_key"), "h")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("near_terms"))
-    )
+    found = written(base_spans(docs, key, text), "pii-found")
+    pairs = disclosing(found, threshold, support)
+    telling = written(pairs.select("term").distinct(), "pii-terms")
     keyed = found.withColumn("k", F.coalesce("doc_id", F.lit(-1))).withColumn("no_key", F.col("doc_id").isNull())
-    joined = keyed.join(spans, ["k", "no_key", "h"], "left")
+    hits = (
+        keyed.select("k", "no_key", "h", F.explode(_terms()).alias("term"))
+        .join(telling, "term", "left_semi")
+        .groupBy("k", "no_key", "h")
+        .agg(F.collect_set("term").alias("hits"))
+    )
+    joined = keyed.join(written(hits, "pii-hits"), ["k", "no_key", "h"], "left")
     base_of = F.concat(*KINDS)
+    # Only texts with such a term are read again for its places.
+    places = F.when(F.col("hits").isNotNull(), _matches(F.col("text"), TERM, lambda v: F.array_contains("hits", F.lower(v))))
     terms = F.filter(
-        F.coalesce("near_terms", F.array().cast(_NO_SPANS)), lambda t: ~F.exists(base_of, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
+        F.coalesce(F.transform(places, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))), F.array().cast(_NO_SPANS)),
+        lambda t: ~F.exists(base_of, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])),
     )
     return joined.select("doc_id", "h", *KINDS, terms.alias("terms"))
 

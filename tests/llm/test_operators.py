@@ -469,3 +469,16 @@ def test_disclosing_terms(spark, documents):
     assert all(made[i]["spans"] == "" for i in range(20, 400)) and made[500]["n_term"] == 0
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(rows)).collect()}
     assert "[TERM] write to [EMAIL] please" in clean[0] and "jo@x.org" not in clean[0] and clean[30] == rows[18][1]
+
+
+def test_disclosing_terms_far_from_the_value(spark, documents):
+    rows = [(i, f"Ravenholm {prose(60)} jo@x.org") for i in range(8)] + [(i, f"{prose(20)} Ravenholm {prose(5)} ravenholm") for i in (10, 11)]
+    rows += [(i, prose(30)) for i in range(20, 400)] + [(500, "ravenholm@x.org"), (501, "ravenholm@x.org"), (502, "ravenholm@x.org")]
+    made = {r["doc_id"]: r for r in pii.report(pii.find(documents(rows, extra=True))).collect()}
+    assert all(made[i]["spans"].endswith("term:0:9") and made[i]["n_term"] == 1 for i in range(8))
+    for i in (10, 11):
+        at = [m.start() for m in re.finditer("(?i)ravenholm", rows[i - 2][1])]
+        assert made[i]["spans"] == ",".join(f"term:{a}:{a + 9}" for a in at) and len(at) == 2
+    assert all(made[i]["n_term"] == 0 for i in made if i > 11)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(rows)).collect()}
+    assert not any("ravenholm" in t.lower() for t in clean.values())
