@@ -3,8 +3,11 @@
 A page is read into a tree of elements. Each paragraph gives points, one and more for its length and its
 commas, to its parent in full, to its grandparent by half and to older ancestors by a third of that at each
 level. Containers that the page marks as the article or the main part start with points. Points are
-discounted by the share of text within links. The best container is kept, with those siblings that score
-well beside it or read like paragraphs; menus, notices, forms and the like inside are left out.
+discounted by the share of text within links. From the best container the way goes up to the article or main
+part around it, or else past parents whose other children hold text with few links; what is found is kept whole,
+however its text is dealt over sections, without lists of links. With it stay those siblings that score well
+beside it or read like paragraphs; menus, notices, forms and the like inside are left out. A name that speaks
+of such parts does not count where the element holds most of the page's paragraphs.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 _SKIP = set("nav footer aside form button input dialog menu head object canvas audio video fieldset label".split())
+_HEADS = set("h1 h2 h3 h4 h5 h6 header hgroup p".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 _UNLIKELY = set(
     "ad ads adv advert adverts advertisement adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
@@ -49,19 +53,21 @@ _UNLIKELY = set(
 _LIKELY = set("article body content entry main page post story text".split())
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Names of what an element has beside it or lacks, as in has-sidebar, not of what it is.
+_STATE = re.compile(r"(?<![a-z0-9_-])(?:has|no|with|without)[-_]\S*")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "parts", "boiler", "base", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "parts", "boiler", "named", "likely", "base", "points", "chars", "linked")
 
     def __init__(self, tag: str, up: _Node | None):
         self.tag, self.up, self.parts = tag, up, []
-        self.boiler, self.base, self.points, self.chars, self.linked = False, 0.0, 0.0, 0, 0
+        self.boiler, self.named, self.likely, self.base, self.points, self.chars, self.linked = False, False, False, 0.0, 0.0, 0, 0
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
     both = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return _NAME.findall(_CAMEL.sub(" ", both).lower())
+    return _NAME.findall(_STATE.sub(" ", _CAMEL.sub(" ", both).lower()))
 
 
 def _mark(node: _Node, raw: str) -> None:
@@ -78,7 +84,7 @@ def _mark(node: _Node, raw: str) -> None:
         if role in ("main", "article"):
             node.base += 20.0
         elif names & _UNLIKELY and not (node.tag in ("article", "main") or (node.tag == "header" and inside is not None)):
-            node.boiler = True
+            node.named, node.likely = True, bool(names & _LIKELY)
         elif names & _LIKELY:
             node.base += 10.0
         if role in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
@@ -131,6 +137,48 @@ def parse(page: str) -> _Node:
     return root
 
 
+def _settle(root: _Node) -> None:
+    """Elements named like boilerplate become it, but for one that holds most of the page's paragraph text.
+
+    That one must not lie beside an article or main part; within one it needs a name of the text, too.
+    """
+    order: list[tuple[_Node, bool, int]] = []
+    stack = [(root, False, 0)]
+    while stack:
+        node, within, leads = stack.pop()
+        within, leads = within or node.tag == "p", leads + (node.tag in ("article", "main"))
+        order.append((node, within, leads))
+        stack += [(part, within, leads) for part in node.parts if not isinstance(part, str) and not part.boiler]
+    held: dict[int, tuple[int, int]] = {}
+    for node, within, _ in reversed(order):
+        chars = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str)) if within else 0
+        inner = [held[id(x)] for x in node.parts if not isinstance(x, str) and not x.boiler]
+        held[id(node)] = chars + sum(c for c, _ in inner), (node.tag in ("article", "main")) + sum(n for _, n in inner)
+    text, leads = held[id(root)]
+    for node, _, above in order:
+        if node.named:
+            chars, inside = held[id(node)]
+            node.boiler = 2 * chars <= text or inside + above < leads or (above > 0 and not node.likely)
+
+
+def _whole(best: _Node) -> _Node:
+    """The article or main part around the best container, or the last parent whose other children hold few links."""
+    up: _Node | None = best
+    for tag in ("article", "main"):
+        up = best
+        while up is not None and up.tag != tag:
+            up = up.up
+        if up is not None:
+            return up
+    at = best
+    while at.up is not None and at.up.tag not in ("body", "html", "#page"):
+        rest = [x for x in at.up.parts if not isinstance(x, str) and x is not at and not x.boiler and x.chars]
+        if any(4 * x.linked >= x.chars and x.tag not in _HEADS for x in rest):
+            break
+        at = at.up
+    return at
+
+
 def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
     """(block element, text, characters in links) for each block of text outside boilerplate, in page order."""
     out: list[tuple[_Node, str, int]] = []
@@ -183,7 +231,9 @@ def main_text(page: str | None) -> str:
     """Text of the best container and its good siblings: blocks joined by two line feeds, empty if there is none."""
     if not page:
         return ""
-    blocks = _blocks(parse(page))
+    root = parse(page)
+    _settle(root)
+    blocks = _blocks(root)
     if not blocks:
         return ""
     scored: dict[int, _Node] = {}
@@ -225,12 +275,22 @@ def main_text(page: str | None) -> str:
             keep.add(id(part))
         elif part.tag == "p" and density < 0.25 and (part.chars > 80 or any(text[-1:] in ".!?" for node, text, _ in blocks if node is part)):
             keep.add(id(part))
+    whole, path = _whole(best), set()
+    up = best
+    while up is not whole:
+        path.add(id(up))
+        up = up.up
     texts = []
     for node, text, _ in blocks:
-        up = node
-        while up is not None and id(up) not in keep:
-            up = up.up
-        if up is not None:
+        up, side = node, node
+        while up is not None and id(up) not in keep and up is not whole:
+            side, up = up, up.up
+            if id(up) in path:
+                break
+        if up is None:
+            continue
+        # Beside the best container, lists of links and articles within the article are left out.
+        if id(up) in keep or up is side or side.tag in _HEADS or (2 * side.linked < side.chars and side.tag != "article"):
             texts.append(text)
     return "\n\n".join(texts)
 

@@ -227,6 +227,22 @@ def test_main_text():
     assert main_text(deep) == "deep down, in here"
 
 
+def test_uneven_articles_are_kept_whole():
+    def sections(*sizes):
+        return "".join("<section>" + "".join(f"<p>Part {i} {j} {'word ' * 78}ends.</p>" for j in range(n)) + "</section>" for i, n in enumerate(sizes))
+
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>more news {i}</a></li>" for i in range(9)) + "</ul>"
+    for sizes in ((10, 3), (30, 3), (3, 60, 1)):
+        for tag in ("article", "main", "div"):
+            made = main_text(f"<body><{tag}><h1>The headline</h1>{sections(*sizes)}</{tag}><nav>menu</nav></body>").split("\n\n")
+            assert made[0] == "The headline" and len(made) == 1 + sum(sizes), (sizes, tag)
+    made = main_text(f"<body><article><h1><a href='/a'>A headline</a></h1>{sections(30, 3)}{links}</article></body>")
+    assert made.startswith("A headline") and made.count("Part") == 33 and "more news" not in made
+    for name in ("has-sidebar", "content no-header", "page widget"):
+        assert "Part 0 9" in main_text(f"<body><div class='{name}'>{sections(10)}</div></body>")
+    assert main_text(f"<body><article>{sections(2)}</article><div class='comments'>{sections(10)}</div></body>").count("Part") == 2
+
+
 def test_articles_of_the_given_pages(spark, small):
     from html import unescape
 
