@@ -50,7 +50,10 @@ def with_votes(docs: DataFrame, text: str = "text", name: str = "votes") -> Data
             "_odd": F.regexp_count(body, F.lit(r"[%$#&*|<>{}\[\]=~^\\/@_+]")).cast("double"),
             "_ends": F.regexp_count(body, F.lit(r"[.!?](?=\s|$)")).cast("double"),
             "_again": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)).cast("double"),
-            "_distinct": F.size(F.array_distinct(words)).cast("double"),
+            # Distinct words within each 200, and distinct runs of five words: neither depends on the length of the text.
+            "_distinct": F.expr("aggregate(transform(sequence(0, (size(_words) - 1) div 200), i -> size(array_distinct(slice(_words, int(i) * 200 + 1, 200)))), 0, (a, x) -> a + x)").cast("double"),
+            "_runs": F.expr("size(_words) div 5").cast("double"),
+            "_new_runs": F.expr("size(array_distinct(transform(sequence(1, greatest(size(_words) div 5, 1)), i -> xxhash64(slice(_words, int(i) * 5 - 4, 5)))))").cast("double"),
             "_function": F.size(F.filter(words, lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("double"),
         }
     )
@@ -61,6 +64,7 @@ def with_votes(docs: DataFrame, text: str = "text", name: str = "votes") -> Data
             "_upper": F.col("_upper") / letters,
             "_again": F.col("_again") / n,
             "_distinct": F.col("_distinct") / n,
+            "_repeats": 1 - F.col("_new_runs") / F.greatest("_runs", F.lit(1.0)),
             "_function": F.col("_function") / n,
             "_ends": F.col("_ends") / n,
             "_alpha": F.col("_letters") / chars,
@@ -70,7 +74,7 @@ def with_votes(docs: DataFrame, text: str = "text", name: str = "votes") -> Data
         ("_odd < 0.01", "_odd > 0.04"),
         ("_upper < 0.15", "_upper > 0.4"),
         ("_again < 0.02", "_again > 0.15"),
-        ("_distinct > 0.3 OR _n > 2000", "_distinct < 0.15 AND _n <= 2000"),
+        ("_distinct > 0.3 AND _repeats < 0.3", "_distinct < 0.15 OR _repeats > 0.5"),
         ("_function > 0.12", "_function < 0.05"),
         ("_ends > 0.02 AND _ends < 0.3", "_ends < 0.005 OR _ends > 0.6"),
         ("_alpha > 0.9", "_alpha < 0.75"),

@@ -98,6 +98,16 @@ def test_quality_agrees_with_labels(spark):
     assert right > 0.9
 
 
+def test_diversity_votes_do_not_hang_on_length(spark):
+    line, long = [f"w{i}" for i in range(12)], [f"w{i}" for i in range(101)]
+    texts = {(name, n): " ".join((words * n)[:n]) for name, words in (("line", line), ("long", long)) for n in (1_999, 2_001, 20_000)}
+    texts |= {("prose", n): " ".join(f"w{RANDOM.randint(0, 900)}" for _ in range(n)) for n in (60, 1_999, 2_001, 20_000)}
+    texts |= {("few", n): " ".join(RANDOM.choice(line) for _ in range(n)) for n in (200, 1_999, 2_001, 20_000)}
+    rows = spark.createDataFrame([(*k, t) for k, t in texts.items()], "name string, n int, text string")
+    for r in quality.with_votes(rows).collect():
+        assert r["votes"][3] == ("g" if r["name"] == "prose" else "b"), (r["name"], r["n"])
+
+
 def test_quality_edge_rows(spark, documents):
     made = quality.quality(documents(edge_rows(), extra=True)).collect()
     assert len(made) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in made)
