@@ -3,7 +3,7 @@
 import zlib
 
 import pytest
-from test_operators import plain_components, plain_fingerprint
+from test_corpus import plain_components, plain_fingerprint
 
 import corpus_pipeline
 from casetally.llm import decontaminate, mixing, tokens
