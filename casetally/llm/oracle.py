@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sharding import Feistel
+
 MIX = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS part,
@@ -55,3 +57,36 @@ QUALIFY rank <= 20
 """
 
 ORACLE["op1_topk"] = TOPK
+
+#: CRC-32 in two parts: the table, one row with a list, and the value of a text; {tab} is the list.
+CRC_TABLE = """
+  SELECT list(list_reduce(list_prepend(n, list_transform(range(8), lambda i: 0::BIGINT)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY n) AS tab FROM (SELECT range AS n FROM range(256))
+"""
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295::BIGINT)"""
+
+
+def _rounds(source: str) -> str:
+    """The rounds of the network over rows (doc, l, r, k) of ``source``."""
+    for factor, offset in Feistel(1).keys:
+        t = f"((r * {factor} + {offset}) % 2147483647)"
+        t = f"(({t} * {t} % 2147483647 * {factor} + {offset}) % 2147483647)"
+        source = f"(SELECT doc, r AS l, xor(l, ({t} // 128) % (1::BIGINT << k)) AS r, k FROM {source})"
+    return source
+
+
+ORACLE["op12_sharding"] = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), sizes AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {CRC.format(text="coalesce(text, '')")} AS text_crc32,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS row
+  FROM documents, crc
+), domain AS (SELECT count(*) AS n, CAST(greatest(1, ceil(len(bin(count(*) - 1)) / 2.0)) AS INTEGER) AS k FROM documents
+), walk AS (
+  SELECT doc, (l << k) + r AS p, k FROM {_rounds("(SELECT row AS doc, row >> k AS l, row % (1::BIGINT << k) AS r, k FROM sizes, domain)")}
+  UNION ALL
+  SELECT doc, (l << k) + r AS p, k FROM {_rounds("(SELECT doc, p >> w.k AS l, p % (1::BIGINT << w.k) AS r, w.k FROM walk w, domain d WHERE p >= n)")}
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 16 AS INTEGER) AS shard, p // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard, row
+FROM sizes JOIN walk ON doc = row JOIN domain ON p < n
+"""

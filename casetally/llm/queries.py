@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, quality, simhash, suffix, tokens, topk, toxicity
+from . import decontaminate, html, mixing, pii, quality, sharding, simhash, suffix, tokens, topk, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents")))
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_table(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_suffix,
         op10_pii,
+        op12_sharding,
     )
 }
