@@ -90,3 +90,36 @@ WITH RECURSIVE crc AS ({CRC_TABLE}), sizes AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 16 AS INTEGER) AS shard, p // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard, row
 FROM sizes JOIN walk ON doc = row JOIN domain ON p < n
 """
+
+ORACLE["op13_trie"] = f"""
+WITH crc AS ({CRC_TABLE}), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS j FROM conversations
+  WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, count(*) AS n, {CRC.format(text="CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT conv_id FROM turns), crc GROUP BY conv_id, tab
+), plan AS (
+  SELECT o.conv_id, o.h, o.conv_id - o.conv_id % 20 AS base, least(o.h, coalesce(b.n, 0)) AS m, o.n FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), rebuilt AS (
+  SELECT p.conv_id, j AS d, role, text FROM plan p JOIN turns t ON t.conv_id = p.base AND j <= m
+  UNION ALL SELECT p.conv_id, j - h + m, role, text FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND j > h
+), prefixes AS (
+  SELECT conv_id, d, text, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', [] FROM plan
+), keyed AS (
+  SELECT conv_id, d, sha256(CAST(d AS VARCHAR) || to_json(path)) AS k, text, m + greatest(0, n - h) AS length FROM prefixes JOIN plan USING (conv_id)
+), parts AS (
+  SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM keyed
+), node AS (
+  SELECT k, d, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+    sha256(coalesce(string_agg(CASE WHEN d = length THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM parts GROUP BY k, d
+), child AS (SELECT up AS k, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up
+), full_node AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN child USING (k)
+), sums AS (
+  SELECT a.k, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM full_node b JOIN parts a ON a.conv_id = b.conv_id AND a.d <= b.d GROUP BY a.k
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN sums USING (k) LEFT JOIN node u ON u.k = n.up
+"""

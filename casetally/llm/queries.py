@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, quality, sharding, simhash, suffix, tokens, topk, toxicity
+from . import decontaminate, html, mixing, pii, prefixtrie, quality, sharding, simhash, suffix, tokens, topk, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, folder, "conversations")).drop("k1", "k2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix,
         op10_pii,
         op12_sharding,
+        op13_trie,
     )
 }
