@@ -123,3 +123,21 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n
   CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM full_node n JOIN sums USING (k) LEFT JOIN node u ON u.k = n.up
 """
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op11_search"] = f"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents
+), doc AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0
+), total AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l_all FROM doc
+), asked AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
+), posting AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM posting, total GROUP BY term
+), scored AS (
+  SELECT a.item, a.item_id, d.doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM asked a JOIN posting p USING (term) JOIN weight USING (term) JOIN doc d USING (row), total GROUP BY a.item, a.item_id, d.row, d.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, prefixtrie, quality, sharding, simhash, suffix, tokens, topk, toxicity
+from . import decontaminate, html, mixing, pii, prefixtrie, quality, rmqsearch, sharding, simhash, suffix, tokens, topk, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents")))
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rmqsearch.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_suffix,
         op10_pii,
+        op11_search,
         op12_sharding,
         op13_trie,
     )
