@@ -1,19 +1,22 @@
-"""Which features drive a score: linear, sampled Shapley and local surrogate attributions."""
+"""Which features drive a score: linear, tree, sampled Shapley and local surrogate attributions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas import types as pa_types
 
 from casetally.functions import sqltext
 from casetally.functions.draws import gaussian_sql, pick_sql
-from casetally.operators.models import as_doubles, bad_probability
+from casetally.operators import trees
+from casetally.operators.models import FittedModel, as_doubles, bad_probability, with_scores
 from casetally.operators.sampling import sample_rows
+from casetally.operators.trees import Ensemble, arrow_matrix
 
 
 def unpivot_weights(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -42,21 +45,53 @@ def linear_attribution(df: DataFrame, coefficients: dict[str, float], means: dic
     return df.selectExpr(sqltext.name(key), *[f"{w} AS {sqltext.name(f)}" for f, w in linear_weights(coefficients, means).items()])
 
 
+def logistic_parts(model: PipelineModel, columns: Sequence[str]) -> tuple[dict[str, float], dict[str, float], float]:
+    """Medians, coefficients on the raw features, and intercept of a fitted logistic regression."""
+    scaler, regression = model.stages[-2], model.stages[-1]
+    medians = model.stages[0].surrogateDF.first()
+    spread = {c: float(s) for c, s in zip(columns, scaler.std)}
+    coefficients = {c: float(b) / spread[c] if spread[c] else 0.0 for c, b in zip(columns, regression.coefficients)}
+    intercept = float(regression.intercept) - sum(coefficients[c] * float(m) for c, m in zip(columns, scaler.mean))
+    return {c: float(medians[c]) for c in columns}, coefficients, intercept
+
+
+def logistic_log_odds(model: PipelineModel, columns: Sequence[str]) -> Column:
+    """Log-odds of Bad from the coefficients, as one expression."""
+    medians, coefficients, intercept = logistic_parts(model, columns)
+    terms = [f"{sqltext.double(b)} * coalesce({sqltext.name(c)}, {sqltext.double(medians[c])})" for c, b in coefficients.items()]
+    return F.expr(" + ".join([sqltext.double(intercept), *terms]))
+
+
 def logistic_attribution(
     model: PipelineModel, train: DataFrame, cases: DataFrame, columns: Sequence[str], n_background: int = 100, key: str = "case_id", seed: int = 42
 ) -> DataFrame:
     """Linear attribution of a fitted logistic regression on its standardised inputs."""
-    scaler, regression = model.stages[-2], model.stages[-1]
-    medians = model.stages[0].surrogateDF.first()
+    medians, coefficients, _ = logistic_parts(model, columns)
+
     def filled(df: DataFrame) -> DataFrame:
-        return as_doubles(df, columns).na.fill({c: float(medians[c]) for c in columns})
+        return as_doubles(df, columns).na.fill(medians)
 
-    spread = {c: float(s) for c, s in zip(columns, scaler.std)}
-    coefficients = {c: float(b) / spread[c] if spread[c] else 0.0 for c, b in zip(columns, regression.coefficients)}
     means = background_means(filled(train), columns, n_background, key, seed)
     return linear_attribution(filled(cases), coefficients, means, key)
 
 
+def background_rows(df: DataFrame, columns: Sequence[str], n: int = 100, key: str = "case_id", seed: int = 42) -> np.ndarray:
+    """At most n rows, an argument of the explainers; missing values are NaN."""
+    rows = sample_rows(as_doubles(df, columns).select(key, *columns), n, key, seed).collect()
+    return np.array([[np.nan if r[c] is None else r[c] for c in columns] for r in rows], float).reshape(len(rows), len(columns))
+
+
+def tree_attribution(
+    model: FittedModel, train: DataFrame, cases: DataFrame, columns: Sequence[str], n_background: int = 100, key: str = "case_id", seed: int = 42
+) -> DataFrame:
+    """Exact Shapley values of a forest's P(Bad), or of the log-odds of boosted trees, against a background sample.
+
+    (case, feature, weight, score, expected); the weights of a case add up to its score less the expected one.
+    """
+    ensemble = model if isinstance(model, Ensemble) else trees.forest_ensemble(model, columns)
+    return trees.attribution(ensemble, as_doubles(cases, columns), background_rows(train, columns, n_background, key, seed), key)
+
+
 def sampled_shapley(
     model: PipelineModel,
     cases: DataFrame,
@@ -113,8 +148,50 @@ def sampled_shapley(
     )
 
 
+def _normal_sums(batches: Iterator[pa.RecordBatch], width: float, d: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(keys, sums) of the neighbourhoods in a task: for each case the weighted products of (1, z, y) with themselves.
+
+    Samples of a case lie one after another; what a batch ends in the midst of is carried to the next.
+    """
+    key, rest = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch["k"].to_pylist()
+        z, y = arrow_matrix(batch["_z"], d), batch["_prob"].to_numpy()
+        off = z - arrow_matrix(batch["_own"], d)
+        w = np.sqrt(np.exp(-(off**2).sum(1) / width**2))
+        v = np.column_stack([np.ones(len(y)), off, y])  # around the case, where the weight lies
+        starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        ends = [*starts[1:], len(keys)]
+        sums = np.stack([(v[a:b] * w[a:b, None]).T @ v[a:b] for a, b in zip(starts, ends, strict=True)])
+        names = [keys[a] for a in starts]
+        if rest is not None and names[0] == key:
+            sums[0] += rest
+        elif rest is not None:
+            names, sums = [key, *names], np.concatenate([rest[None], sums])
+        key, rest = names[-1], sums[-1]
+        if len(names) > 1:
+            yield names[:-1], sums[:-1]
+    if rest is not None:
+        yield [key], rest[None]
+
+
+def _solve(sums: np.ndarray, scale: float, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, R2 and largest residual of the normal equations of many weighted linear models at once."""
+    m = sums / sums[:, :1, :1]  # a case very far from the mean can leave next to no weight anywhere else
+    mean = m[:, 0, 1:]
+    cov = m[:, 1:, 1:] - mean[:, :, None] * mean[:, None, :]
+    a, c, total = cov[:, :-1, :-1], cov[:, :-1, -1], np.maximum(cov[:, -1, -1], 0.0)
+    left = a * scale + ridge * np.eye(a.shape[1])
+    beta = np.linalg.solve(left, (c * scale)[..., None])[..., 0]
+    missed = total - 2 * (beta * c).sum(1) + np.einsum("ni,nij,nj->n", beta, a, beta)
+    r2 = np.where(total > 1e-14, 1.0 - missed / np.where(total > 1e-14, total, 1.0), 0.0)
+    return beta, r2, np.abs(np.einsum("nij,nj->ni", left, beta) - c * scale).max(1)
+
+
 def local_surrogate(
-    model: PipelineModel,
+    score: Callable[[DataFrame], DataFrame],
     train: DataFrame,
     cases: DataFrame,
     columns: Sequence[str],
@@ -124,12 +201,12 @@ def local_surrogate(
     key: str = "case_id",
     seed: int = 42,
 ) -> DataFrame:
-    """Weights and fit of a weighted linear model around each case, as (case, feature, weight, r2).
+    """Weights and fit of a weighted linear model around each case, as (case, feature, weight, r2, residual).
 
-    The neighbourhood is drawn around the training mean and weighted by its
-    distance to the case in standard units. Missing values are taken as the
-    mean, or as ``fill``. Cases are spread by key once; samples, scores and the
-    small regressions of n_samples rows stay in that partition.
+    ``score`` adds ``_prob`` to a table of the features. The neighbourhood is drawn around the training mean and
+    weighted by its distance to the case in standard units. Missing values are taken as the mean, or as ``fill``.
+    Cases are spread by key once; their samples are drawn and scored where they lie, and one Arrow pass adds up
+    the normal equations and solves those of a batch of cases together. ``residual`` is what is left of them.
     """
     d = len(columns)
     table = as_doubles(train, columns)
@@ -146,30 +223,31 @@ def local_surrogate(
     )
     drawn = as_doubles(cases, columns).repartition(key).selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
     draws = sqltext.array(gaussian_sql(seed, id_, "_i", f"'{c}'") for c in columns)
-    drawn = drawn.selectExpr(id_, "_i", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")
+    drawn = drawn.selectExpr(id_, "_own", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")
     points = drawn.selectExpr(
-        id_, "_i", "_z", *[f"_z[{j}] * {sqltext.double(std[j])} + {sqltext.double(mean[j])} AS {c}" for j, c in enumerate(quoted)]
+        id_, "_own", "_z", *[f"_z[{j}] * {sqltext.double(std[j])} + {sqltext.double(mean[j])} AS {c}" for j, c in enumerate(quoted)]
     )
-    scored = model.transform(points).select(key, "_i", "_z", bad_probability().alias("_prob"))
-
-    width = 0.75 * np.sqrt(d)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(group["_z"].to_numpy())
-        y = group["_prob"].to_numpy()
-        own = z[group["_i"].to_numpy() == 0][0]
-        w = np.sqrt(np.exp(-((z - own) ** 2).sum(axis=1) / width**2))
-        # A case very far from the mean can leave next to no weight anywhere else.
-        w = w / w.sum()
-        zc, yc = z - w @ z, y - w @ y
-        scale = len(y)
-        beta = np.linalg.solve(zc.T @ (zc * (w * scale)[:, None]) + ridge * np.eye(d), zc.T @ (yc * w * scale))
-        total = float(w @ yc**2)
-        r2 = 1.0 - float(w @ (yc - zc @ beta) ** 2) / total if total > 0 else 0.0
-        return pd.DataFrame({key: group[key].iloc[0], "feature": list(columns), "weight": beta, "r2": r2})
-
-    kind = cases.schema[key].dataType.simpleString()
-    return scored.groupBy(key).applyInPandas(fit, f"{key} {kind}, feature string, weight double, r2 double")
+    scored = score(points).select(F.col(key).alias("k"), "_own", "_z", "_prob")
+    width = 0.75 * float(np.sqrt(d))
+    kind = pa_types.to_arrow_type(cases.schema[key].dataType)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, sums in _normal_sums(batches, width, d):
+            beta, r2, residual = _solve(sums, n_samples, ridge)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array(names, object), d), kind), pa.array(list(columns) * len(names), pa.string()), pa.array(beta.ravel()),
+                    pa.array(np.repeat(r2, d)), pa.array(np.repeat(residual, d)),
+                ],
+                [key, "feature", "weight", "r2", "residual"],
+            )
+
+    return scored.mapInArrow(fit, f"{id_} {cases.schema[key].dataType.simpleString()}, feature string, weight double, r2 double, residual double")
+
+
+def scorer(model: FittedModel) -> Callable[[DataFrame], DataFrame]:
+    """A fitted model as the ``score`` of a surrogate."""
+    return lambda df: with_scores(df, model, "_label", "_prob")
 
 
 def fit_quality(surrogate: DataFrame, by: Sequence[str] = (), key: str = "case_id") -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetally.functions.sqltext import array, name, text
 from casetally.schema import LABELS, POSITIVE_LABEL, RAW_COLUMNS, SPECIAL_CODES, TARGET, TableMetadata, indicator_name
+from casetally.sources.kept import figures, kept
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -45,15 +46,20 @@ def drop_unusable_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.where(f"array_max({values}) > -9")
 
 
+def code_masks(df: DataFrame, features: Sequence[str]) -> dict[str, Column]:
+    """Aggregates that tell which codes occur: one bit mask per feature."""
+    cases = " ".join(f"WHEN {code} THEN {1 << i}" for i, code in enumerate(SPECIAL_CODES))
+    return {f"codes_{i}": F.expr(f"coalesce(bit_or(CASE {name(c)} {cases} ELSE 0 END), 0)") for i, c in enumerate(numeric_columns(df, features))}
+
+
+def pairs_from(masks: dict, columns: Sequence[str]) -> list[tuple[str, int]]:
+    """(feature, code) pairs of the masks' bits."""
+    return [(c, code) for i, c in enumerate(columns) for bit, code in enumerate(SPECIAL_CODES) if masks[f"codes_{i}"] & (1 << bit)]
+
+
 def live_sentinels(df: DataFrame, features: Sequence[str]) -> list[tuple[str, int]]:
     """(feature, code) pairs that occur at least once: one aggregate row with a bit mask per feature."""
-    columns = numeric_columns(df, features)
-    if not columns:
-        return []
-    bits = {code: 1 << i for i, code in enumerate(SPECIAL_CODES)}
-    cases = " ".join(f"WHEN {code} THEN {bit}" for code, bit in bits.items())
-    seen = df.agg(*[F.expr(f"coalesce(bit_or(CASE {name(c)} {cases} ELSE 0 END), 0) AS `{i}`") for i, c in enumerate(columns)]).first()
-    return [(c, code) for i, c in enumerate(columns) for code, bit in bits.items() if seen[f"{i}"] & bit]
+    return pairs_from(figures(df, code_masks(df, features)), numeric_columns(df, features))
 
 
 def encode_sentinels(
@@ -141,25 +147,43 @@ def split_summary(df: DataFrame, target: str = TARGET, split: str = "split") ->
     return value_counts(df, target, by=[split])
 
 
+SPLITS = ("train", "val", "test")
+
+
+def class_counts(target: str = TARGET, split: str = "split") -> dict[str, Column]:
+    """Aggregates with the rows of each class in each split."""
+    return {f"n_{s}_{y}": F.count_if((F.col(split) == s) & (F.col(target) == y)) for s in SPLITS for y in (0, 1)}
+
+
+def metadata_from(counts: dict, features: Sequence[str], indicators: Sequence[str], target: str = TARGET, seed: int = 42) -> TableMetadata:
+    """Metadata of a prepared and split table from its class counts; splits and classes without rows are left out."""
+    sizes = {s: n for s in SPLITS if (n := counts[f"n_{s}_0"] + counts[f"n_{s}_1"])}
+    balance = {s: {str(y): counts[f"n_{s}_{y}"] / n for y in (0, 1) if counts[f"n_{s}_{y}"]} for s, n in sizes.items()}
+    return TableMetadata(target, POSITIVE_LABEL, list(features), list(indicators), seed, dict(SPECIAL_CODES), sizes, balance)
+
+
 def build_metadata(
     df: DataFrame, features: Sequence[str], indicators: Sequence[str], target: str = TARGET, seed: int = 42
 ) -> TableMetadata:
-    """Metadata of a prepared and split table; reads one row per split and class."""
-    sizes: dict[str, int] = {}
-    balance: dict[str, dict[str, float]] = {}
-    for row in split_summary(df, target).collect():
-        sizes[row["split"]] = sizes.get(row["split"], 0) + row["n_rows"]
-        balance.setdefault(row["split"], {})[str(row[target])] = row["share"]
-    return TableMetadata(target, POSITIVE_LABEL, list(features), list(indicators), seed, dict(SPECIAL_CODES), sizes, balance)
+    """Metadata of a prepared and split table, from one pass over it."""
+    return metadata_from(figures(df, class_counts(target)), features, indicators, target, seed)
+
+
+def usable_rows(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The rows that carry information, written once, and the (feature, code) pairs that occur in them."""
+    table = drop_unusable_rows(nan_to_null(df, features), features)
+    table = kept(table, "usable")
+    return table, pairs_from(figures(table, code_masks(table, features)), numeric_columns(table, features))
 
 
 def prepare(df: DataFrame, target: str = TARGET, keys: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
     """Raw table to prepared table: identifiers off, unusable rows off, target and sentinels encoded.
 
-    ``keys`` are carried along and are no features.
+    The source is read once: its usable rows are written to the shared folder, where the codes that occur are
+    looked up. ``keys`` are carried along and are no features.
     """
     table = drop_identifier_columns(require_columns(df, [target, *keys]))
     features = [c for c in table.columns if c != target and c not in keys]
-    table = drop_unusable_rows(nan_to_null(table, features), features)
-    table, indicators = encode_sentinels(encode_target(table, target), features)
+    table, pairs = usable_rows(table, features)
+    table, indicators = encode_sentinels(encode_target(table, target), features, pairs)
     return table, features, indicators

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +28,14 @@ from casetally.operators import (
     robustness,
     runs,
     sampling,
+    trees,
     validate,
     votes,
 )
 from casetally.plans import fixtures as fx
 from casetally.plans import reports
 from casetally.schema import FEATURE_NAMES, PERTURBATIONS, RAW_COLUMNS, STATUS_CODES, TARGET, TableMetadata, vocabulary_numbers
+from casetally.session import shared_folder
 from casetally.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,6 +330,24 @@ def sentinel_encode(spark, sf):
     return table
 
 
+@query
+def table_metadata(spark, sf):
+    """Prepared table, split and written; sizes and class balance as the metadata document tells them, read back."""
+    people, indicators = fx.applicants(spark, sf)
+    split = sampling.stratified_split(people)
+    folder = f"{shared_folder(spark)}/prepared-{uuid.uuid4().hex}"
+    tables.write_prepared(split, f"{folder}/table", f"{folder}/metadata", FEATURE_NAMES, indicators)
+    splits, metadata = tables.load_processed(spark, f"{folder}/table", f"{folder}/metadata")
+    rows = [
+        splits[s].agg(F.count("*").alias("n_read")).select(
+            F.lit(s).alias("split"), F.lit(metadata.split_sizes[s]).cast("long").alias("n_rows"), "n_read",
+            F.round(F.lit(float(metadata.class_balance[s]["1"])), 6).alias("share_bad"), F.lit(len(metadata.indicators)).alias("n_indicators"),
+        )
+        for s in metadata.split_sizes
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def special_code_counts(spark, sf):
     return prepare.special_code_counts(fx.raw_applicants(spark, sf), FEATURE_NAMES)
@@ -424,7 +448,7 @@ def perturbation_magnitude(spark, sf):
 def linear_attribution(spark, sf):
     people, _ = fx.applicants(spark, sf)
     coefficients = {f: fx.coefficient("shap", "logreg", f) for f in FEATURE_NAMES}
-    wide = attribution.linear_attribution(people, coefficients, fx.feature_means(people))
+    wide = attribution.linear_attribution(people, coefficients, fx.feature_means(spark, sf))
     return digits(attribution.unpivot_weights(wide, ["case_id"], FEATURE_NAMES), "weight", n=4)
 
 
@@ -432,7 +456,7 @@ def linear_attribution(spark, sf):
 def topk_factors(spark, sf):
     people, _ = fx.applicants(spark, sf)
     coefficients = {f: fx.coefficient("lime", "rf", f) for f in FEATURE_NAMES}
-    wide = attribution.linear_attribution(people, coefficients, fx.feature_means(people))
+    wide = attribution.linear_attribution(people, coefficients, fx.feature_means(spark, sf))
     long = digits(attribution.unpivot_weights(wide, ["case_id"], FEATURE_NAMES), "weight")
     return agreement.top_features(long, ["case_id"]).select("case_id", F.array_join("top_features", ",").alias("top_features"))
 
@@ -592,31 +616,83 @@ def batch_generate(spark, sf):
     return answered.select("pipeline", "case_id", "seed", "true_label", "label", "confidence", "explanation_grounded", "parse_success")
 
 
-def searched(spark: SparkSession, sf: str):
-    """The split table, its columns, and (model, best parameters, mean F1) of each family: all grid points in five folds of the train split."""
+def model_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Usable applicants with their split, written once, and the columns that models learn from."""
     people, indicators = fx.applicants(spark, sf)
-    columns = [*FEATURE_NAMES, *indicators]
-    table = sampling.stratified_split(tables.kept(people))
-    folds = tables.kept(sampling.stratified_folds(table.where("split = 'train'"), k=5))
-    return table, columns, {family: models.grid_search(folds, family, columns, models.GRIDS[family]) for family in models.FAMILIES}
+    return tables.kept(sampling.stratified_split(tables.kept(people))), [*FEATURE_NAMES, *indicators]
+
+
+def known_models(table: DataFrame, columns: list[str]) -> dict[str, models.FittedModel]:
+    """The three families at the points known to be best, trained side by side on the rows given."""
+    with ThreadPoolExecutor(len(models.FAMILIES)) as pool:
+        fitted = pool.map(lambda family: models.train(table, family, columns, models.KNOWN_POINTS[family]), models.FAMILIES)
+        return dict(zip(models.FAMILIES, fitted, strict=True))
 
 
 @query
 def train_score_models(spark, sf):
-    """Three model families, chosen and trained on the train split and scored on the test split."""
-    table, columns, found = searched(spark, sf)
-    return models.evaluate(table.where("split = 'test'"), {family: model for family, (model, _, _) in found.items()}, columns)
+    """Three model families, trained on the train split and scored on the test split."""
+    table, columns = model_table(spark, sf)
+    return models.evaluate(table.where("split = 'test'"), known_models(table.where("split = 'train'"), columns), columns)
+
+
+def searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All grid points of the three families in five folds of the train split: the table, a row a point, the columns.
+
+    The scores lie in the shared folder under the name of the tables, so a second query, or a run that broke off,
+    goes on from them.
+    """
+    table, columns = model_table(spark, sf)
+    folds = sampling.stratified_folds(table.where("split = 'train'"), k=5)
+    path = f"{shared_folder(spark)}/grid-search-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return table, models.search_summary(models.grid_scores(folds, columns, path=path)), columns
 
 
 @query
 def grid_search_models(spark, sf):
-    """Cross-validated choice of each family's parameters, with the note on a gap to the validation split."""
-    table, columns, found = searched(spark, sf)
-    checked = models.evaluate(table.where("split = 'val'"), {family: model for family, (model, _, _) in found.items()}, columns)
-    cv_f1 = F.create_map(*[F.lit(x) for family, (_, _, f1) in found.items() for x in (family, float(f1))])
-    best = F.create_map(*[F.lit(x) for family, (_, point, _) in found.items() for x in (family, json.dumps(point))])
-    results = checked.select("system", F.col("f1").alias("val_f1"), cv_f1[F.col("system")].alias("cv_f1"), best[F.col("system")].alias("best_params"))
-    return metrics.overfit_note(results)
+    """The 29 grid points with their mean F1 over the folds; those chosen also with F1 on the validation split and the note on a gap."""
+    table, points, columns = searched(spark, sf)
+    best = {r["family"]: json.loads(r["params"]) for r in points.where("best").collect()}
+    train = table.where("split = 'train'")
+    fitted = {family: models.train(train, family, columns, point) for family, point in best.items()}
+    checked = models.evaluate(table.where("split = 'val'"), fitted, columns).select(F.col("system").alias("family"), F.lit(True).alias("best"), F.col("f1").alias("val_f1"))
+    rows = points.withColumnRenamed("mean_f1", "cv_f1").join(checked, ["family", "best"], "left")
+    return metrics.overfit_note(rows)
+
+
+@query
+def grid_search_rows(spark, sf):
+    """How many folds and rows each grid point was judged on."""
+    _, points, _ = searched(spark, sf)
+    return points.select("family", "params", F.col("n_folds").cast("bigint").alias("n_folds"), "n_rows")
+
+
+def explained(spark: SparkSession, sf: str) -> tuple[dict[str, models.FittedModel], DataFrame, list[str]]:
+    """The three families trained on all usable applicants, these applicants, and their columns."""
+
+    def make() -> tuple:
+        people, indicators = fx.applicants(spark, sf)
+        people, columns = tables.kept(people), [*FEATURE_NAMES, *indicators]
+        return known_models(people, columns), people, columns
+
+    return fx.derived(spark, sf, "models", make)
+
+
+@query
+def score_gap(spark, sf):
+    """Scores of each model against those worked out from its parts: coefficients, the forest's node table, the saved trees."""
+    fitted, people, columns = explained(spark, sf)
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    models.save_models(fitted, path)
+    loaded = models.load_models(path)
+    wide = models.score_wide(people, fitted, columns)
+    odds = attribution.logistic_log_odds(loaded["logistic_regression"], columns)
+    again = models.as_doubles(people, columns).select(
+        "case_id", (1.0 / (1.0 + F.exp(-odds))).alias("logistic_regression"), trees.score_column(trees.forest_ensemble(loaded["random_forest"], columns)).alias("random_forest"),
+        trees.score_column(loaded["boosted_trees"]).alias("boosted_trees"),
+    )
+    gaps = [F.struct(F.lit(f).alias("system"), (F.round(F.col(f"{f}_proba") - F.col(f), 9) + 0.0).alias("gap")) for f in fitted]
+    return wide.join(again, "case_id").select("case_id", F.inline(F.array(*gaps)))
 
 
 def fitted_logistic(spark: SparkSession, sf: str):
@@ -639,10 +715,99 @@ def sampled_shapley(spark, sf):
     return attribution.sampled_shapley(model, people, people, columns)
 
 
+def tree_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributions of the forest and of the boosted trees for every usable applicant."""
+    return fx.derived(spark, sf, "tree-weights", lambda: (_tree_weights(spark, sf),))[0]
+
+
+def _tree_weights(spark: SparkSession, sf: str) -> DataFrame:
+    fitted, people, columns = explained(spark, sf)
+    parts = [
+        attribution.tree_attribution(fitted[family], people, people, columns).select(F.lit(family).alias("system"), "*")
+        for family in ("random_forest", "boosted_trees")
+    ]
+    return tables.kept(parts[0].unionByName(parts[1]))
+
+
+@query
+def tree_attribution(spark, sf):
+    return tree_weights(spark, sf).select("system", "case_id", "feature", "weight")
+
+
+@query
+def tree_attribution_gap(spark, sf):
+    """Per model and case the number of attributions, and how far they are from the score less the expected one: not at all."""
+    gap = F.sum("weight") - (F.max("score") - F.max("expected"))
+    rows = tree_weights(spark, sf).groupBy("system", "case_id").agg(F.count("*").alias("n_features"), (F.round(gap, 6) + 0.0).alias("gap"))
+    return rows.withColumn("n_features", F.col("n_features") >= len(FEATURE_NAMES)).withColumnRenamed("n_features", "all_features")
+
+
+@query
+def rule_tree_attribution(spark, sf):
+    """Exact attributions of a small forest that is written down, against two background rows, for every usable applicant."""
+    people, _ = fx.applicants(spark, sf)
+    weights = trees.attribution(fx.rule_forest(), people, np.array(fx.RULE_BACKGROUND))
+    return digits(weights.select("case_id", "feature", "weight"), "weight").withColumn("weight", F.col("weight") + 0.0)
+
+
+def surrogate_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Surrogates of the three models around every usable applicant."""
+
+    def make() -> tuple[DataFrame]:
+        fitted, people, columns = explained(spark, sf)
+        parts = [
+            attribution.local_surrogate(attribution.scorer(model), people, people, columns, fill=0.0).select(F.lit(family).alias("system"), "*")
+            for family, model in fitted.items()
+        ]
+        return (tables.kept(reduce(DataFrame.unionByName, parts)),)
+
+    return fx.derived(spark, sf, "surrogates", make)[0]
+
+
 @query
 def local_surrogate(spark, sf):
-    model, people, columns = fitted_logistic(spark, sf)
-    return attribution.local_surrogate(model, people, people, columns, fill=0.0)
+    return surrogate_weights(spark, sf)
+
+
+@query
+def surrogate_fit(spark, sf):
+    """Mean and least R2 of the surrogates of each model."""
+    return attribution.fit_quality(surrogate_weights(spark, sf), ["system"])
+
+
+@query
+def surrogate_residuals(spark, sf):
+    """What is left of the normal equations of each case's surrogate, nothing, and whether its fit is a share."""
+    weights = surrogate_weights(spark, sf)
+    return weights.groupBy("system", "case_id").agg((F.round(F.max("residual"), 6) + 0.0).alias("residual"), F.expr("every(r2 <= 1)").alias("r2_at_most_1"))
+
+
+@query
+def surrogate_of_linear_score(spark, sf):
+    """Surrogates of a linear score, without a penalty: its coefficients in standard units come back, for every usable applicant."""
+    people, _ = fx.applicants(spark, sf)
+    people = tables.kept(people.select("case_id", *fx.SCORED))
+    made = attribution.local_surrogate(lambda df: df.withColumn("_prob", F.expr(fx.linear_score())), people, people, list(fx.SCORED), fill=0.0, ridge=0.0)
+    rows = made.select("case_id", "feature", (F.round("weight", 4) + 0.0).alias("weight"), F.round("r2", 4).alias("r2"))
+    return rows
+
+
+@query
+def model_chain(spark, sf):
+    """Train, score, calibrate and pair: the three models on the test split, with calibration and discordance per pair."""
+    table, columns = model_table(spark, sf)
+    fitted = known_models(table.where("split = 'train'"), columns)
+    wide = tables.kept(models.score_wide(table.where("split = 'test'"), fitted, columns))
+    long = models.wide_to_long(wide, list(fitted))
+    own = metrics.calibration(long, ["system"]).join(metrics.summary(long, ["system"]), "system")
+    pairs = [(a, b) for i, a in enumerate(models.FAMILIES) for b in models.FAMILIES[i + 1 :]]
+    names = {f: label_name(F.col(f"{f}_pred")) for f in models.FAMILIES}
+    aligned = wide.select("case_id", label_name(F.col("true_label")).alias("true"), *[v.alias(k) for k, v in names.items()])
+    tests = paired.mcnemar(paired.discordance(aligned, pairs))
+    facts = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("n_cases", "brier_score", "ece", "accuracy", "f1", "roc_auc", "pr_auc")]
+    both = own.select("system", F.inline(F.array(*facts)))
+    told = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("n_discordant", "statistic", "p_value")]
+    return both.unionByName(tests.select(F.col("comparison").alias("system"), F.inline(F.array(*told))))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

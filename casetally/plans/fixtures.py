@@ -6,6 +6,9 @@ not depend on the order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +16,10 @@ from casetally.functions import sqltext
 from casetally.functions.draws import uniform
 from casetally.operators.agreement import top_features_of_row
 from casetally.operators.attribution import linear_weights
-from casetally.operators.prepare import encode_sentinels, encode_target
-from casetally.schema import FEATURE_NAMES, FEATURES, SPECIAL_CODES, TARGET
+from casetally.operators.prepare import encode_sentinels, encode_target, usable_rows
+from casetally.operators.trees import Ensemble, ensemble_of
+from casetally.schema import FEATURE_NAMES, FEATURES, TARGET
+from casetally.sources.kept import kept
 
 MODELS = ["logreg", "rf", "boosted"]
 METHODS = ["shap", "lime"]
@@ -126,30 +131,52 @@ SENTINELS = {
 }
 
 
-def usable(df: DataFrame) -> DataFrame:
-    """Applicants whose row carries information: here a matter of the key.
+#: What is made of the provided tables, by session and folder: written once, read by every query after.
+_DERIVED: dict[tuple[str, str, str], tuple] = {}
+
 
-    The general rule looks at all 23 derived values; put into every query, it multiplies their expressions
-    beyond what the optimizer can plan. ``drop_unusable`` and ``sentinel_encode`` apply it.
-    """
-    return df.where(F.col("case_id") % 17 != 0)
+def derived(spark: SparkSession, sf: str, what: str, make: Callable[[], tuple]) -> tuple:
+    """What ``make`` wrote for a folder in this session."""
+    name = (spark.sparkContext.applicationId, sf, what)
+    if name not in _DERIVED:
+        _DERIVED[name] = make()
+    return _DERIVED[name]
 
 
-def planted_pairs() -> list[tuple[str, int]]:
-    """The codes that the fixture plants, so that no pass is needed to find them."""
-    return [(f, c) for f in FEATURE_NAMES for c in SPECIAL_CODES if c in [code for _, code in SENTINELS.get(f, [])]]
+def usable_applicants(spark: SparkSession, sf: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Raw applicants whose row carries information, and the (feature, code) pairs that occur."""
+    return derived(spark, sf, "usable", lambda: usable_rows(raw_applicants(spark, sf), FEATURE_NAMES))
 
 
 def applicants(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Prepared applicants and their indicators."""
-    return encode_sentinels(encode_target(usable(raw_applicants(spark, sf))), FEATURE_NAMES, planted_pairs())
+    table, pairs = usable_applicants(spark, sf)
+    return encode_sentinels(encode_target(table), FEATURE_NAMES, pairs)
+
+
+#: Events of a range of keys; runs are numbered within a range, and ranges add up.
+EVENT_RANGE = 65_536
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Response log made of events: every event of a user is a run, numbered in either pipeline."""
+    return derived(spark, sf, "runs", lambda: (kept(spread(_runs(spark, sf)), "runs"),))[0]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many files as the session has cores, so that what reads them runs in as many tasks."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
     pipe = F.when(F.col("event_id") % 2 == 0, F.lit("structured")).otherwise(F.lit("stock"))
-    rank = F.row_number().over(Window.partitionBy("pipeline", "user_id").orderBy("event_id"))
-    log = table(spark, sf, "events").withColumn("pipeline", pipe).withColumn("_rank", rank)
+    log = table(spark, sf, "events").withColumns({"pipeline": pipe, "_range": F.floor(F.col("event_id") / EVENT_RANGE)})
+    # A user with very many events is numbered by ranges, each of bounded size.
+    earlier = Window.partitionBy("pipeline", "user_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = log.groupBy("pipeline", "user_id", "_range").agg(F.count("*").alias("n"))
+    starts = counts.select("pipeline", "user_id", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("pipeline", "user_id", "_range").orderBy("event_id"))
+    log = log.join(starts, ["pipeline", "user_id", "_range"]).withColumn("_rank", F.col("_start") + own)
     return log.select(
         "pipeline",
         F.col("user_id").alias("case_id"),
@@ -180,7 +207,7 @@ def run_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Three scores per usable applicant in steps of 0.01, so that ties and bin edges occur."""
-    people = usable(raw_applicants(spark, sf)).select("case_id", (F.col(TARGET) == "Bad").cast("int").alias("true_label"))
+    people = usable_applicants(spark, sf)[0].select("case_id", (F.col(TARGET) == "Bad").cast("int").alias("true_label"))
     scores = [
         F.struct(
             F.lit(m).alias("system"),
@@ -211,6 +238,10 @@ RESPONSE_VALUES = ["amount", "month", "day"]
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON response per order in sixteen variants, sound and broken, and one in free text."""
+    return derived(spark, sf, "responses", lambda: (kept(spread(_responses(spark, sf)), "responses"),))[0]
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
     labels = sqltext.array(sqltext.text(label) for label, _ in FEATURES.values())
     n = len(FEATURES)
     base = table(spark, sf, "orders").selectExpr(
@@ -266,15 +297,16 @@ def coefficient(method: str, model: str, feature: str) -> float:
     return ((FEATURE_NAMES.index(feature) * 7 + METHODS.index(method) * 3 + MODELS.index(model) * 5) % 11 - 5) / 10.0
 
 
-def feature_means(prepared: DataFrame) -> dict[str, float]:
-    """Means rounded to six digits, so that they do not depend on the order of summation."""
-    return prepared.agg(*[F.expr(f"round(avg({f}), 6) AS {f}") for f in FEATURE_NAMES]).first().asDict()
+def feature_means(spark: SparkSession, sf: str) -> dict[str, float]:
+    """Means of the prepared features, rounded to six digits, so that they do not depend on the order of summation."""
+    means = lambda: applicants(spark, sf)[0].agg(*[F.expr(f"round(avg({f}), 6) AS {f}") for f in FEATURE_NAMES]).first().asDict()
+    return derived(spark, sf, "means", lambda: (means(),))[0]
 
 
 def reference_tops(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Top features per (method, model, case), taken from one wide row per applicant without a shuffle."""
     prepared, _ = applicants(spark, sf)
-    means = feature_means(prepared)
+    means = feature_means(spark, sf)
     items = []
     for method in METHODS:
         for model in MODELS:
@@ -282,3 +314,38 @@ def reference_tops(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
             top = top_features_of_row({f: f"round({w}, 6)" for f, w in weights.items()}, k)
             items.append(F.struct(F.lit(method).alias("method"), F.lit(model).alias("model"), top.alias("top_features")))
     return prepared.select("case_id", F.inline(F.array(*items)))
+
+
+#: A forest of two trees, as rows of a node table, over three features, and two background rows for them.
+RULE_FEATURES = ["ExternalRiskEstimate", "NumTotalTrades", "PercentTradesNeverDelq"]
+RULE_NODES = [
+    # tree, node, feature, cut, default_left, left, right, value
+    (0, 0, 0, 66.0, True, 1, 2, 0.0),
+    (0, 1, 1, 9.0, False, 3, 4, 0.0),
+    (0, 2, 2, 70.0, False, 5, 6, 0.0),
+    (0, 3, -1, 0.0, False, -1, -1, 0.9),
+    (0, 4, 0, 55.0, True, 7, 8, 0.0),
+    (0, 5, -1, 0.0, False, -1, -1, 0.4),
+    (0, 6, -1, 0.0, False, -1, -1, 0.1),
+    (0, 7, -1, 0.0, False, -1, -1, 0.8),
+    (0, 8, -1, 0.0, False, -1, -1, 0.5),
+    (1, 0, 1, 11.0, True, 1, 2, 0.0),
+    (1, 1, -1, 0.0, False, -1, -1, 0.3),
+    (1, 2, 0, 80.0, False, 3, 4, 0.0),
+    (1, 3, -1, 0.0, False, -1, -1, 0.6),
+    (1, 4, -1, 0.0, False, -1, -1, 0.2),
+]
+RULE_BACKGROUND = [[60.0, 12.0, 80.0], [85.0, 5.0, 50.0]]
+
+
+def rule_forest() -> Ensemble:
+    nodes = pd.DataFrame(RULE_NODES, columns=["tree", "node", "feature", "cut", "default_left", "left", "right", "value"])
+    return ensemble_of(nodes, RULE_FEATURES, 0.5, 0.0, "identity")
+
+
+#: Features and coefficients of a linear score, for the surrogate that gives them back.
+SCORED = {"ExternalRiskEstimate": -0.01, "NumTotalTrades": 0.02, "MSinceOldestTradeOpen": -0.005, "NetFractionRevolvingBurden": 0.03}
+
+
+def linear_score() -> str:
+    return " + ".join(["0.5D", *[f"({c!r}D * {f})" for f, c in SCORED.items()]])

