@@ -7,7 +7,9 @@ discounted by the share of text within links. From the best container the way go
 part around it, or else past parents whose other children hold text with few links; what is found is kept whole,
 however its text is dealt over sections, without lists of links. With it stay those siblings that score well
 beside it or read like paragraphs; menus, notices, forms and the like inside are left out. A name that speaks
-of such parts does not count where the element holds most of the page's paragraphs.
+of such parts does not count where the element holds the article, or all paragraphs that the page has. Reader
+comments go by structure, however long they are: by name, by the heading above them, as articles within an
+article, or as a row of like parts that each have an author and a date.
 """
 
 from __future__ import annotations
@@ -50,6 +52,12 @@ _UNLIKELY = set(
     "promotion recommend recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored "
     "subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+_COMMENTS = set("comment comments commentlist commentary discussion discussions disqus replies reply respond responses".split())
+_COMMENTS_HEAD = re.compile(
+    r"\s*(?:\d[\d,. ]*\s+|(?:all|view|reader|user|recent|top|latest)\s+)*(?:comments?|responses?|replies|discussion|reader comments|thoughts on\b.*|"
+    r"(?:leave|post|add|write)\s+an?\s+(?:comment|reply|response).*|join the (?:discussion|conversation))\s*(?:\(\d+\)|:)?\s*", re.I | re.S
+)
+_AUTHOR, _DATE = set("author avatar byline commenter nickname user username".split()), set("ago date datetime posted published time timestamp when".split())
 _LIKELY = set("article body content entry main page post story text".split())
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -58,11 +66,12 @@ _STATE = re.compile(r"(?<![a-z0-9_-])(?:has|no|with|without)[-_]\S*")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "parts", "boiler", "named", "likely", "base", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "parts", "boiler", "named", "likely", "base", "points", "chars", "linked", "words")
 
     def __init__(self, tag: str, up: _Node | None):
         self.tag, self.up, self.parts = tag, up, []
         self.boiler, self.named, self.likely, self.base, self.points, self.chars, self.linked = False, False, False, 0.0, 0.0, 0, 0
+        self.words: set[str] = set()
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -72,14 +81,15 @@ def _names(attributes: dict[str, str]) -> list[str]:
 
 def _mark(node: _Node, raw: str) -> None:
     """Whether the element is boilerplate by its tag, role or names, and the points that it starts with."""
-    inside = node.up
+    inside, code = node.up, False
     while inside is not None and inside.tag not in ("article", "main"):
+        code = code or inside.tag in ("pre", "code")  # where names colour words
         inside = inside.up
     node.boiler = node.tag in _SKIP or (node.tag == "header" and inside is None)
     node.base = {"article": 30.0, "main": 20.0}.get(node.tag, 0.0)
-    if raw.strip() and node.tag not in ("html", "body"):
+    if raw.strip() and node.tag not in ("html", "body") and not code:
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
-        names = set(_names(attributes))
+        names = node.words = set(_names(attributes))
         role = attributes.get("role", "").lower()
         if role in ("main", "article"):
             node.base += 20.0
@@ -137,28 +147,104 @@ def parse(page: str) -> _Node:
     return root
 
 
+def _walk(root: _Node) -> list[_Node]:
+    """All elements outside of boilerplate, each before those that it holds."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [x for x in reversed(node.parts) if not isinstance(x, str) and not x.boiler]
+    return out
+
+
+def _text(node: _Node) -> str:
+    pieces: list[str] = []
+    stack: list = [node]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            pieces.append(at)
+        else:
+            stack += reversed(at.parts)
+    return "".join(pieces)
+
+
+def _drop_comments(root: _Node) -> None:
+    """Reader comments become boilerplate."""
+    nodes = _walk(root)
+    leads: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = node.tag in ("article", "main") and not node.words & _COMMENTS
+        leads[id(node)] = own + sum(leads.get(id(x), 0) for x in node.parts if not isinstance(x, str))
+    within: dict[int, tuple[bool, bool]] = {id(root): (False, False)}  # in code, in an article
+    for node in nodes:
+        code, article = within[id(node)]
+        for part in node.parts:
+            if isinstance(part, str):
+                continue
+            within[id(part)] = code or part.tag in ("pre", "code"), article or part.tag == "article"
+            named = part.words & _COMMENTS and part.tag not in ("html", "body") and not code
+            # A part that holds the page's article is around it, not a comment.
+            if named and (not leads.get(id(part), 0) or article):
+                part.boiler = True
+    for node in _walk(root):
+        inner = [x for x in node.parts if not isinstance(x, str) and not x.boiler]
+        for i, part in enumerate(inner):
+            if part.tag in ("h2", "h3", "h4", "h5", "h6") and _COMMENTS_HEAD.fullmatch(_text(part)):
+                first = not any(_text(x).strip() for x in inner[:i])
+                if first and node.tag in ("div", "section", "li", "td") and not any(x.tag in ("article", "main") and not x.words & _COMMENTS for x in inner) and not any(x.tag == "h1" for x in _walk(node)):
+                    node.boiler = True
+                else:
+                    for x in inner[i:]:
+                        x.boiler = True
+                break
+    for node in _walk(root):
+        if node.tag == "article":
+            nested = [x for x in _walk(node)[1:] if x.tag == "article"]
+            held = {id(y) for x in nested for y in _walk(x)}
+            if any(x.tag == "p" and id(x) not in held and _text(x).strip() for x in _walk(node)):
+                for x in nested:
+                    x.boiler = True
+    for node in _walk(root):
+        alike: dict[tuple, list[_Node]] = {}
+        for x in node.parts:
+            if not isinstance(x, str) and not x.boiler and x.tag in ("div", "li", "section", "article", "blockquote", "tr"):
+                alike.setdefault((x.tag, tuple(sorted(x.words))), []).append(x)
+        for parts in alike.values():
+            own = [_walk(x) for x in parts]
+            if len(parts) >= 2 and all(any(y.words & _AUTHOR for y in w) and any(y.tag == "time" or y.words & _DATE for y in w) and not any(y.tag in ("h1", "h2", "main") for y in w) for w in own):
+                for x in parts:
+                    x.boiler = True
+
+
 def _settle(root: _Node) -> None:
-    """Elements named like boilerplate become it, but for one that holds most of the page's paragraph text.
+    """Elements named like boilerplate become it, but for one that holds the article or all paragraphs of the page.
 
-    That one must not lie beside an article or main part; within one it needs a name of the text, too.
+    Within an article or main part such an element stays only if it is named like text, too, and holds all
+    paragraphs but those that lie directly in the article.
     """
-    order: list[tuple[_Node, bool, int]] = []
-    stack = [(root, False, 0)]
+    order: list[tuple[_Node, bool, int, _Node | None]] = []
+    stack: list[tuple[_Node, bool, int, _Node | None]] = [(root, False, 0, None)]
     while stack:
-        node, within, leads = stack.pop()
+        node, within, leads, lead = stack.pop()
         within, leads = within or node.tag == "p", leads + (node.tag in ("article", "main"))
-        order.append((node, within, leads))
-        stack += [(part, within, leads) for part in node.parts if not isinstance(part, str) and not part.boiler]
+        order.append((node, within, leads, lead))
+        lead = node if node.tag in ("article", "main") else lead
+        stack += [(part, within, leads, lead) for part in node.parts if not isinstance(part, str) and not part.boiler]
     held: dict[int, tuple[int, int]] = {}
-    for node, within, _ in reversed(order):
+    for node, within, _, _ in reversed(order):
         chars = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str)) if within else 0
         inner = [held[id(x)] for x in node.parts if not isinstance(x, str) and not x.boiler]
         held[id(node)] = chars + sum(c for c, _ in inner), (node.tag in ("article", "main")) + sum(n for _, n in inner)
     text, leads = held[id(root)]
-    for node, _, above in order:
+    for node, _, above, lead in order:
         if node.named:
             chars, inside = held[id(node)]
-            node.boiler = 2 * chars <= text or inside + above < leads or (above > 0 and not node.likely)
+            if above and lead is not None:
+                direct = sum(held[id(x)][0] for x in lead.parts if not isinstance(x, str) and x.tag in _HEADS and id(x) in held)
+                node.boiler = not (node.likely and chars and chars + direct == held[id(lead)][0])
+            else:
+                node.boiler = not (inside and inside + above >= leads) and not (text and chars == text and not leads)
 
 
 def _whole(best: _Node) -> _Node:
@@ -232,6 +318,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _drop_comments(root)
     _settle(root)
     blocks = _blocks(root)
     if not blocks:

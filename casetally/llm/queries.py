@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html, mixing, pii, prefixtrie, quality, rmqsearch, sharding, simhash, suffix, tokens, topk, toxicity
 from .common import table
@@ -43,7 +44,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, folder, "documents"))
+    removed = suffix.remove_repeats(table(spark, folder, "documents"))
+    return removed.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:

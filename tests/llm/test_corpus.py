@@ -262,6 +262,41 @@ def test_articles_of_the_given_pages(spark, small):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+TEXT = "".join(f"<p>Part {i} of the article, with commas, and so on, to its end.</p>" for i in range(3))
+TALK = "".join(f"<div class='item'><p>Remark {i}, which goes on, and on, for much longer than what it is about, as remarks do, again and again.</p></div>" for i in range(12))
+SIGNED = TALK.replace("<p>", "<span class='author'>A. Reader</span> <time>today</time><p>")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='post'>{TEXT}</div><div class='comments'>{TALK}</div>",
+        f"<article>{TEXT}<section>{TALK.replace('div', 'article')}</section></article>",
+        f"<article>{TEXT}</article><article class='comment'>{TALK}</article>",
+        f"<article>{TEXT}<article class='comment'>{TALK}</article></article>",
+        f"<main><h1>Title</h1>{TEXT}<div class='discussion'>{TALK}</div></main>",
+        f"<main>{TEXT}<section><h2>12 Comments</h2>{TALK}</section></main>",
+        f"<div id='story'>{TEXT}<h3>Leave a reply</h3>{TALK}</div>",
+        f"<div class='entry'>{TEXT}</div><div class='below'>{SIGNED}</div>",
+        f"<div class='page-content'>{TEXT}</div><ol class='commentlist'>{TALK.replace('div', 'li')}</ol>",
+        f"<article>{TEXT}</article><div class='sidebar'>{TALK}</div>",
+        f"<div class='post'><h1>Title</h1>{TEXT}</div><div class='sidebar'>{TALK}</div>",
+    ],
+)
+def test_comments_go_however_long(page):
+    made = main_text(f"<html><body><nav><a href='/'>Home</a></nav>{page}<footer>&copy;</footer></body></html>")
+    assert "Remark" not in made and made.count("Part") == 3
+
+
+def test_what_only_looks_like_comments_stays():
+    code = "<pre><code><span class='comment'># a note</span> x = 1</code></pre>"
+    assert "# a note" in main_text(f"<article>{TEXT}{code}</article>")
+    assert main_text(f"<div class='comments-open'><article>{TEXT}</article></div>").count("Part") == 3
+    news = "".join(f"<section><h2>News {i}</h2><span class='author'>N. N.</span> <time>today</time>{TEXT}</section>" for i in range(3))
+    assert main_text(f"<main>{news}</main>").count("Part") == 9
+    assert main_text(f"<main><section><h2>Comments on a text by Homer</h2>{TEXT}</section></main>").count("Part") == 3
+
+
 def test_extract_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>a"), (2, "u", "")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
     same_rows(extract(df), [(1, None, "", 0), (1, None, "", 0), (None, "u", "a", 1), (2, "u", "", 0)])
