@@ -221,7 +221,9 @@ def local_surrogate(
     own = sqltext.array(
         f"(coalesce({c}, {sqltext.double(blank[j])}) - {sqltext.double(mean[j])}) / {sqltext.double(std[j])}" for j, c in enumerate(quoted)
     )
-    drawn = as_doubles(cases, columns).repartition(key).selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
+    # Each case turns into many samples: the number of tasks is given, as cases alone would look small.
+    spread = as_doubles(cases, columns).repartition(cases.sparkSession.sparkContext.defaultParallelism, key)
+    drawn = spread.selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
     draws = sqltext.array(gaussian_sql(seed, id_, "_i", f"'{c}'") for c in columns)
     drawn = drawn.selectExpr(id_, "_own", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")
     points = drawn.selectExpr(

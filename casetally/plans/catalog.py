@@ -672,7 +672,7 @@ def explained(spark: SparkSession, sf: str) -> tuple[dict[str, models.FittedMode
 
     def make() -> tuple:
         people, indicators = fx.applicants(spark, sf)
-        people, columns = tables.kept(people), [*FEATURE_NAMES, *indicators]
+        people, columns = tables.kept(fx.spread(people)), [*FEATURE_NAMES, *indicators]
         return known_models(people, columns), people, columns
 
     return fx.derived(spark, sf, "models", make)
