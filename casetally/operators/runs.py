@@ -16,8 +16,11 @@ from casetally.operators.validate import PARSERS
 from casetally.schema import TableMetadata
 from casetally.sources import runlog
 
-# Given once per task, returns generate(user_prompt, seed, system_prompt, max_new_tokens) -> str.
+# Given once per task, returns generate(user_prompt, seed, system_prompt, max_new_tokens) -> str. What it returns may
+# have a method ``many`` instead, which takes lists of prompts and seeds and returns a list: one call a batch.
 GeneratorFactory = Callable[[], Callable[[str, int, str, int], str]]
+# Adds the parsed fields to a table of responses: parser(df, raw, row_columns=..) -> df, as those of validate.PARSERS.
+Parser = Callable[..., DataFrame]
 
 
 def plan_runs(cases: DataFrame, pipelines: Sequence[str], n_repeats: int, key: str = "case_id") -> DataFrame:
@@ -56,6 +59,12 @@ def generate(
         call = factory()
         for batch in batches:
             texts, seconds = [], []
+            if hasattr(call, "many"):
+                start = time.perf_counter()
+                texts = call.many(list(batch[prompt]), [int(s) for s in batch["seed"]], system_prompt, max_new_tokens)
+                each = (time.perf_counter() - start) / max(len(texts), 1)
+                yield batch[columns].assign(raw_response=texts, elapsed_seconds=each)
+                continue
             for text, seed in zip(batch[prompt], batch["seed"]):
                 start = time.perf_counter()
                 texts.append(call(text, int(seed), system_prompt, max_new_tokens))
@@ -78,8 +87,9 @@ def responses_for(
     profile: str | Callable[..., Column] = "standard",
     examples: Sequence[dict] = (),
     tasks: int | None = None,
+    parser: Parser | None = None,
 ) -> DataFrame:
-    """Render, generate and validate the open runs of one pipeline.
+    """Render, generate and validate the open runs of one pipeline, with its own parser or another one.
 
     Rendering and validation are columns around the one Python step, and no
     shuffle follows it: a lost task repeats its own rows only.
@@ -91,7 +101,7 @@ def responses_for(
     # Generation costs far more than moving a prompt; spread it evenly.
     requests = requests.repartition(*([tasks] if tasks else []), "case_id", "seed")
     answered = generate(requests, factory, system_prompt, max_new_tokens)
-    parsed = PARSERS[pipeline](answered, "raw_response", row_columns=metadata.features)
+    parsed = (parser or PARSERS[pipeline])(answered, "raw_response", row_columns=metadata.features)
     return parsed.withColumn("pipeline", F.lit(pipeline)).withColumnRenamed(metadata.target, "true_label").drop(*metadata.features)
 
 

@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ def digits(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
 
 
 def cases_of(spark: SparkSession, sf: str) -> DataFrame:
-    return votes.case_summary(fx.runs(spark, sf))
+    """One row per pipeline and case: the log is reduced once a session, all reports read the summary."""
+    return fx.derived(spark, sf, "cases", lambda: (tables.kept(votes.case_summary(fx.runs(spark, sf)), "cases"),))[0]
 
 
 # ---------------------------------------------------------------- runs
@@ -607,6 +609,92 @@ def stub_factory():
     return call
 
 
+class BatchedStub:
+    """The same stand-in for whole batches, with an answer in free text."""
+
+    def many(self, prompts: list[str], seeds: list[int], system_prompt: str, max_new_tokens: int) -> list[str]:
+        made = []
+        for prompt, seed in zip(prompts, seeds, strict=True):
+            digest = hashlib.md5(f"{prompt}|{seed}".encode()).hexdigest()
+            label, confidence = "Bad" if int(digest[0], 16) < 8 else "Good", 50 + int(digest[1:3], 16) % 50
+            made.append(f"Classification: {label}\nConfidence: {confidence}\nExplanation: seen over 24 months")
+        return made
+
+
+def open_stock_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, TableMetadata]:
+    people, indicators = fx.applicants(spark, sf)
+    return runs.remaining(runs.plan_runs(people, ["stock"], 2), fx.runs(spark, sf)), metadata_of(indicators)
+
+
+@query
+def stock_generate(spark, sf):
+    """Two free-text runs for every applicant on the reworded profile, less those the log has, generated by the batch."""
+    open_runs, metadata = open_stock_runs(spark, sf)
+    answered = runs.responses_for(open_runs, metadata, "stock", BatchedStub, profile="reworded")
+    return answered.select("pipeline", "case_id", "seed", "true_label", "label", "confidence", "explanation", "parse_success")
+
+
+def label_parser(df: DataFrame, raw: str = "raw_response", **_) -> DataFrame:
+    """A parser of one's own, over Arrow batches: the first word of the answer, and how many numbers it states."""
+
+    @F.pandas_udf("label string, n_numbers long, parse_success boolean")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        label = texts.str.extract(r"Classification: (\w+)", expand=False)
+        return pd.DataFrame({"label": label, "n_numbers": texts.str.count(r"\d+"), "parse_success": label.notna()})
+
+    return df.withColumn("_own", parse(raw)).select(*df.columns, "_own.*")
+
+
+@query
+def custom_parser(spark, sf):
+    """The same runs on the plain profile, read by a parser that is handed in."""
+    open_runs, metadata = open_stock_runs(spark, sf)
+    answered = runs.responses_for(open_runs, metadata, "stock", BatchedStub, parser=label_parser)
+    return answered.select("pipeline", "case_id", "seed", "true_label", "label", "n_numbers", "parse_success")
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query
+def csv_lines(spark, sf):
+    """Customers as lines of CSV, some of them broken, parsed again."""
+    key = F.col("c_custkey")
+    money = F.when(key % 10 == 3, F.lit("none")).otherwise(F.format_string("%.2f", "c_acctbal"))
+    whole = F.concat_ws(",", key, F.col("c_name"), "c_nationkey", money, F.col("c_mktsegment"))
+    lines = fx.table(spark, sf, "customer").select(F.when(key % 10 == 7, F.concat_ws(",", key, F.col("c_name"))).otherwise(whole).alias("line"))
+    rows = tables.parse_lines(lines, "line", "custkey long, name string, nation int, balance double, segment string")
+    return rows.withColumn("broken", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+
+
+@query
+def json_lines(spark, sf):
+    """Events as lines of JSON, some of them cut off, parsed again; those that can't be read are counted by type."""
+    whole = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    line = F.when(F.col("event_id") % 9 == 4, F.substring(whole, 1, 25)).otherwise(whole)
+    lines = fx.table(spark, sf, "events").select(F.col("event_type").alias("kind"), line.alias("line"))
+    rows = tables.parse_lines(lines, "line", "event_id long, user_id long, event_type string, value double", "json")
+    return rows.groupBy("kind").agg(
+        F.count("*").alias("n_lines"), F.count("_corrupt_record").alias("n_broken"), F.count_if(F.col("event_type") == F.col("kind")).alias("n_read"),
+        F.sum(F.when(F.col("_corrupt_record").isNull(), F.col("event_id"))).alias("sum_of_keys"),
+    )
+
+
+@query
+def top_feature_lines(spark, sf):
+    """Top features written as a document a line and read back."""
+    tops = fx.reference_tops(spark, sf)
+    per_method = tops.groupBy("case_id", "method").agg(F.map_from_entries(F.collect_list(F.struct("model", "top_features"))).alias("models"))
+    docs = per_method.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "models"))).alias("top"))
+    folder = f"{shared_folder(spark)}/top-lines-{uuid.uuid4().hex}"
+    docs.select(F.to_json(F.struct(F.col("case_id").cast("string").alias("case_id"), "top")).alias("value")).write.text(folder)
+    rows = tables.explode_top_features(spark.read.text(folder))
+    return rows.select("method", "model", "case_id", F.array_join("top_features", ",").alias("top_features"))
+
+
+# ---------------------------------------------------------------- more generation
+
+
 @query
 def batch_generate(spark, sf):
     """Two runs for every applicant, less those the log has already."""

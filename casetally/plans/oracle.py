@@ -719,4 +719,21 @@ FROM (SELECT p.case_id, CAST(s.seed AS INTEGER) AS seed, a.{TARGET}, md5({_promp
   FROM profiles p JOIN applicants a USING (case_id), range(2) s(seed)) g
 ANTI JOIN (SELECT case_id, seed FROM runs WHERE pipeline = 'structured') d USING (case_id, seed)"""
 
+_OPEN_STOCK = "ANTI JOIN (SELECT case_id, seed FROM runs WHERE pipeline = 'stock') d USING (case_id, seed)"
+SQL["stock_generate"] = f"""SELECT 'stock' AS pipeline, case_id, seed, {TARGET} AS true_label, CASE WHEN substr(h, 1, 1) < '8' THEN 'Bad' ELSE 'Good' END AS label,
+  CAST(50 + ('0x' || substr(h, 2, 2))::BIGINT % 50 AS DOUBLE) AS confidence, 'seen over 24 months' AS explanation, true AS parse_success
+FROM (SELECT p.case_id, CAST(s.seed AS INTEGER) AS seed, a.{TARGET}, md5({_prompt(STOCK_USER)} || '|' || s.seed) AS h
+  FROM ({SQL['reworded_profile']}) p JOIN applicants a USING (case_id), range(2) s(seed)) g {_OPEN_STOCK}"""
+SQL["custom_parser"] = f"""SELECT 'stock' AS pipeline, case_id, seed, {TARGET} AS true_label, CASE WHEN substr(h, 1, 1) < '8' THEN 'Bad' ELSE 'Good' END AS label,
+  2::BIGINT AS n_numbers, true AS parse_success
+FROM (SELECT p.case_id, CAST(s.seed AS INTEGER) AS seed, a.{TARGET}, md5({_prompt(STOCK_USER)} || '|' || s.seed) AS h
+  FROM profiles p JOIN applicants a USING (case_id), range(2) s(seed)) g {_OPEN_STOCK}"""
+
+SQL["csv_lines"] = """SELECT c_custkey AS custkey, c_name AS name, CASE WHEN NOT cut THEN c_nationkey END AS nation,
+  CASE WHEN NOT cut AND c_custkey % 10 <> 3 THEN c_acctbal END AS balance, CASE WHEN NOT cut THEN c_mktsegment END AS segment, cut OR c_custkey % 10 = 3 AS broken
+FROM (SELECT *, c_custkey % 10 = 7 AS cut FROM customer)"""
+SQL["json_lines"] = """SELECT event_type AS kind, count(*) AS n_lines, count(*) FILTER (WHERE event_id % 9 = 4) AS n_broken, count(*) FILTER (WHERE event_id % 9 <> 4) AS n_read,
+  CAST(sum(event_id) FILTER (WHERE event_id % 9 <> 4) AS BIGINT) AS sum_of_keys FROM events GROUP BY event_type"""
+SQL["top_feature_lines"] = "SELECT method, model, CAST(case_id AS VARCHAR) AS case_id, array_to_string(top, ',') AS top_features FROM tops"
+
 ORACLE = {name: with_tables(body) for name, body in SQL.items()}

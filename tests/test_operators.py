@@ -468,3 +468,32 @@ def test_crowded_scores_are_spread_and_ranked_exactly(spark):
     assert totals.cum_n == sum(1 for i in range(500_000, 1_000_000) if i % 3 == 0) and totals.all_n == 333_334
     signed = spark.createDataFrame([(-3.00001,), (-3.0,), (-0.0,), (0.1,), (0.1000001,), (2.0,)], "s double").selectExpr("s", "1 AS n")
     assert [r.cum_n for r in ordering.running_totals(signed, [], "s", ["n"]).orderBy("s").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_summary_and_preparation_evaluate_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, ["a", "b"][i % 2], i % 3 % 2, i % 5 % 2, i % 7 / 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "case_id long, system string, true_label int, pred int, score double")
+    watched = df.mapInArrow(watch, df.schema)
+    assert metrics.summary(watched, ["system"]).count() == 2 and seen.value == 200
+    raw = spark.createDataFrame([(i, float(i % 9 - 8), 5.0, "Bad" if i % 2 else "Good") for i in range(100)], f"case_id long, x double, y double, {TARGET} string")
+    table, features, indicators = prepare.prepare(raw.mapInArrow(watch, raw.schema), keys=["case_id"])
+    assert table.count() == 100 and seen.value == 300
+    assert features == ["x", "y"] and len(indicators) == 2
+
+
+def test_generators_may_take_whole_batches(spark):
+    class Many:
+        def many(self, prompts, seeds, system_prompt, max_new_tokens):
+            return [f"{system_prompt} {p} {s} {max_new_tokens}" for p, s in zip(prompts, seeds, strict=True)]
+
+    requests = spark.createDataFrame([(f"c{i}", i, f"p{i}") for i in range(5)], "case_id string, seed int, user_prompt string")
+    got = {r.case_id: r for r in runs.generate(requests, Many, "sys", 9).collect()}
+    assert {c: r.raw_response for c, r in got.items()} == {f"c{i}": f"sys p{i} {i} 9" for i in range(5)}
+    assert all(r.elapsed_seconds >= 0 for r in got.values())

@@ -1,15 +1,16 @@
 """Readers, writers, resuming runs and incremental validation."""
 
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from casetally.operators import runs, validate
+from casetally.operators import prepare, runs, validate
 from casetally.plans.catalog import stub_factory
 from casetally.schema import FEATURE_NAMES, RESPONSE_LOG, TARGET, TableMetadata
 from casetally.sources import runlog, tables
-from casetally.streaming.validate import validate_stream
+from casetally.streaming.validate import validate_stream, write_batch
 
 
 def test_csv(spark, tmp_path):
@@ -131,3 +132,50 @@ def test_stream_validation_appends_each_key_once(spark, tmp_path):
         query.stop()
         got = spark.read.parquet(log)
         assert got.count() == 4 and got.where("parse_success").count() == 4
+
+
+def test_stream_with_event_time_remembers_keys_and_not_the_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runlog, "read_log", lambda *args: pytest.fail("the log is not read"))
+    text = json.dumps({"label": "Bad", "confidence": 80, "explanation": "It is 5."})
+    schema = "case_id string, pipeline string, seed int, raw_response string, v double, at timestamp"
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for turn in range(3):
+        rows = [(f"c{i % 4 + 2 * turn}", "structured", i % 2, text, 5.0, datetime.datetime(2026, 1, 1, 0, turn)) for i in range(8)]
+        spark.createDataFrame(rows, schema).write.mode("append").json(source)
+        stream = spark.readStream.schema(schema).json(source)
+        query = validate_stream(stream, "structured", log, str(tmp_path / "state"), ["v"], event_time="at")
+        query.awaitTermination(60)
+        query.stop()
+    got = spark.read.parquet(log)
+    keys = [(r.case_id, r.seed) for r in got.select("case_id", "seed").collect()]
+    assert len(keys) == len(set(keys)) == 8 and got.where("parse_success").count() == 8
+    # A batch that runs again replaces its own folder.
+    first = got.where("batch = 0")
+    before = first.count()
+    write_batch(log)(spark.createDataFrame(first.drop("batch").collect(), first.drop("batch").schema), 0)
+    assert spark.read.parquet(log).count() == 8 and spark.read.parquet(log).where("batch = 0").count() == before
+
+
+def test_broken_lines_keep_what_could_be_read(spark):
+    lines = spark.createDataFrame([(1, "5,x,1.5"), (2, "6,y,none"), (3, "7"), (4, None), (5, '8,"a,b",2')], "k int, line string")
+    got = {r.k: r for r in tables.parse_lines(lines, "line", "a long, b string, c double").collect()}
+    assert [(got[k].a, got[k].b, got[k].c) for k in (1, 2, 3, 5)] == [(5, "x", 1.5), (6, "y", None), (7, None, None), (8, "a,b", 2.0)]
+    assert [got[k]._corrupt_record for k in (1, 2, 3, 5)] == [None, "6,y,none", "7", None] and got[4].a is None
+    bad = tables.parse_lines(spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "b',)], "line string"), "line", "a long", "json").collect()
+    assert [(r.a, r._corrupt_record is None) for r in bad] == [(1, True), (None, False)]
+
+
+def test_top_features_by_the_line(spark):
+    lines = spark.createDataFrame([('{"case_id": "c1", "top": {"shap": {"m": ["a", "b"], "n": []}, "lime": {"m": ["b"]}}}',), ("{",), (None,)], "value string")
+    got = {(r.method, r.model, r.case_id): r.top_features for r in tables.explode_top_features(lines).collect()}
+    assert got == {("shap", "m", "c1"): ["a", "b"], ("shap", "n", "c1"): [], ("lime", "m", "c1"): ["b"]}
+
+
+def test_metadata_is_counted_in_what_was_written(spark, tmp_path):
+    rows = [(i, ["train", "train", "val"][i % 3], i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, f"case_id long, split string, {TARGET} int")
+    made = tables.write_prepared(df, str(tmp_path / "t"), str(tmp_path / "m"), ["a"], [])
+    splits, read = tables.load_processed(spark, str(tmp_path / "t"), str(tmp_path / "m"))
+    assert read == made == prepare.build_metadata(df, ["a"], [])
+    assert made.split_sizes == {"train": 8, "val": 4} and made.class_balance == {"train": {"0": 0.5, "1": 0.5}, "val": {"0": 0.5, "1": 0.5}}
+    assert splits["val"].count() == 4
