@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import fresh, tidy, written
 
 THRESHOLD, OVERLAP, ANSWER_OVERLAP, SHINGLE = 0.5, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
@@ -56,11 +56,16 @@ def shingles(words: list[str], k: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def _order(row: tuple[float, float, float]) -> tuple:
+    score, overlap, answer = row
+    return overlap >= OVERLAP and answer >= ANSWER_OVERLAP, overlap, answer, score
+
+
 class Index:
     """Inverted index of items (id, text), with document frequencies of all items, in blocks by length."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean_words: float):
-        made = sorted(((len(words_of(t)), i, t) for i, t in items if words_of(t)), key=lambda x: x[:2])
+        made = sorted(((len(words_of(t)), i, t) for i, t in items if words_of(t)), key=lambda x: (x[0], x[1] is None, x[1] or 0))
         self.ids = [i for _, i, _ in made]
         self.terms: dict[str, int] = {}
         self.whole, self.answer = [], []
@@ -142,7 +147,10 @@ class Index:
         return made
 
     def search(self, text: str | None, threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float]]:
-        """Items retrieved from the whole text: id -> (score, overlap, answer overlap), the best passage of each."""
+        """Items retrieved from the whole text: place in the index -> (score, overlap, answer overlap).
+
+        Of the passages of an item one that is a leak comes first, then the one with the largest overlaps.
+        """
         words = words_of(text)
         if not words or not self.ids:
             return {}
@@ -160,41 +168,44 @@ class Index:
                 passage = have if len(next(iter(whole))) == SHINGLE else shingles(words[span], len(next(iter(whole))))
                 tail = passage if len(next(iter(answer))) == len(next(iter(whole))) else shingles(words[span], len(next(iter(answer))))
                 row = (float(score[at]), len(whole & passage) / len(whole), len(answer & tail) / len(answer))
-                key = self.ids[at_all]
-                if key not in found or (row[1], row[2], row[0]) > (found[key][1], found[key][2], found[key][0]):
-                    found[key] = row
+                if at_all not in found or _order(row) > _order(found[at_all]):
+                    found[at_all] = row
         return found
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", chars: int = INDEX_CHARS) -> list[Index]:
-    """Indexes that together hold all items, none with more than about ``chars`` characters of text.
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """Indexes that together hold all items, one at a time, none with more than ``chars`` characters of text (one longer item is an index).
 
     Frequencies are counted over all items, so that an item scores alike however the items are divided.
-    Items that are null or have no words are left out. Repeated items are each an entry.
+    Items that are null or have no words are left out. Repeated items, and items that share an id or have
+    none, are each an entry. The driver holds the items of one index.
     """
     rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    rows = rows.withColumn("terms", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).where("size(terms) > 0")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    rows = written(rows.withColumn("terms", words).where("size(terms) > 0"), "items")
     total, n_words, size = rows.agg(F.count("*"), F.sum(F.size("terms")), F.sum(F.length("text"))).first()
-    if not total:
-        return []
-    parts = -(-size // chars)
-    made = []
-    for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).select("id", "text")
-        bounded = [(r[0], r[1]) for r in own.collect()]
-        mine = {w for _, t in bounded for w in words_of(t)}
-        if parts == 1:
-            df: dict[str, int] = {}
-            for _, t in bounded:
-                for w in set(words_of(t)):
-                    df[w] = df.get(w, 0) + 1
-        else:
-            terms = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w")).distinct()
-            counts = rows.select(F.explode(F.array_distinct("terms")).alias("w")).join(terms, "w", "left_semi").groupBy("w").count()
-            df = {r[0]: r[1] for r in counts.collect()}
-            df.update({w: 1 for w in mine - df.keys()})
-        made.append(Index(bounded, df, total, n_words / total))
-    return made
+    counts = rows.select(F.explode(F.array_distinct("terms")).alias("w")).groupBy("w").count()
+
+    def made(block: list[tuple[int | None, str]]) -> Index:
+        df: dict[str, int] = {}
+        for _, t in block:
+            for w in set(words_of(t)):
+                df[w] = df.get(w, 0) + 1
+        if len(block) < total:
+            own = rows.sparkSession.createDataFrame([(w,) for w in df], "w string")
+            df.update({r[0]: r[1] for r in counts.join(own, "w").collect() if r[0] in df})
+        return Index(block, df, total, n_words / total)
+
+    block: list[tuple[int | None, str]] = []
+    held = 0
+    for r in rows.select("id", "text").toLocalIterator():
+        if block and held + len(r["text"]) > chars:
+            yield made(block)
+            block, held = [], 0
+        block.append((r["id"], r["text"]))
+        held += len(r["text"])
+    if block:
+        yield made(block)
 
 
 HITS = T.ArrayType(
@@ -216,7 +227,7 @@ def with_hits(docs: DataFrame, index: Index, text: str = "text", name: str = "hi
         schema = to_arrow_schema(out)
         for batch in batches:
             made = [
-                [{"item_id": k, "score": s, "overlap": o, "answer_overlap": a} for k, (s, o, a) in sorted(sent.value.search(t.as_py(), threshold).items(), key=lambda e: (e[0] is None, e[0] or 0))]
+                [{"item_id": sent.value.ids[k], "score": s, "overlap": o, "answer_overlap": a} for k, (s, o, a) in sorted(sent.value.search(t.as_py(), threshold).items())]
                 for t in batch.column(0)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, schema.field("hits").type)], schema=schema)
@@ -232,10 +243,12 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """(doc_id, contaminated, n_items, item_ids, n_retrieved, best_overlap) for each row of ``docs``.
 
     Null and empty texts hold no item. Repeated rows give repeated rows. Without items no row is contaminated.
+    Items that share an id, or have none, are told apart: each that is held counts, and its id is listed.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("all_hits", F.array().cast(HITS))
-    for index in indexes(items):
+    for i, index in enumerate(indexes(items)):
+        rows = written(rows, "hits") if i else rows  # one index is sent at a time
         rows = with_hits(rows, index, threshold=threshold).withColumn("all_hits", F.concat("all_hits", "hits")).drop("hits")
     leaks = rows.withColumn("leaks", _leaks("all_hits"))
     return leaks.select(
@@ -249,8 +262,12 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that hold no test item, with the columns of ``docs``."""
-    columns = docs.columns
-    for index in indexes(items):
-        docs = with_hits(docs, index, text, name="_hits").where(F.size(_leaks("_hits")) == 0).select(*columns)
+    """The rows that hold no test item, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts stay, repeated rows stay as often as they are there, and without items all rows stay.
+    """
+    columns, name = docs.columns, fresh(docs, "hits")
+    for i, index in enumerate(indexes(items)):
+        docs = written(docs, "clean") if i else docs
+        docs = with_hits(docs, index, text, name=name).where(F.size(_leaks(name)) == 0).select(*columns)
     return docs

@@ -154,7 +154,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     )
     names = [f"c{i}" for i in range(len(docs.columns))]  # apart from all other names
-    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*names), *[c for c, t in zip(names, docs.dtypes) if t[1] in ("string", "bigint")]))
     joined = docs.toDF(*names).join(per_key, F.col(f"c{docs.columns.index(key)}").cast("long").eqNullSafe(F.col("_key")))
     times = F.floor(F.col("_copies") / F.col("_n")) + F.when(number <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
     repeated = joined.withColumn("_times", times.cast("int")).where("_times > 0")

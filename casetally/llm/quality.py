@@ -157,7 +157,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, f
 
 
 def train(docs: DataFrame, posterior: dict[str, float], rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> tuple[bytes, float]:
-    """Weights, as single-precision numbers, and bias. The sample is the ``rows`` keys with the least hash."""
+    """Weights, as single-precision numbers, and bias. The sample is the ``rows`` keys with the least hash, and ``rows`` of their rows."""
     keys = docs.select(F.col(key).cast("long").alias("_k")).where("_k is not null").distinct()
     keys = keys.withColumn("_h", F.xxhash64("_k", F.lit("quality"))).orderBy("_h", "_k").limit(rows)
     found = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("text")).join(F.broadcast(keys), "_k")
@@ -180,7 +180,9 @@ def train(docs: DataFrame, posterior: dict[str, float], rows: int = TRAIN_ROWS,
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
     x = found.mapInArrow(hashed, "h long, y double, at array<long>, value array<double>")
-    row = x.repartition(1).sortWithinPartitions("h").mapInArrow(learn, "w binary, bias double").first()
+    # A key may be on any number of rows; each task passes on ``rows`` of them at most.
+    bounded = x.withColumn("own", F.xxhash64("h", "at", "value")).orderBy("own").limit(rows)
+    row = bounded.repartition(1).sortWithinPartitions("h", "own").drop("own").mapInArrow(learn, "w binary, bias double").first()
     return (bytes(row[0]), row[1]) if row else (bytes(4 * DIMS), 0.0)
 
 

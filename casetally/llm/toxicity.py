@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import fresh, tidy
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 16_000
@@ -106,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     """Nonzero weights as (coordinate, weight); coordinate DIMS is the bias.
 
     ``labels`` has (key, toxic). Of the keys whose crc32, as text, is not 2 modulo 4, the ``rows`` with the
-    least hash are the sample; it is joined by broadcast, as ``rows`` bounds it. If a key has several labels,
+    least hash are the sample; it is joined by broadcast, as ``rows`` bounds it. Of their rows in ``docs``, too,
+    only ``rows`` are learned from, those with the least hash of key and text. If a key has several labels,
     the largest counts. Without a labelled row all weights are zero.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
         for batch in batches:
             made = [np.unique(features(t.as_py())).astype(np.int32) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.int32()))], names=["order", "toxic", "x"]
+                [batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.int32())), batch.column(3)], names=["order", "toxic", "x", "own"]
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
             [pa.array(np.append(at, DIMS)), pa.array(np.append(w[at], b))], names=["coordinate", "weight"]
         )
 
-    x = found.select("_text", "_order", "_toxic").mapInArrow(tidy(hashed), "order long, toxic int, x array<int>")
-    made = x.repartition(1).sortWithinPartitions("order").mapInArrow(tidy(learn), "coordinate long, weight double")
+    x = found.select("_text", "_order", "_toxic", F.xxhash64("_key", "_text").alias("_own")).mapInArrow(tidy(hashed), "order long, toxic int, x array<int>, own long")
+    # A key may be on any number of rows; each task passes on ``rows`` of them at most.
+    bounded = x.orderBy("own", "order").limit(rows).select("order", "toxic", "x", "own")
+    made = bounded.repartition(1).sortWithinPartitions("order", "own").mapInArrow(tidy(learn), "coordinate long, weight double")
     return [tuple(r) for r in made.collect()]
 
 
@@ -190,5 +193,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is below the threshold, with the columns of ``docs``."""
-    return with_score(docs, train(docs, labels), name="_score").where(F.col("_score") < threshold).select(*docs.columns)
+    """The rows whose score is below the threshold, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have the score of the bias. Repeated rows stay or go together. Without labels all rows stay.
+    """
+    name = fresh(docs, "score")
+    return with_score(docs, train(docs, labels), name=name).where(F.col(name) < threshold).select(*docs.columns)

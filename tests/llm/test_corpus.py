@@ -197,7 +197,7 @@ def test_retrieval_finds_all_above_the_threshold():
                     score = sum(v for w, v in impact.items() if w in have) / sum(impact.values())
                     if score >= 0.5:
                         want[index.ids[at]] = True
-        assert set(index.search(text)) == set(want)
+        assert {index.ids[at] for at in index.search(text)} == set(want)
 
 
 @pytest.mark.parametrize("chars", [10**9, 300])
@@ -217,6 +217,44 @@ def test_contamination(spark, documents, chars, monkeypatch):
     assert decontaminate.contamination(documents(rows).where("false"), table).count() == 0
 
 
+def test_items_that_share_an_id_and_passages_with_other_answers(spark, documents):
+    question, answer = " ".join(f"q{i}" for i in range(24)), " ".join(f"a{i}" for i in range(8))
+    whole = f"{question}. {answer}."
+    # More of the question with another answer, then less of it with the answer whole.
+    altered = f"{question}. " + " ".join(f"z{i}" for i in range(3)) + " a3 a4 a5 a6 a7"
+    leak = " ".join(question.split()[2:]) + f". {answer}."
+    other = f"{prose(20)}. {prose(9)}."
+    items = spark.createDataFrame([(1, whole), (1, other), (None, other), (2, whole)], "item_id long, text string")
+    far = " ".join(f"f{i}" for i in range(150))
+    made = {r["doc_id"]: r for r in decontaminate.contamination(documents([(1, f"{altered} {far} {leak}"), (2, other), (3, far)]), items).collect()}
+    assert made[1]["contaminated"] and made[1]["n_items"] == 2 and made[1]["item_ids"] == [1, 2]
+    assert made[2]["n_items"] == 2 and made[2]["item_ids"] == [1, None] and not made[3]["contaminated"]
+
+
+def test_stages_stand_any_column_names(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = documents([(i, "vile foulword here" if i % 2 else "mild word here") for i in range(60)]).selectExpr(
+        "*", "1 as score", "2 as _score", "3 as score_", "4 as hits", "5 as _hits", "6 as t", "7 as c0"
+    )
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.where("doc_id % 2 = 0").count() == 30
+    items = spark.createDataFrame([(1, "nothing of this. is there.")], "item_id long, text string")
+    assert decontaminate.without_leaks(docs, items).exceptAll(docs).count() == 0
+
+
+def test_a_key_on_a_third_of_the_rows_does_not_fill_the_learner(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = [(i, f"vile foulword {i}" if i % 2 else f"mild word {i}") for i in range(200)] + [(1, f"vile foulword {i}") for i in range(300)]
+    made = toxicity.with_score(documents(rows), toxicity.train(documents(rows), labels, rows=150))
+    assert made.where("doc_id % 2 = 1").agg({"score": "min"}).first()[0] > made.where("doc_id % 2 = 0").agg({"score": "max"}).first()[0]
+
+
+def test_the_mix_takes_the_same_rows_of_a_key(documents):
+    rows = [(1, f"text {i} " + "w " * i, "a") for i in range(9)] + [(2, "x " * 400, "b")]
+    first, second = (sorted(tuple(r) for r in mixing.mixed(documents(rows).repartition(n)).collect()) for n in (1, 5))
+    assert first == second
+
+
 # 5: main text of pages
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body>
