@@ -147,10 +147,8 @@ def completeness(cases: DataFrame, planned: DataFrame, by: Sequence[str] = ("pip
     )
 
 
-def run_timing(log: DataFrame, n_cases: int, n_repeats: int, by: Sequence[str] = ("pipeline",)) -> DataFrame:
-    """Mean seconds per response and projected hours for a plan."""
-    return (
-        log.groupBy(*by)
-        .agg(F.avg("elapsed_seconds").alias("mean_seconds"))
-        .withColumn("projected_hours", F.col("mean_seconds") * (n_cases * n_repeats) / 3600.0)
-    )
+def run_timing(log: DataFrame, planned: DataFrame, by: Sequence[str] = ("pipeline",)) -> DataFrame:
+    """Mean seconds per response and projected hours for all planned runs."""
+    plan = planned.groupBy(*by).agg(F.count("*").alias("n_planned"))
+    means = log.groupBy(*by).agg(F.avg("elapsed_seconds").alias("mean_seconds"))
+    return means.join(plan, list(by)).withColumn("projected_hours", F.col("mean_seconds") * F.col("n_planned") / 3600.0)

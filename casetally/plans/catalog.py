@@ -136,7 +136,7 @@ def prob_bad_per_case(spark, sf):
 
 @query
 def run_timing(spark, sf):
-    return digits(votes.run_timing(fx.runs(spark, sf), 100, 5), "mean_seconds", "projected_hours")
+    return digits(votes.run_timing(fx.interrupted_runs(spark, sf), fx.planned_runs(spark, sf)), "mean_seconds", "projected_hours")
 
 
 @query
@@ -146,6 +146,13 @@ def votes_without_label(spark, sf):
     return votes.case_summary(log).select("pipeline", "case_id", "n_parsed", "n_unlabelled", "n_good", "n_bad", "vote")
 
 
+@query
+def run_report(spark, sf):
+    """All figures of the analysis of a log in one table."""
+    report = reports.run_analysis(fx.runs(spark, sf), cases=cases_of(spark, sf))
+    return reports.as_facts({name: table for name, table in report.items() if name != "false_negatives"})
+
+
 @query
 def uniform_answers(spark, sf):
     return reports.run_analysis(fx.runs(spark, sf), None)["uniform_answers"]

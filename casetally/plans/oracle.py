@@ -490,8 +490,8 @@ round(avg(CAST(parse_success AS INTEGER)), 6) AS rate_parse_success FROM runs GR
 SQL["prob_bad_per_case"] = """SELECT pipeline, case_id, true_label, round(mean_confidence, 6) AS mean_confidence, round(prob_bad, 6) AS prob_bad
 FROM cases WHERE n_parsed > 0"""
 
-SQL["run_timing"] = """SELECT pipeline, round(avg(elapsed_seconds), 6) AS mean_seconds, round(avg(elapsed_seconds) * 500 / 3600, 6) AS projected_hours
-FROM runs GROUP BY pipeline"""
+SQL["run_timing"] = """SELECT pipeline, round(mean, 6) AS mean_seconds, n_planned, round(mean * n_planned / 3600.0, 6) AS projected_hours FROM (
+  SELECT pipeline, avg(elapsed_seconds) FILTER (WHERE (case_id + seed) % 7 <> 0) AS mean, count(*) AS n_planned FROM runs GROUP BY pipeline)"""
 
 SQL["false_negative_examples"] = """SELECT pipeline, case_id, raw_response FROM runs SEMI JOIN (
   SELECT pipeline, case_id FROM cases WHERE true_name = 'Bad' AND vote = 'Good' QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY case_id) <= 3) x
@@ -736,4 +736,21 @@ SQL["json_lines"] = """SELECT event_type AS kind, count(*) AS n_lines, count(*)
   CAST(sum(event_id) FILTER (WHERE event_id % 9 <> 4) AS BIGINT) AS sum_of_keys FROM events GROUP BY event_type"""
 SQL["top_feature_lines"] = "SELECT method, model, CAST(case_id AS VARCHAR) AS case_id, array_to_string(top, ',') AS top_features FROM tops"
 
+_REPORT = {
+    "parse_rates": ("parse_rates", ["pipeline"]),
+    "labels": ("label_distribution", ["pipeline", "label"]),
+    "true_labels": ("true_label_distribution", ["pipeline", "true_name"]),
+    "confidence": ("confidence_describe", ["pipeline"]),
+    "consistency": ("consistency_describe", ["pipeline"]),
+    "stability": ("low_consistency_split", ["pipeline"]),
+    "uniform_answers": ("uniform_answers", ["pipeline"]),
+    "confusion": ("confusion_cube", ["pipeline", "true_name", "vote"]),
+    "accuracy": ("majority_vote_accuracy", ["pipeline"]),
+}
+SQL["run_report"] = " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", concat_ws('|', {', '.join(f"coalesce({k}, 'all')" for k in keys)}) AS item, metric, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT {', '.join(keys)}, CAST(COLUMNS(* EXCLUDE ({', '.join(keys)})) AS DOUBLE) FROM ({SQL[query]})) ON COLUMNS(* EXCLUDE ({', '.join(keys)})) INTO NAME metric VALUE value)"""
+    for table, (query, keys) in _REPORT.items()
+)
+
 ORACLE = {name: with_tables(body) for name, body in SQL.items()}

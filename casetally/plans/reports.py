@@ -7,6 +7,7 @@ are aggregates of that.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +24,29 @@ def low_spread(described: DataFrame, below: float = 5.0) -> DataFrame:
     return described.withColumn("low_spread", F.coalesce(F.col("std") < below, F.lit(False)))
 
 
-def run_analysis(log: DataFrame, planned: DataFrame | None = None, by: Sequence[str] = ("pipeline",), n_examples: int = 3) -> dict[str, DataFrame]:
-    """Parse rates, checks, label and confidence distributions, consistency, confusion and accuracy of a log."""
+def as_facts(report: dict[str, DataFrame]) -> DataFrame:
+    """All tables of a report as rows of (table, item, metric, value): texts make the item, figures and flags are metrics.
+
+    Empty figures are left out; an empty text, the margin of a crosstab, reads ``all``.
+    """
+    parts = []
+    for table, df in report.items():
+        texts = [c for c, t in df.dtypes if t == "string"]
+        items = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("all")) for c in texts]).alias("item")
+        rows = [F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in df.columns if c not in texts]
+        parts.append(df.select(F.lit(table).alias("table"), items, F.inline(F.array(*rows))).where("value is not null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_analysis(
+    log: DataFrame, planned: DataFrame | None = None, by: Sequence[str] = ("pipeline",), n_examples: int = 3, cases: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Parse rates, checks, label and confidence distributions, consistency, confusion and accuracy of a log.
+
+    ``cases`` is the log's case summary, where it has been made and kept before.
+    """
     by = list(by)
-    cases = votes.case_summary(log, by)
+    cases = votes.case_summary(log, by) if cases is None else cases
     parsed = log.where("parse_success")
     confidence = low_spread(ordering.describe(parsed, by, "confidence"))
     stability = votes.low_consistency_split(cases, by)

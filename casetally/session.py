@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,6 +36,13 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "16
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed; Spark hands the file on to them."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        spark.addArtifact(shutil.make_archive(f"{folder}/casetally", "zip", os.path.dirname(root), "casetally"), pyfile=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
