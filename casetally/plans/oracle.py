@@ -744,7 +744,7 @@ _REPORT = {
     "consistency": ("consistency_describe", ["pipeline"]),
     "stability": ("low_consistency_split", ["pipeline"]),
     "uniform_answers": ("uniform_answers", ["pipeline"]),
-    "confusion": ("confusion_cube", ["pipeline", "true_name", "vote"]),
+    "confusion": ("confusion_cube", ["pipeline", '"true"', "predicted"]),
     "accuracy": ("majority_vote_accuracy", ["pipeline"]),
 }
 SQL["run_report"] = " UNION ALL ".join(
