@@ -17,6 +17,7 @@ from casetally.operators import trees
 from casetally.operators.models import FittedModel, as_doubles, bad_probability, with_scores
 from casetally.operators.sampling import sample_rows
 from casetally.operators.trees import Ensemble, arrow_matrix
+from casetally.session import task_count
 
 
 def unpivot_weights(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -222,7 +223,7 @@ def local_surrogate(
         f"(coalesce({c}, {sqltext.double(blank[j])}) - {sqltext.double(mean[j])}) / {sqltext.double(std[j])}" for j, c in enumerate(quoted)
     )
     # Each case turns into many samples: the number of tasks is given, as cases alone would look small.
-    spread = as_doubles(cases, columns).repartition(cases.sparkSession.sparkContext.defaultParallelism, key)
+    spread = as_doubles(cases, columns).repartition(task_count(cases.sparkSession), key)
     drawn = spread.selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
     draws = sqltext.array(gaussian_sql(seed, id_, "_i", f"'{c}'") for c in columns)
     drawn = drawn.selectExpr(id_, "_own", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")

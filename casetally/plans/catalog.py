@@ -37,7 +37,7 @@ from casetally.plans import fixtures as fx
 from casetally.plans import reports
 from casetally.schema import FEATURE_NAMES, PERTURBATIONS, RAW_COLUMNS, STATUS_CODES, TARGET, TableMetadata, vocabulary_numbers
 from casetally.session import shared_folder
-from casetally.sources import tables
+from casetally.sources import runlog, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -687,6 +687,37 @@ def json_lines(spark, sf):
     )
 
 
+@query
+def log_batches(spark, sf):
+    """The log appended in batches, one of which repeats keys with other figures; the earliest record of a key counts."""
+    log, folder = fx.runs(spark, sf), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    again = log.where("seed % 3 = 0 AND case_id % 5 = 0").withColumn("confidence", F.lit(-1.0))
+    for batch, part in enumerate([*(log.where(F.col("seed") % 3 == i) for i in range(3)), again]):
+        runlog.append_log(part, f"{folder}/log", batch)
+    first = runlog.first_records(runlog.read_log(spark, f"{folder}/log"))
+    runlog.write_log_copy(first, f"{folder}/settled")
+    settled = runlog.read_log(spark, f"{folder}/settled")
+    return settled.select("pipeline", "case_id", "seed", "label", "confidence", F.col("batch").cast("int").alias("batch"))
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Raw applicants as CSV with a header, written and read back without inferring types."""
+    raw, _ = fx.usable_applicants(spark, sf)
+    path = f"{shared_folder(spark)}/applicants-{uuid.uuid4().hex}"
+    tables.write_csv(raw.select(*FEATURE_NAMES, TARGET), path)
+    return tables.read_csv(spark, path).groupBy(TARGET).agg(F.count("*").alias("n_rows"), *[F.sum(F.floor(f)).alias(f) for f in FEATURE_NAMES])
+
+
+@query
+def results_document(spark, sf):
+    """Metrics of the systems written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    results = digits(metrics.classification(fx.predictions(spark, sf), ["system"]), "accuracy", "precision", "recall", "f1")
+    tables.write_results(results, path)
+    return spark.read.schema(results.schema).json(path)
+
+
 @query
 def top_feature_lines(spark, sf):
     """Top features written as a document a line and read back."""
@@ -734,12 +765,12 @@ def train_score_models(spark, sf):
 def searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """All grid points of the three families in five folds of the train split: the table, a row a point, the columns.
 
-    The scores lie in the shared folder under the name of the tables, so a second query, or a run that broke off,
-    goes on from them.
+    The scores lie in the shared folder under the names of session and tables: a second query, or a run that broke
+    off, goes on from them.
     """
     table, columns = model_table(spark, sf)
     folds = sampling.stratified_folds(table.where("split = 'train'"), k=5)
-    path = f"{shared_folder(spark)}/grid-search-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    path = f"{shared_folder(spark)}/grid-search-{hashlib.sha256(f'{spark.sparkContext.applicationId} {sf}'.encode()).hexdigest()[:16]}"
     return table, models.search_summary(models.grid_scores(folds, columns, path=path)), columns
 
 

@@ -19,6 +19,7 @@ from casetally.operators.attribution import linear_weights
 from casetally.operators.prepare import encode_sentinels, encode_target, usable_rows
 from casetally.operators.trees import Ensemble, ensemble_of
 from casetally.schema import FEATURE_NAMES, FEATURES, TARGET
+from casetally.session import task_count
 from casetally.sources.kept import kept
 
 MODELS = ["logreg", "rf", "boosted"]
@@ -164,8 +165,8 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over as many files as the session has cores, so that what reads them runs in as many tasks."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """The rows over as many files as there are tasks for them, so that all cores work on what reads them."""
+    return df.repartition(task_count(df.sparkSession))
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:

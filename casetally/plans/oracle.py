@@ -734,6 +734,9 @@ SQL["csv_lines"] = """SELECT c_custkey AS custkey, c_name AS name, CASE WHEN NOT
 FROM (SELECT *, c_custkey % 10 = 7 AS cut FROM customer)"""
 SQL["json_lines"] = """SELECT event_type AS kind, count(*) AS n_lines, count(*) FILTER (WHERE event_id % 9 = 4) AS n_broken, count(*) FILTER (WHERE event_id % 9 <> 4) AS n_read,
   CAST(sum(event_id) FILTER (WHERE event_id % 9 <> 4) AS BIGINT) AS sum_of_keys FROM events GROUP BY event_type"""
+SQL["log_batches"] = "SELECT pipeline, case_id, seed, label, confidence, CAST(seed % 3 AS INTEGER) AS batch FROM runs"
+SQL["csv_round_trip"] = f"SELECT {TARGET}, count(*) AS n_rows, {', '.join(f'CAST(sum(floor({f})) AS BIGINT) AS {f}' for f in FEATURE_NAMES)} FROM kept_applicants GROUP BY {TARGET}"
+SQL["results_document"] = SQL["binary_metrics"]
 SQL["top_feature_lines"] = "SELECT method, model, CAST(case_id AS VARCHAR) AS case_id, array_to_string(top, ',') AS top_features FROM tops"
 
 _REPORT = {

@@ -36,6 +36,11 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "16
     return spark
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is heavy beyond the size of its rows: all cores, and as many as shuffles are sized for."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster where it is not installed; Spark hands the file on to them."""
     root = os.path.dirname(os.path.abspath(__file__))
