@@ -22,13 +22,22 @@ def uniform(seed: int | str, *keys) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(HASH_RANGE)
 
 
-def gaussian_sql(seed: int | str, *keys: str) -> str:
-    """Standard normal draw by Box-Muller over the two halves of one digest; ``keys`` are SQL expressions."""
-    hashed = "md5(concat_ws('|', " + ", ".join([f"'{seed}'", *[f"cast({k} AS string)" for k in keys]]) + "))"
+def digest_sql(seed: int | str, *keys: str) -> str:
+    """Hex digest of seed and keys; ``keys`` are SQL expressions."""
+    return "md5(concat_ws('|', " + ", ".join([f"'{seed}'", *[f"cast({k} AS string)" for k in keys]]) + "))"
+
+
+def gaussian_of(hashed: str) -> str:
+    """Standard normal draw by Box-Muller over the two halves of a digest."""
     u1, u2 = (f"(cast(conv(substring({hashed}, {at}, 8), 16, 10) AS double) + 0.5D) / {HASH_RANGE!r}D" for at in (1, 9))
     return f"sqrt(-2D * ln({u1})) * cos(2D * pi() * {u2})"
 
 
+def gaussian_sql(seed: int | str, *keys: str) -> str:
+    """Standard normal draw from seed and keys; ``keys`` are SQL expressions."""
+    return gaussian_of(digest_sql(seed, *keys))
+
+
 def pick_sql(n: int, seed: int | str, *keys: str) -> str:
     """Integer in 0..n-1; ``keys`` are SQL expressions."""
     parts = ", ".join([f"'{seed}'", *[f"cast({k} AS string)" for k in keys]])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas import types as pa_types
 
 from casetally.functions import sqltext
-from casetally.functions.draws import gaussian_sql, pick_sql
+from casetally.functions.draws import digest_sql, gaussian_of, pick_sql
 from casetally.operators import trees
 from casetally.operators.models import FittedModel, as_doubles, bad_probability, with_scores
 from casetally.operators.sampling import sample_rows
@@ -225,7 +225,10 @@ def local_surrogate(
     # Each case turns into many samples: the number of tasks is given, as cases alone would look small.
     spread = as_doubles(cases, columns).repartition(task_count(cases.sparkSession), key)
     drawn = spread.selectExpr(id_, f"{own} AS _own", f"explode(sequence(0, {n_samples - 1})) AS _i")
-    draws = sqltext.array(gaussian_sql(seed, id_, "_i", f"'{c}'") for c in columns)
+    # A digest gives both halves of a draw; as a column of its own it is worked out once.
+    digests = sqltext.array(digest_sql(seed, id_, "_i", f"'{c}'") for c in columns)
+    drawn = drawn.selectExpr(id_, "_own", "_i", f"{digests} AS _digests")
+    draws = sqltext.array(gaussian_of(f"_digests[{j}]") for j in range(d))
     drawn = drawn.selectExpr(id_, "_own", f"CASE WHEN _i = 0 THEN _own ELSE {draws} END AS _z")
     points = drawn.selectExpr(
         id_, "_own", "_z", *[f"_z[{j}] * {sqltext.double(std[j])} + {sqltext.double(mean[j])} AS {c}" for j, c in enumerate(quoted)]
