@@ -37,12 +37,15 @@ def parse_structured(
     checked against; without them the grounding check stays open (NULL).
     Objects whose factors or explanation have an unusable type are not valid.
     """
-    vocabulary = vocabulary_numbers() if vocabulary is None else vocabulary
-    col = F.col
     keep = [c for c in df.columns if c not in PARSED]
     values = F.lit(None).cast("array<double>") if row_columns is None else R.row_numbers(row_columns)
+    return _judged(_read(df.withColumn("_values", values), raw, whole_words), keep, vocabulary)
 
-    step = df.withColumns({"_clean": R.strip_fences(col(raw)), "_values": values})
+
+def _read(df: DataFrame, raw: str, whole_words: bool = False) -> DataFrame:
+    """Fields and checks that take the response alone, with what the other checks need of it."""
+    col = F.col
+    step = df.withColumn("_clean", R.strip_fences(col(raw)))
     step = step.withColumn("_wrapped", R.wrap_object(col("_clean")))
     step = step.withColumn("_doc", R.sole_object(col("_wrapped"), col("_clean")))
     doc = col("_doc")
@@ -79,10 +82,19 @@ def parse_structured(
     step = step.withColumns(
         {
             "confidence": expr("CASE WHEN _stated BETWEEN 0 AND 100 THEN _stated END"),
-            "_quoted": F.when(expr("is_valid_json AND _usable AND _values IS NOT NULL"), extract_numbers(text)),
+            "_numbers": F.when(expr("is_valid_json AND _usable"), extract_numbers(text)),
             "no_contradiction": F.when(expr("label IS NOT NULL"), ~R.contradicts(col("label"), col("explanation"), whole_words)),
         }
     )
+    sound = "is_valid_json AND _usable AND label IS NOT NULL AND confidence IS NOT NULL AND explanation IS NOT NULL AND coalesce(no_contradiction, true)"
+    return step.withColumn("_sound", expr(f"coalesce({sound}, false)"))
+
+
+def _judged(read: DataFrame, keep: Sequence[str], vocabulary: Sequence[float] | None) -> DataFrame:
+    """``keep`` and the results of responses that were read, checked against the ``_values`` of their case."""
+    vocabulary = vocabulary_numbers() if vocabulary is None else vocabulary
+    expr = F.expr
+    step = read.withColumn("_quoted", expr("CASE WHEN _values IS NOT NULL THEN _numbers END"))
     step = step.withColumn("ungrounded_numbers", R.ungrounded("_quoted", "_stated", "_values", vocabulary))
     step = step.withColumns(
         {
@@ -91,11 +103,7 @@ def parse_structured(
             "explanation_grounded": expr("CASE WHEN ungrounded_numbers IS NOT NULL THEN size(ungrounded_numbers) = 0 END"),
         }
     )
-    success = expr(
-        "coalesce(is_valid_json AND _usable AND label_valid AND confidence_valid AND explanation IS NOT NULL "
-        "AND coalesce(explanation_grounded, true) AND coalesce(no_contradiction, true), false)"
-    )
-    return _parsed_once(step.withColumn("parse_success", success), keep, PARSED)
+    return _parsed_once(step.withColumn("parse_success", expr("_sound AND coalesce(explanation_grounded, true)")), keep, PARSED)
 
 
 def _parsed_once(df: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -126,9 +134,12 @@ PARSERS = {"structured": parse_structured, "stock": lambda df, raw="raw_response
 
 
 def with_case_rows(log: DataFrame, cases: DataFrame, columns: Sequence[str], key: str = "case_id") -> DataFrame:
-    """Responses with the values of their case in ``_row_*`` columns; responses without a case drop out."""
+    """Responses with the values of their case in ``_row_*`` columns and, rounded, in ``_values``; responses without a case drop out.
+
+    Roundings are made on the side of the cases: after the join they would be, for each number of a response.
+    """
     rows = cases.select(key, *[F.col(c).cast("double").alias(f"_row_{c}") for c in columns])
-    return log.join(rows, key, "inner")
+    return log.join(rows.withColumn("_values", R.row_numbers([f"_row_{c}" for c in columns])), key, "inner")
 
 
 def missing_cases(log: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
@@ -143,10 +154,13 @@ def revalidate(
     key: str = "case_id",
     vocabulary: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Validate stored responses again; the stored verdict stays as ``old_parse_success``."""
-    joined = with_case_rows(log.withColumnRenamed("parse_success", "old_parse_success"), cases, columns, key)
-    parsed = parse_structured(joined, row_columns=[f"_row_{c}" for c in columns], vocabulary=vocabulary)
-    return parsed.drop(*[f"_row_{c}" for c in columns])
+    """Validate stored responses again; the stored verdict stays as ``old_parse_success``.
+
+    Responses are read where they lie and then meet their case, so that of the texts only what is asked for is shuffled.
+    """
+    stored = log.withColumnRenamed("parse_success", "old_parse_success")
+    keep = [c for c in stored.columns if c not in PARSED]
+    return _judged(with_case_rows(_read(stored, "raw_response"), cases, columns, key), keep, vocabulary)
 
 
 def verdict_changes(revalidated: DataFrame) -> DataFrame:

@@ -172,3 +172,15 @@ def test_number_extraction_matches_a_plain_scan(spark, texts):
 def test_strip_fences_keeps_inner_fences(spark):
     frame = spark.createDataFrame([("```json\na ``` b\n```",)], "t string").select(strip_fences(F.col("t")))
     assert frame.first()[0] == "a ``` b"
+
+
+def test_stored_texts_are_read_before_they_meet_their_case(spark):
+    """Of a response only what is asked for goes through the join, not its text."""
+    body = '{"label": "Good", "confidence": 80, "explanation": "Value 5 and 41.5."}'
+    log = spark.createDataFrame([(1, body, True), (2, body, False), (3, body, True)], "case_id long, raw_response string, parse_success boolean")
+    cases = spark.createDataFrame([(1, 5.0, 41.5), (2, 5.0, None)], "case_id long, v double, w double")
+    again = validate.revalidate(log, cases, ["v", "w"])
+    assert [(r.case_id, r.ungrounded_numbers, r.old_parse_success, r.parse_success) for r in again.orderBy("case_id").collect()] == [(1, [], True, True), (2, [41.5], False, False)]
+    plan = again.select("case_id", "parse_success")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner"):].splitlines()
+    assert "raw_response" not in joined[1], joined[1]
