@@ -93,6 +93,22 @@ def tree_attribution(
     return trees.attribution(ensemble, as_doubles(cases, columns), background_rows(train, columns, n_background, key, seed), key)
 
 
+def _walk_points(batches: Iterator[pa.RecordBatch], names: Sequence[str], d: int) -> Iterator[pa.RecordBatch]:
+    """The points of each walk, from the background row to the case, with the feature just changed and the next one."""
+    steps = np.arange(d + 1)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            n = part.num_rows
+            order = arrow_matrix(part["_order"], d).astype(np.int32)
+            turn = np.argsort(order, axis=1) + 1  # the step at which each feature changes
+            own, other, none = arrow_matrix(part["_x"], d), arrow_matrix(part["_b"], d), np.full((n, 1), -1, np.int32)
+            gain, loss = np.concatenate([none, order], 1).ravel(), np.concatenate([order, none], 1).ravel()
+            points = [np.where(turn[:, j, None] <= steps, own[:, j, None], other[:, j, None]).ravel() for j in range(d)]
+            arrays = [part["k"].take(pa.array(np.repeat(np.arange(n), d + 1))), *[pa.array(v, mask=v < 0) for v in (gain, loss)]]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, from_pandas=True) for v in points]], list(names))
+
+
 def sampled_shapley(
     model: PipelineModel,
     cases: DataFrame,
@@ -106,9 +122,9 @@ def sampled_shapley(
     """Shapley values of P(Bad) by random feature orders, as (case, feature, weight).
 
     For each case and order, features change one by one from a background row
-    to the case. Every scored point counts for the feature just changed and
-    against the next one, so one partial aggregate adds up all differences;
-    nothing has to be sorted. Work grows with cases x orders x features.
+    to the case; an Arrow pass makes these points. Every scored point counts for
+    the feature just changed and against the next one, so one aggregate where the
+    cases lie adds up all differences. Work grows with cases x orders x features.
     """
     d = len(columns)
     # At most n_background rows, an argument, so they can travel in the plan.
@@ -118,9 +134,9 @@ def sampled_shapley(
     )
     quoted = [sqltext.name(c) for c in columns]
     id_ = sqltext.name(key)
-    walks = as_doubles(cases, columns).selectExpr(
-        id_, f"{sqltext.array(quoted)} AS _x", f"explode(sequence(0, {n_permutations - 1})) AS _p"
-    )
+    # Each case turns into many points: the number of tasks is given, as cases alone would look small.
+    spread = as_doubles(cases, columns).repartition(task_count(cases.sparkSession), key)
+    walks = spread.selectExpr(id_, f"{sqltext.array(quoted)} AS _x", f"explode(sequence(0, {n_permutations - 1})) AS _p")
     order = sqltext.array(
         f"named_struct('h', md5(concat_ws('|', '{seed}', cast({id_} AS string), cast(_p AS string), '{c}')), 'j', {j})"
         for j, c in enumerate(columns)
@@ -131,18 +147,11 @@ def sampled_shapley(
         F.expr(f"transform(array_sort({order}), s -> s.j) AS _order"),
         F.element_at(pool, F.expr(f"cast({pick_sql(len(rows), f'{seed}-row', id_, '_p')} + 1 AS int)")).alias("_b"),
     )
-    points = walks.select(key, "_x", "_b", "_order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_step"))
-    points = points.withColumn("_changed", F.slice("_order", F.lit(1), F.col("_step")))
-    points = points.selectExpr(
-        id_, "_order", "_step",
-        *[f"CASE WHEN array_contains(_changed, {j}) THEN _x[{j}] ELSE _b[{j}] END AS {c}" for j, c in enumerate(quoted)],
-    )
-    scored = model.transform(points).select(key, "_order", "_step", bad_probability().alias("_prob"))
-    effects = scored.selectExpr(
-        id_,
-        "inline(array(named_struct('j', try_element_at(_order, nullif(_step, 0)), 'v', _prob), "
-        "named_struct('j', try_element_at(_order, _step + 1), 'v', -_prob)))",
-    ).where("j IS NOT NULL")
+    kind = cases.schema[key].dataType.simpleString()
+    shape = ", ".join([f"{id_} {kind}", "_gain int", "_loss int", *[f"{c} double" for c in quoted]])
+    points = walks.select(F.col(key).alias("k"), "_x", "_b", "_order").mapInArrow(lambda batches: _walk_points(batches, [key, "_gain", "_loss", *columns], d), shape)
+    scored = model.transform(points).select(key, "_gain", "_loss", bad_probability().alias("_prob"))
+    effects = scored.selectExpr(id_, "inline(array(named_struct('j', _gain, 'v', _prob), named_struct('j', _loss, 'v', -_prob)))").where("j IS NOT NULL")
     names = F.array(*[F.lit(c) for c in columns])
     return effects.groupBy(key, "j").agg((F.sum("v") / n_permutations).alias("weight")).select(
         key, F.element_at(names, F.col("j") + 1).alias("feature"), "weight"
