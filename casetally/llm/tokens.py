@@ -19,9 +19,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,11 +36,10 @@ END = 0
 #: Bounds of the sample that the dictionary is trained on, and of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 65_536, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4 << 20
-#: Words whose ids are kept, in each of two generations.
-_CACHE_WORDS = 300_000
+#: Bytes of the texts whose words are looked up at once, and distinct words that are encoded as one text.
+CHUNK_BYTES, _JOINED = 16 << 20, 512
 #: How byte-level vocabularies write a space.
 _SPACE = "\u0120"
-_TAIL = ".,;:!?%&*#$)|-"
 _SAFE = re.compile(r"(?<=[!-~])(?= [!-~])")
 BLOCKS = (
     "shard int, block int, dictionary string, width int, first_doc long, last_doc long, n_tokens long, "
@@ -56,11 +57,12 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, with the ids of frequent words kept.
+    """Ids of texts as little-endian unsigned 32-bit integers, with each distinct word of a call encoded once.
 
     A byte-level tokenizer starts a new piece at a single space between two characters that are not white
-    space. So such a text is the sequence of its words, each with its space before it, and a word is encoded
-    once. A text with other white space around spaces is cut only where visible ASCII stands on both sides.
+    space. So such a text is the sequence of its words, each with its space before it. Arrow splits the texts,
+    finds the distinct words and puts their ids in the place of every word. A text with other white space
+    around spaces is cut only where visible ASCII stands on both sides.
     """
 
     def __init__(self, name: str):
@@ -68,9 +70,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.words: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == _SPACE]] = True
@@ -80,35 +79,20 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in made]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
+    def _spaced(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """Ids of each word with a space before it. Many are encoded as one text; a token that begins with a space starts a word."""
-        made: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.frombuffer(self.plain(["".join([" " + w for w in part])])[0], "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):
+        data, cuts, end = [b""], [np.zeros(1, np.int64)], 0
+        bounds = np.append(np.arange(0, len(words), _JOINED), len(words))
+        joined = pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), words), pa.scalar(" ", words.type))
+        for text, size in zip(joined, np.diff(bounds).tolist(), strict=True):
+            ids = self.plain([" " + text.as_py()])[0]
+            starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+            if len(starts) != size:
                 raise ValueError("this tokenizer does not start a piece at each space")
-            data, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            made += [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        return made
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words into the table. Punctuation after a letter is a piece of its own, so it is cut off first."""
-        known, tails = self.words, self.tails
-        split = []
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            split.append((w, stem, w[len(stem) :]) if stem and stem[-1].isalpha() and stem[-1] < "\u0250" else (w, w, ""))
-        stems = {x for _, x, _ in split}
-        known.update({x: self.older[x] for x in stems & self.older.keys()})
-        stems = [x for x in stems if known.get(x) is None]
-        known.update(zip(stems, self._spaced(stems), strict=True))
-        new = list({t for _, _, t in split} - tails.keys())
-        tails.update(zip(new, self.plain(new), strict=True))
-        for w, stem, tail in split:
-            if tail:
-                known[w] = known[stem] + tails[tail]
+            data.append(ids)
+            cuts.append(end + 4 * np.append(starts[1:], len(ids) // 4))
+            end += len(ids)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.concatenate(cuts)), pa.py_buffer(b"".join(data))])
 
     def _irregular(self, text: str) -> bytes:
         pieces = _SAFE.split(text)
@@ -116,28 +100,34 @@ class Encoder:
         ids = dict(zip(distinct, self.plain(distinct), strict=True))
         return b"".join([ids[x] for x in pieces])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > _CACHE_WORDS:
-            # What is still in use moves on from the older generation; the rest goes with the next turn.
-            self.older, self.words, self.tails = self.words, {}, {"": b""}
-        known, older = self.words, self.older
-        cut = [t.split(" ") for t in texts]
-        heads = self.plain([c[0] for c in cut])
-        new = set().union(*(c[1:] for c in cut)) - known.keys()
-        again = new & older.keys()
-        known.update({w: older[w] for w in again})
-        new -= again
-        known.update(dict.fromkeys(new))
-        sound = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self._learn(sound)
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        parts, is_head = cut.values, np.zeros(len(cut.values), bool)
+        is_head[ends[:-1]] = True
+        heads = parts.filter(pa.array(is_head)).to_pylist()
+        words = parts.filter(pa.array(~is_head)).dictionary_encode()
+        ends = ends - np.arange(len(ends))
+        distinct = words.dictionary
+        # A word that is empty, or has white space at an end, is not sound: it has no ids, and its texts are encoded in another way.
+        is_sound = pc.and_(pc.not_equal(distinct, ""), pc.equal(pc.utf8_trim_whitespace(distinct), distinct))
+        sound = is_sound.to_numpy(zero_copy_only=False)
+        place = np.maximum(np.cumsum(sound) - 1, 0)
+        codes = words.indices.to_numpy()
+        unsound = np.concatenate(([0], np.cumsum(~sound[codes])))
+        unsound = unsound[ends[1:]] - unsound[ends[:-1]]
+        known = self._spaced(distinct.filter(is_sound))
+        ids = known.take(pa.array(place[codes], mask=~sound[codes]))
+        at, data = np.frombuffer(ids.buffers()[1], np.int64)[ends], memoryview(ids.buffers()[2] or b"")
         made = []
-        for text, parts, head in zip(texts, cut, heads, strict=True):
-            try:
-                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                    raise TypeError
-                made.append(head + b"".join(map(known.__getitem__, parts[1:])))
-            except TypeError:  # a word that is not sound has no ids
-                made.append(self._irregular(text))
+        for i, (head, first) in enumerate(zip(heads, self.plain(heads), strict=True)):
+            if unsound[i] or ends[i] < ends[i + 1] and (not head or head[-1].isspace()):
+                made.append(self._irregular(texts[i].as_py()))
+            else:
+                made.append(first + data[at[i] : at[i + 1]])
         return made
 
 
@@ -158,6 +148,14 @@ def _stored(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
+def _chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by about ``CHUNK_BYTES`` of their texts; a longer text is one by itself."""
+    before = np.cumsum(pc.binary_length(batch.column(text)).to_numpy()) // CHUNK_BYTES
+    starts = np.flatnonzero(np.diff(before, prepend=-1)).tolist()
+    for a, b in pairwise([*starts, batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> bytes:
     """A dictionary from a sample bounded in documents and in characters; empty if there is too little to learn."""
     keys = docs.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
@@ -168,8 +166,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids = [_stored(_with_end(x), make.width) for x in make(batch.column(0)[at : at + 64].to_pylist())]
+            for part in _chunks(batch, 0):
+                ids = [_stored(_with_end(x), make.width) for x in make(part.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     samples = [bytes(r[0]) for r in rows.select("t").mapInArrow(run, "ids binary").collect()]
@@ -215,14 +213,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, key: st
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part, size = [], 0
-                while at < batch.num_rows and size < 1 << 20 and len(part) < 256:
-                    part.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py()))
-                    size += len(part[-1][1])
-                    at += 1
-                for (k, _), ids in zip(part, make([t for _, t in part]), strict=True):
+            for part in _chunks(batch):
+                for k, ids in zip(part.column(0).to_pylist(), make(part.column(1)), strict=True):
                     ids = _with_end(ids)
                     keys.append(k)
                     frames.append(press.compress(_stored(ids, make.width)))

@@ -351,6 +351,26 @@ def test_encoder_equals_the_tokenizer():
     assert make(texts) == make.plain(texts)
 
 
+def test_encoder_takes_a_column_in_chunks():
+    make = tokens.Encoder(tokens.TOKENIZER)
+    words = ["".join(RANDOM.choices("abcdeé", k=RANDOM.randint(1, 6))) + RANDOM.choice(["", ".", ",$", ".\nA", "\n\nbe", "\n"]) for _ in range(3_000)]
+    texts = [" ".join(RANDOM.choices(words, k=RANDOM.randint(0, 40))) for _ in range(400)] + ["", "a", "a b" * 50]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"]).slice(3)
+    seen = []
+    plain, make.plain = make.plain, lambda part: seen.extend(part) or plain(part)
+    assert make(batch.column(1)) == plain(texts[3:])
+    # A word that every text holds is encoded with a space before it once, not once a text.
+    assert make(pa.array(["a bécade"] * 1_000)) == plain(["a bécade"] * 1_000)
+    assert sum(" bécade" in x for x in seen) == 1
+    old, tokens.CHUNK_BYTES = tokens.CHUNK_BYTES, 1_000
+    try:
+        parts = list(tokens._chunks(batch))
+    finally:
+        tokens.CHUNK_BYTES = old
+    assert len(parts) > 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert list(tokens._chunks(batch.slice(0, 0))) == []
+
+
 def test_token_files_round_trip(spark, documents):
     rows = [*edge_rows(), *((i, prose(RANDOM.randint(0, 60))) for i in range(20, 3_000))]
     path = tokens.shared_path(spark, "test-tokens")
