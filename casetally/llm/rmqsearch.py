@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import tidy, tidy_group, written
 
 K = 10
 #: Bytes of text in a shard of the index; terms of the items that are searched together; documents in a last interval; intervals split at once.
 SHARD_BYTES, BLOCK_TERMS, LEAF, AT_ONCE = 16_000_000, 100_000, 4, 64
+#: How the index is written: a shard is a row group of its own, so that those who read it hold one at a time.
+ONE_BY_ONE = {"parquet.block.row.count.limit": 1}
 # Bytes of ASCII that separate terms become blanks, A-Z become a-z; others stay as they are.
 _FOLD = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 
@@ -46,19 +48,14 @@ class Postings:
         self.impact = np.concatenate(impacts).astype(np.int64) if lists else np.zeros(0, np.int64)
         # One sorted sequence for all lists: term number and document.
         self.key = np.repeat(np.arange(len(lists), dtype=np.int64), self.size) * n_docs + self.docs
-        self.best = [np.arange(len(self.docs), dtype=np.int32)]
-        half = 1
-        while 2 * half <= self.size.max(initial=0):
-            a, b = self.best[-1][:-half], self.best[-1][half:]
-            up = np.where(self.impact[a] >= self.impact[b], a, b)
-            self.best.append(up)
-            half *= 2
         # Padded, so that one index takes level and place.
         width = len(self.docs)
-        self.table = np.zeros((len(self.best), width), np.int32)
-        for level, row in enumerate(self.best):
-            self.table[level, : len(row)] = row
-        del self.best
+        self.table = np.zeros((max(int(self.size.max(initial=0)).bit_length(), 1), width), np.int32)
+        self.table[0] = np.arange(width)
+        for level in range(1, len(self.table)):
+            half, n = 1 << (level - 1), width - (1 << level) + 1
+            a, b = self.table[level - 1, :n], self.table[level - 1, half : half + n]
+            self.table[level, :n] = np.where(self.impact[a] >= self.impact[b], a, b)
 
     def largest(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the largest impact of each range a .. b - 1 is (the first of equals), and whether the range has any."""
@@ -156,6 +153,16 @@ def search(p: Postings, terms: np.ndarray, gain: np.ndarray, k: int = K, leaf: i
 _INDEX = "shard long, n_docs long, n_terms long, ids array<long>, sizes array<long>, terms array<string>, dfs array<long>, docs binary, tfs binary"
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that were written in equally many bytes each."""
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
 def _shard(number: int, ids: list[int | None], words: list[np.ndarray], known: list[bytes]) -> pa.RecordBatch:
     """One row: documents by rising id (nulls last), and for each term, by its number, documents and occurrences."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
@@ -166,7 +173,7 @@ def _shard(number: int, ids: list[int | None], words: list[np.ndarray], known: l
     dfs = np.bincount(key // n, minlength=len(known))
     row = {
         "shard": number, "n_docs": len(order), "n_terms": int(sizes.sum()), "ids": [ids[i] for i in order], "sizes": sizes,
-        "terms": [w.decode() for w in known], "dfs": dfs, "docs": (key % n).astype(np.int32).tobytes(), "tfs": tf.astype(np.int32).tobytes(),
+        "terms": [w.decode() for w in known], "dfs": dfs, "docs": _narrow(key % n), "tfs": _narrow(tf),
     }
     kinds = {"ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "terms": pa.list_(pa.string()), "dfs": pa.list_(pa.int64()), "docs": pa.binary(), "tfs": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()], list(row))
@@ -243,7 +250,7 @@ def _search_shard(asked, n: int, total: int, k: int):
         m = 100 - 75 + (75 * sizes * n) // total
         wanted = {w for _, terms, _ in asked.value for w in terms}
         ends = np.cumsum(row["dfs"].values.to_numpy())
-        docs, tfs = (np.frombuffer(row[c].as_py(), np.int32) for c in ("docs", "tfs"))
+        docs, tfs = (_numbers(row[c].as_py(), int(ends[-1]) if len(ends) else 0) for c in ("docs", "tfs"))
         number, lists, impacts = {}, [], []
         for w, end, df in zip(row["terms"].values.to_pylist(), ends.tolist(), row["dfs"].values.to_pylist(), strict=True):
             if w in wanted:
@@ -275,7 +282,7 @@ def ranked(
     are indexed whole. Other columns don't matter. No documents or no items, no rows.
     """
     spark = docs.sparkSession
-    shards = written(index(docs, key, text, shard_bytes), "lexical-index")
+    shards = written(index(docs, key, text, shard_bytes), "lexical-index", **ONE_BY_ONE)
     asked = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text"))
     kind = dict(asked.dtypes)["item_id"]
     asked = written(asked.mapInArrow(_queries, f"item_id {kind}, query string, terms array<string>, counts array<long>"), "items")
@@ -283,7 +290,7 @@ def ranked(
     found = spark.createDataFrame([], "query string, doc_id long, score long")
     for block in _blocks(written(weighted(asked, shards, n), "queries"), block_terms):
         sent = spark.sparkContext.broadcast(block)
-        here = shards.groupBy("shard").applyInArrow(_search_shard(sent, n, total, k), "query string, doc_id long, score long")
+        here = shards.groupBy("shard").applyInArrow(tidy_group(_search_shard(sent, n, total, k)), "query string, doc_id long, score long")
         found = found.unionByName(written(here, "found"))
         sent.destroy()
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from test_corpus import edge_rows
 
@@ -97,3 +98,25 @@ def test_search_is_exact_and_leaves_most_documents_unscored(leaf, at_once):
         found, scored = rmqsearch.search(p, terms, gain, leaf=leaf, at_once=at_once)
         assert found == want
         assert leaf == 1000 or scored < 0.5 * n
+
+
+def test_index_is_narrow_and_read_shard_by_shard(spark, documents):
+    rng = random.Random(5)
+    docs = documents([(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(200))) for i in range(600)]).coalesce(1)
+    shards = rmqsearch.written(rmqsearch.index(docs, shard_bytes=200_000), "index", **rmqsearch.ONE_BY_ONE)
+    rows = shards.collect()
+    assert len(rows) > 3
+    for r in rows:
+        n = sum(r["dfs"])
+        assert len(r["docs"]) == len(r["tfs"]) == n  # a byte each, where four were written
+        assert rmqsearch._numbers(bytes(r["tfs"]), n).sum() == r["n_terms"]
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    assert [m.num_row_groups for m in groups] == [m.num_rows for m in groups]
+
+
+@pytest.mark.parametrize("most,width", [(0, 1), (255, 1), (256, 2), (65_536, 4)])
+def test_numbers_take_as_many_bytes_as_the_largest(most, width):
+    data = rmqsearch._narrow(np.array([most, 0, most // 2]))
+    assert len(data) == 3 * width
+    assert rmqsearch._numbers(data, 3).tolist() == [most, 0, most // 2]
+    assert rmqsearch._numbers(b"", 0).tolist() == []
