@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import binascii
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import ImputerModel, StandardScalerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas import types as pa_types
@@ -109,6 +112,31 @@ def _walk_points(batches: Iterator[pa.RecordBatch], names: Sequence[str], d: int
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(v, from_pandas=True) for v in points]], list(names))
 
 
+def _walk_effects(batches: Iterator[pa.RecordBatch], names: Sequence[str], about: tuple, pool: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What each feature changes of a logistic P(Bad) along the walks of a case, added up over those that lie together.
+
+    A step changes the log-odds by the difference of one term, so a walk's scores come from one running sum.
+    """
+    medians, slopes, intercept = about
+    terms = lambda x: np.where(np.isnan(x), medians, x) * slopes
+    others, d = terms(pool), len(slopes)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digests = np.frombuffer(binascii.unhexlify("".join(batch["_h"].to_pylist())), ">u8").reshape(-1, d)
+        order = np.argsort(digests.astype(np.uint64), axis=1, kind="stable")
+        other = others[batch["_b"].to_numpy()]
+        change = np.take_along_axis(terms(arrow_matrix(batch["_x"], d)) - other, order, 1)
+        odds = np.cumsum(np.column_stack([intercept + other.sum(1), change]), 1)
+        with np.errstate(over="ignore"):
+            effect = np.empty_like(change)
+            np.put_along_axis(effect, order, np.diff(1.0 / (1.0 + np.exp(-odds)), axis=1), 1)
+        first = np.flatnonzero(batch["_p"].to_numpy() == 0)
+        first = first if len(first) and not first[0] else np.concatenate([[0], first])
+        sums = np.add.reduceat(effect, first, 0)
+        yield pa.RecordBatch.from_arrays([batch["k"].take(pa.array(first)), *[pa.array(v) for v in np.ascontiguousarray(sums.T)]], list(names))
+
+
 def sampled_shapley(
     model: PipelineModel,
     cases: DataFrame,
@@ -122,13 +150,17 @@ def sampled_shapley(
     """Shapley values of P(Bad) by random feature orders, as (case, feature, weight).
 
     For each case and order, features change one by one from a background row
-    to the case; an Arrow pass makes these points. Every scored point counts for
-    the feature just changed and against the next one, so one aggregate where the
-    cases lie adds up all differences. Work grows with cases x orders x features.
+    to the case. The points of a logistic regression are scored from its coefficients
+    in one Arrow pass, which adds up a case's walks. For other models an Arrow pass makes
+    the points; every scored point counts for the feature just changed and against the
+    next one, so one aggregate where the cases lie adds up all differences. Work grows
+    with cases x orders x features.
     """
     d = len(columns)
     # At most n_background rows, an argument, so they can travel in the plan.
     rows = [[r[c] for c in columns] for r in sample_rows(as_doubles(background, columns), n_background, key, seed).collect()]
+    if [type(s) for s in getattr(model, "stages", [])] == [ImputerModel, VectorAssembler, StandardScalerModel, LogisticRegressionModel]:
+        return _logistic_shapley(model, cases, rows, columns, n_permutations, key, seed)
     pool = F.expr(
         sqltext.array(sqltext.array("cast(NULL AS double)" if v is None else sqltext.double(v) for v in row) for row in rows)
     )
@@ -158,6 +190,26 @@ def sampled_shapley(
     )
 
 
+def _logistic_shapley(model: PipelineModel, cases: DataFrame, rows: list[list], columns: Sequence[str], n_permutations: int, key: str, seed: int) -> DataFrame:
+    """Sampled Shapley values of a logistic regression, with the orders and background rows that other models get."""
+    d, id_, kind = len(columns), sqltext.name(key), cases.schema[key].dataType.simpleString()
+    medians, slopes, intercept = logistic_parts(model, columns)
+    about = np.array([medians[c] for c in columns]), np.array([slopes[c] for c in columns]), intercept
+    pool = np.array([[np.nan if v is None else v for v in row] for row in rows], float).reshape(len(rows), d)
+    # Each case turns into many digests: the number of tasks is given, as cases alone would look small.
+    spread = as_doubles(cases, columns).repartition(task_count(cases.sparkSession), key)
+    walks = spread.selectExpr(f"{id_} AS k", f"{sqltext.array(map(sqltext.name, columns))} AS _x", f"explode(sequence(0, {n_permutations - 1})) AS _p")
+    walks = walks.selectExpr("*", f"concat_ws('|', '{seed}', cast(k AS string), cast(_p AS string), '') AS _w")
+    # 64 bits of a digest give the order of the features.
+    digests = ", ".join(f"substring(md5(concat(_w, '{c}')), 1, 16)" for c in columns)
+    walks = walks.selectExpr("k", "_x", "_p", f"concat({digests}) AS _h", f"cast({pick_sql(len(rows), f'{seed}-row', 'k', '_p')} AS int) AS _b")
+    sums = [f"_s{j}" for j in range(d)]
+    made = walks.mapInArrow(lambda batches: _walk_effects(batches, ["k", *sums], about, pool), ", ".join([f"k {kind}", *[f"{s} double" for s in sums]]))
+    totals = made.groupBy("k").agg(*[F.sum(s).alias(s) for s in sums])
+    each = sqltext.array(f"named_struct('feature', '{c}', 'weight', {s} / {n_permutations})" for c, s in zip(columns, sums, strict=True))
+    return totals.selectExpr(f"k AS {id_}", f"inline({each})")
+
+
 def _normal_sums(batches: Iterator[pa.RecordBatch], width: float, d: int, scores: Sequence[str] = ("_prob",)) -> Iterator[tuple[list, np.ndarray]]:
     """(keys, sums) of the neighbourhoods in a task: for each case and score the weighted products of (1, z, y) with themselves.
 
